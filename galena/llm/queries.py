@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import byte_bpe, sstable, token_counts
+from galena.llm import byte_bpe, decontaminate, quality_rules, sstable, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -37,10 +37,23 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_to_shards(documents(spark, sf_dir), byte_bpe.vocabulary_path("byte_bpe_50k.json"), 2)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and risk-controlled verdicts of every text."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_rules.apply_rules(documents(spark, sf_dir, "doc_id", "lang", "text"), labels)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text against the whole benchmark."""
+    return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_shards": op7_token_shards,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}

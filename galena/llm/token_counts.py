@@ -116,7 +116,7 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str | None = None, key: s
             texts = b.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(count(texts), pa.int64())], names=["digest", "n_tokens"])
 
-    fresh = chosen.mapInArrow(encode, "digest binary, n_tokens bigint")
+    fresh = chosen.mapInArrow(encode, "digest binary, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     counts = open_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return seen.join(written(counts, "token-counts-once"), "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
