@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import byte_bpe, decontaminate, quality_rules, sstable, token_counts
+from galena.llm import byte_bpe, decontaminate, quality_nbsvm, quality_rules, sstable, token_counts, toxicity_chain
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns or ("doc_id", "text"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text."""
+    return quality_nbsvm.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, category by category."""
+    scored = toxicity_chain.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", *[f"p_{c}" for c in toxicity_chain.CATEGORIES], F.col("rejected").alias("toxic"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the word vocabulary, through the digest cache."""
     counted = token_counts.count_tokens(documents(spark, sf_dir), byte_bpe.vocabulary_path("word_bpe_49k.json"))
@@ -49,6 +60,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_shards": op7_token_shards,
