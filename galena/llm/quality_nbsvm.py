@@ -1,6 +1,7 @@
 """Quality classifier: a linear hinge-loss model on n-gram indicators scaled by naive Bayes log-count ratios.
 
-The n-grams are those of 1 to 4 bytes of a text as it is, case and marks included, hashed to a fixed number of places.
+The n-grams are those of 1 to 4 bytes of a text as it is, case and marks included, hashed to a fixed number of places,
+and the word pairs of one word twice, all under one name: a place for each share of the text's pairs that they reach.
 A document's vector has the log-count ratio at each place that it has, divided by the root of how many it has; the model
 is fitted by dual coordinate descent, and its margin is turned into a probability by a logistic curve fitted on rows of
 the sample that the model has not seen.
@@ -9,6 +10,8 @@ the sample that the model has not seen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,17 @@ from galena.llm.shared import batches, small_batches
 
 BITS, GRAMS = 18, 4
 SEED = 7
+#: Shares of a text's word pairs that are one word twice; each share that is reached is an indicator.
+PAIR_SHARES = (0.02, 0.05, 0.1, 0.2, 0.4)
 #: Bytes of a text that are hashed at once; longer texts go through in overlapping parts.
 PART = 1 << 20
 
 
+def hash_place(code):
+    """The place of a code (or of each code of an array) by multiplicative hashing."""
+    return (np.asarray(code, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+
+
 class Indicators:
     """Turns texts into the sorted places of their n-grams."""
 
@@ -38,7 +48,12 @@ class Indicators:
                 if n > 1:
                     gram = (gram[:-1] << np.uint64(8)) | code[n - 1 :]
                 if len(gram):
-                    self.seen[((gram + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)] = True
+                    self.seen[hash_place(gram + np.uint64(n << 40))] = True
+        words = text.split()
+        same = sum(map(eq, words, islice(words, 1, None)))
+        for i, share in enumerate(PAIR_SHARES):
+            if same and same >= share * (len(words) - 1):
+                self.seen[hash_place((GRAMS + 1 << 40) + i)] = True
         out = np.flatnonzero(self.seen)
         self.seen[out] = False
         return out.astype(np.int32)

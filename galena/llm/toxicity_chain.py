@@ -22,7 +22,7 @@ from galena.llm.samples import MAX_TRAIN, fit_in_one_task, held_out, labelled_sa
 from galena.llm.shared import batches, small_batches
 
 FIRST, LAST = 4, 7
-FEATURES, FOLDS, LEAST_ROWS, SEED = 400, 3, 3, 11
+FEATURES, FOLDS, LEAST_ROWS, SEED = 250, 3, 3, 11
 
 
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     pull[-1] = 1e-4
-    for _ in range(30):
+    for _ in range(15):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull + 1e-9)
         step = np.linalg.solve(h, x.T @ (p - y) + pull * w)
