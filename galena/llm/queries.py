@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import byte_bpe, decontaminate, quality_nbsvm, quality_rules, sstable, token_counts, toxicity_chain
+from galena.llm import byte_bpe, decontaminate, ngram_join, quality_nbsvm, quality_rules, sstable, token_counts, toxicity_chain
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[f"p_{c}" for c in toxicity_chain.CATEGORIES], F.col("rejected").alias("toxic"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's shingles and the component that its links reach."""
+    return ngram_join.similarity_components(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the word vocabulary, through the digest cache."""
     counted = token_counts.count_tokens(documents(spark, sf_dir), byte_bpe.vocabulary_path("word_bpe_49k.json"))
@@ -62,6 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_shards": op7_token_shards,

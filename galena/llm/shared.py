@@ -18,6 +18,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete a job's shuffle files when the job ends: steps hand on written tables, not shuffles."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share.
 

@@ -107,7 +107,7 @@ class Chain:
 def fit_chain(texts: list[bytes], labels: np.ndarray) -> Chain:
     """labels: a column of 0 and 1 for each category, in the chain's order."""
     if not len(texts):
-        return Chain(np.empty(0, np.uint64), [(np.empty(0, int), np.zeros(j + 1)) for j in range(labels.shape[1])])
+        return Chain(np.empty(0, np.uint64), [(np.empty(0, int), np.append(np.zeros(j), -30.0)) for j in range(labels.shape[1])])
     row, code = word_codes(texts)
     codes, place = np.unique(code, return_inverse=True)
     pair = np.unique(row.astype(np.int64) * len(codes) + place) if len(codes) else np.empty(0, np.int64)
