@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import byte_bpe, decontaminate, ngram_join, quality_nbsvm, quality_rules, sstable, token_counts, toxicity_chain
+from galena.llm import byte_bpe, decontaminate, line_align, ngram_join, quality_nbsvm, quality_rules, sstable, token_counts, toxicity_chain
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -53,6 +53,12 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_to_shards(documents(spark, sf_dir), byte_bpe.vocabulary_path("byte_bpe_50k.json"), 2)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every text, how many of them go, and a digest of what is kept."""
+    out = line_align.dedupe_lines(documents(spark, sf_dir), lines="n_lines", removed="n_removed")
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and risk-controlled verdicts of every text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_shards": op7_token_shards,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
