@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import byte_bpe, decontaminate, line_align, ngram_join, quality_nbsvm, quality_rules, sstable, token_counts, toxicity_chain
+from galena.llm import byte_bpe, decontaminate, line_align, ngram_join, quality_nbsvm, quality_rules, sstable, suffix_dedup, token_counts, toxicity_chain
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every text is left without the 400-byte strings that occur elsewhere."""
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids written to sorted-string-table shards and read back."""
     return sstable.encode_to_shards(documents(spark, sf_dir), byte_bpe.vocabulary_path("byte_bpe_50k.json"), 2)
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_shards": op7_token_shards,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
