@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,15 +13,13 @@ from galena.operators.ingest import upsert
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions of a table that a batch has finished writing, oldest first; they lie side by side as v<batch>."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", True)
+    """Versions of a table that were written to their end, oldest first; a log beside them says so."""
     try:
-        files = listed.load(path).select("path").collect()  # one small file a version
-    except Exception as missing:
-        if "PATH_NOT_FOUND" in str(missing):
+        return sorted(r.version for r in spark.read.schema("version bigint").parquet(f"{path}/log").distinct().collect())
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
-    return sorted(int(r.path.split("/")[-2][1:]) for r in files)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
@@ -37,6 +36,7 @@ def _folded(stream: DataFrame, path: str, checkpoint: str, fold) -> StreamingQue
         before = [v for v in _versions(spark, path) if v < number]
         old = spark.read.parquet(f"{path}/v{before[-1]}") if before else None
         fold(old, rows).write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark.range(number, number + 1).select(F.col("id").alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/log")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
