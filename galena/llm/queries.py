@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import byte_bpe, decontaminate, line_align, ngram_join, quality_nbsvm, quality_rules, sstable, suffix_dedup, token_counts, toxicity_chain
+from galena.llm import byte_bpe, decontaminate, line_align, ngram_join, oracles, quality_nbsvm, quality_rules, sstable, suffix_dedup, token_counts, toxicity_chain
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -89,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": oracles.OP3, "op9_quality_rules": oracles.OP9, "op10_decontamination": oracles.OP10}
