@@ -211,7 +211,7 @@ def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     The manifest has a row for each shard, so its running total takes one small task.
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")).repartition("path")
+    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")).repartition(max(1, manifest.count()), "path")
     kinds = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-#: Units that one worker remembers, and the longest that it remembers, in characters.
-MEMO_UNITS, MEMO_CHARS = 400_000, 48
+#: Units that one worker remembers (some 200 bytes each), and the longest that it remembers, in characters.
+MEMO_UNITS, MEMO_CHARS = 1_000_000, 48
 
 
 class UnitMemo:
