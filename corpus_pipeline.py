@@ -32,14 +32,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     placed = ngram_join.similarity_components(docs)
     first = (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)
     keep = written(placed.where(F.coalesce(first, F.lit(True))).select("doc_id").distinct(), "kept")
-    return docs.join(keep.select(F.col("doc_id").alias("kept")), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(docs.columns)
+    return docs.join(keep.select(F.col("doc_id").alias("kept")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which at least a twentieth of the words lies in benchmark windows go."""
     judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = written(judged.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.select(F.col("doc_id").alias("bad")), F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti").select(docs.columns)
+    return docs.join(bad.select(F.col("doc_id").alias("bad")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
