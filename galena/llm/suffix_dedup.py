@@ -196,8 +196,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     tidy(df.sparkSession)
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
     docs = df.select(F.col(key).alias("of"), F.xxhash64(F.col(key), F.lit(key), F.col(text)).alias("key"), data.alias("text"))
-    stretches = written(repeated(docs.select("key", "text")).distinct(), "stretches")
-    spans = stretches.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    stretches = written(repeated(docs.select("key", "text")), "stretches")
+    spans = stretches.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
