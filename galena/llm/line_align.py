@@ -193,7 +193,8 @@ def dedupe_lines(df: DataFrame, key: str = "doc_id", text: str = "text", lines:
     order = F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("id"), F.xxhash64(own).alias("text"))
     gone = written(removed_lines(df.select(order.alias("key"), own.alias("text"))), "removed-lines")
     gone = gone.select(F.col("key").alias("__of"), F.col("removed").alias("__gone"))
-    both = df.withColumn("__key", order).join(gone, F.col("__key") == F.col("__of"), "left")
+    # The table of removals grows with the documents, so it is not to be broadcast at any size.
+    both = df.withColumn("__key", order).join(gone.hint("merge"), F.col("__key") == F.col("__of"), "left")
     kept = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     columns = [F.when(F.col("__gone").isNull(), own).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
     total = F.size(F.split(F.coalesce(own, F.lit("")), "\n")).cast("bigint").alias(lines)
