@@ -2,17 +2,17 @@
 
 Steps, each a Spark job whose result is written:
 
-1. frequent: shingles that chunks of documents hold more than once are counted. That list (of bounded length) fixes one
-   order of all shingles: the rarer first, ties and all others by hash. Any order gives the same links; this one keeps
+1. frequent: all shingles are counted, and the most frequent are listed. That list (of bounded length) fixes one order of
+   all shingles: those that are not on it first, then the rarer ones first, ties by hash. Any order gives the same links; this one keeps
    common passages out of the prefixes.
 2. sets: documents with equal sets are one node. A set's prefix is its first n - ceil(t n) + 1 shingles: two sets that
    link share a shingle of their prefixes. Nodes with equal prefix and size are one group.
 3. Groups that share prefix shingles are paired. A pair's count of shared prefix shingles bounds its overlap, which
    filters nearly all pairs; the rest is expanded to nodes and verified on whole sets.
 
-Only which nodes are connected is asked for, so pairs of nodes that are known to be connected are skipped: first each
-group is paired with one hub only (a number of pairs in proportion to the groups), then all pairs that lie in different
-components so far. A group of copies that all link takes a linear number of pairs; no link between components is lost.
+Only which nodes are connected is asked for, so pairs of nodes that are known to be connected are skipped: in a few rounds
+each group is paired with a few hubs of other components (a number of pairs in proportion to the groups; hubs change with
+the round), then all pairs that lie in different components so far are compared. A group of copies that all link takes a linear number of pairs; no link between components is lost.
 
 Shingles are 64-bit hashes of hashes of words, and nodes are 64-bit hashes of sets.
 """
@@ -35,9 +35,11 @@ from galena.llm.shared import batches, small_batches, tidy, written
 WIDTH = 5
 #: Similarity as a fraction: two sets link if TIMES the intersection's size is at least LEAST times the union's.
 TIMES, LEAST = 100, 75
-#: Shingles of a chunk that are looked through for repeats at once, sum of repeats that makes one frequent, and the most
-#: frequent ones that are kept (16 bytes each; they are broadcast). They order shingles and decide nothing else.
-CHUNK, FREQUENT, KEPT = 2_000_000, 4, 1_000_000
+#: Shingles that a task holds at once, and that a range of hashes has on average; the sets that make a shingle frequent,
+#: how many frequent ones are kept (16 bytes each; they are broadcast), and the count beyond which only powers of two are told apart. They order shingles and decide nothing else.
+CHUNK, RANGE, FREQUENT, KEPT, MOST = 2_000_000, 500_000, 3, 600_000, 10_000
+#: Rounds in which groups are linked with hubs before all pairs across components are compared, and hubs a round.
+ROUNDS, HUBS = 2, 3
 WORDS = 400_000
 
 
@@ -77,15 +79,24 @@ def prefix_length(n: int) -> int:
 
 
 def frequent_shingles(docs: DataFrame) -> DataFrame:
-    """hash, count of the shingles that chunks hold in more than one set, the most frequent KEPT of them."""
+    """hash, count of the KEPT most frequent shingles of all documents, of those that FREQUENT sets or more have.
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every shingle is counted. So that the whole of them stays small in the shuffle, chunks send sorted arrays of 32 bits
+    a shingle, one for each range of hashes; there are so many ranges that one is merged in little memory. Hashes are
+    told apart by range and those bits: at worst two shingles share a count, and with it their place in the order.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, int(total / 5 / RANGE).bit_length())
+
+    def send(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
-        def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])], names=["hash", "count"])
+        def packed() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held)) >> np.uint64(32 - bits)
+            edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+            low = keys.astype(np.uint32)
+            parts = [(i, low[x:y].tobytes()) for i, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["range", "hashes"])
 
         for b in batches(frames):
             for text in b.column("text").cast(pa.binary()).to_pylist():
@@ -96,20 +107,37 @@ def frequent_shingles(docs: DataFrame) -> DataFrame:
                     held.append(s)
                     size += len(s)
             if size > CHUNK:
-                yield counted()
+                yield packed()
                 held, size, seen = [], 0, set()
-        if held:
-            yield counted()
-
-    parts = docs.select("text").mapInArrow(run, "hash bigint, count bigint")
-    summed = parts.groupBy("hash").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT)
-    return summed.orderBy(F.desc("count"), "hash").limit(KEPT)
+        if size:
+            yield packed()
+
+    def count(key, group):
+        parts = [np.frombuffer(x, np.uint32) for x in group.column("hashes").to_pylist()]
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        many = counts >= FREQUENT
+        keys = (np.uint64(key[0].as_py()) << np.uint64(32)) | values[many].astype(np.uint64)
+        return pa.table({"hash": keys.view(np.int64), "count": counts[many].astype(np.int64)})
+
+    counted = docs.select("text").mapInArrow(send, "range int, hashes binary").groupBy("range").applyInArrow(count, "hash bigint, count bigint")
+    counted = written(counted, "shingle-counts")
+    # The least count that KEPT shingles or fewer reach, from how many shingles there are of each count.
+    rough = F.when(F.col("count") <= MOST, F.col("count")).otherwise(MOST * F.pow(F.lit(2.0), F.floor(F.log2(F.col("count") / MOST))).cast("bigint"))
+    by_count = counted.groupBy(rough.alias("count")).agg(F.count(F.lit(1)).alias("many")).collect()  # MOST + 64 rows
+    least, room = 1 << 62, KEPT
+    for r in sorted(by_count, key=lambda r: -r["count"]):
+        room -= r["many"]
+        if room < 0:
+            break
+        least = r["count"]
+    return counted.where(F.col("count") >= least).select("hash", "count", F.lit(bits).alias("bits"))
 
 
 def ordered_sets(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """key, n, node, prefix (packed hashes) and group for each document; node and group are null for empty sets."""
-    rows = frequent.toPandas().sort_values("hash", key=lambda c: c.to_numpy().view(np.uint64))  # KEPT rows at most
-    shared = docs.sparkSession.sparkContext.broadcast((rows["hash"].to_numpy().view(np.uint64).copy(), rows["count"].to_numpy().astype(np.int64)))
+    rows = frequent.toPandas().sort_values("hash")  # KEPT rows at most
+    bits = int(rows["bits"].max()) if len(rows) else 4
+    shared = docs.sparkSession.sparkContext.broadcast((rows["hash"].to_numpy().astype(np.uint64), rows["count"].to_numpy().astype(np.int64)))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
@@ -122,8 +150,9 @@ def ordered_sets(docs: DataFrame, frequent: DataFrame) -> DataFrame:
                     nodes.append(None), prefixes.append(None), groups.append(None)
                     continue
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s_count = np.where(known[at] == s, counts[at], 0)
+                    own = s >> np.uint64(32 - bits)
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    s_count = np.where(known[at] == own, counts[at], 0)
                     first = s[np.argsort(s_count, kind="stable")[: prefix_length(len(s))]]
                 else:
                     first = s[: prefix_length(len(s))]
@@ -219,19 +248,28 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     chosen = nodes.groupBy("grp").agg(F.min(F.struct("node", "key")).alias("c")).select("grp", "c.node", "c.key")
     groups = full.join(chosen, ["grp", "node", "key"], "left_semi").dropDuplicates(["grp"]).select("grp", "n", "prefix")
     postings = unpack_tokens(groups)
-    shared = postings.groupBy("token").agg(F.min(F.struct("n", "grp")).alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    tokens = written(postings.join(shared.select("token", "hub"), "token"), "postings")
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    tokens = written(postings.join(shared.select("token"), "token"), "postings")
 
-    hubs = tokens.where(F.col("grp") != F.col("hub.grp")).groupBy("grp", "n", "hub").agg(F.count(F.lit(1)).alias("same"))
-    hubs = hubs.where(may_link(F.col("n"), F.col("hub.n"))).groupBy("grp", "n").agg(F.max(F.struct("same", F.col("hub.grp").alias("to"), F.col("hub.n").alias("to_n"))).alias("h"))
-    hubs = hubs.where(enough_shared(F.col("h.same"), F.col("n"), F.col("h.to_n"))).select("grp", F.col("h.to").alias("to"))
     rep = of_groups.select("grp", "hub_node")
-    far = hubs.join(rep, "grp").select("to", F.col("hub_node").alias("a")).join(rep.select(F.col("grp").alias("to"), F.col("hub_node").alias("b")), "to").select("a", "b")
     near = nodes.join(rep, "grp").where("node <> hub_node").select(F.col("node").alias("a"), F.col("hub_node").alias("b"))
-    first = verified(far.unionByName(near), docs, nodes)
-
-    known = nodes.join(components(first), "node", "left").select("node", "grp", "n", F.coalesce("component", "node").alias("component"))
-    known = written(known, "known")
+    known = written(nodes.withColumn("component", F.col("node")), "known")
+    first = None
+    for i in range(ROUNDS):
+        # A group whose nodes lie in several components counts as part of the smallest here.
+        of = known.groupBy("grp").agg(F.min("component").alias("component"))
+        listed = tokens.select("token", "grp", "n").join(of, "grp")
+        hub = [F.min(F.struct(F.xxhash64("grp", F.lit(HUBS * i + j)).alias("order"), "grp", "n", "component", F.lit(j).alias("turn"))) for j in range(HUBS)]
+        hubs = listed.groupBy("token").agg(F.array_distinct(F.array(*hub)).alias("hubs"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "hubs")
+        met = listed.join(hubs, "token").select("grp", "n", "component", F.explode("hubs").alias("hub")).where((F.col("component") != F.col("hub.component")) & may_link(F.col("n"), F.col("hub.n")))
+        met = met.groupBy("grp", "n", F.col("hub.grp").alias("to"), F.col("hub.n").alias("to_n"), F.col("hub.turn").alias("turn")).agg(F.count(F.lit(1)).alias("same"))
+        best = met.groupBy("grp", "n", "turn").agg(F.max(F.struct("same", "to", "to_n")).alias("h")).where(enough_shared(F.col("h.same"), F.col("n"), F.col("h.to_n")))
+        far = best.select("grp", F.col("h.to").alias("to")).join(rep, "grp").select("to", F.col("hub_node").alias("a")).join(rep.select(F.col("grp").alias("to"), F.col("hub_node").alias("b")), "to").select("a", "b")
+        found = verified(far if i else far.unionByName(near), docs, nodes)
+        if i and not found.take(1):
+            break
+        first = found if first is None else first.unionByName(found)
+        known = written(nodes.join(components(first), "node", "left").select("node", "grp", "n", F.coalesce("component", "node").alias("component")), "known")
     per_group = written(known.groupBy("grp", "component").agg(F.min("n").alias("n")), "group-components")
     # Tokens whose groups all lie in one component are done with.
     listed = tokens.select("token", "grp").join(per_group, "grp")
