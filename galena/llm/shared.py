@@ -19,8 +19,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete a job's shuffle files when the job ends: steps hand on written tables, not shuffles."""
+    """For operators of many jobs: shuffle files are deleted when a job ends, as steps hand on written tables, and the
+    driver keeps short plan texts."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
