@@ -84,6 +84,32 @@ def test_cutoffs_keep_to_the_risk(spark):
     assert set(got) == {None, "a"}
 
 
+def test_cutoffs_at_a_thousand_labels(spark):
+    # 1,000 good labels in each of two strata, none with symbols, junk of about a half: told apart without error.
+    good = [(2 * i + j, lang, "") for i in range(1000) for j, lang in enumerate(("a", "b"))]
+    junk = [(10_000 + i, "a", " ".join(f"w{k}" for k in range(40)) + " " + "#" * 100) for i in range(50)]
+    few = [(20_000, "c", junk[0][2]), (20_001, "c", "one word")]
+    docs = [(k, lang, text or " ".join(f"{lang}{(k * 7 + m) % 99991}" for m in range(30))) for k, lang, text in good + junk + few]
+    labels = [(k, 1) for k, _, _ in good] + [(k, 0) for k, _, _ in junk] + [(20_001, 1)]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(docs, "doc_id bigint, lang string, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    assert all(got[k].kept for k, _, _ in good)
+    assert not any(got[k].kept or got[k].base_failed for k, _, _ in junk)
+    assert got[20_000].kept  # a stratum with too few labels has no cutoff
+
+
+def test_least_labels_and_the_joint_risk(spark):
+    least = quality_rules.least_labels(1)
+    rows = lambda n, bad: spark.range(n).select(
+        F.lit("a").alias("stratum"), F.when(F.col("id") < bad, 0.25).otherwise(0.0).alias("symbol_share"),
+        F.when(F.col("id").between(bad, 2 * bad - 1), 0.25).otherwise(0.0).alias("dup_line_share"), F.lit(0.9).alias("repeat_share"), F.lit(0.9).alias("shout_share"),
+    )
+    assert quality_rules.choose_cutoffs(rows(least, 0), "stratum").count() == 1 and quality_rules.choose_cutoffs(rows(least - 1, 0), "stratum").count() == 0
+    # 0.6 % of good documents by either rule: each alone keeps to 1 %, both together do not.
+    one = quality_rules.choose_cutoffs(rows(20_000, 120), "stratum", rows=rows(20_000, 2_000)).first()
+    assert sorted(x or 1 for x in (one.max_symbol_share, one.max_dup_line_share)) in ([0.02, 1], [0.3, 0.3])
+    assert one.max_repeat_share is None and one.max_shout_share is None
+
+
 def test_op10_against_brute_force(spark, small_docs):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     texts = {r.doc_id: r.text for r in small_docs.collect()}
