@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Documents are paired through shared runs of lines: from each line on, the shortest run of at least MIN_WORDS words is
-hashed, and every document that has a run is paired with the first document that has it. That is one pair for a run and
-document however many documents share it, and it finds every common block of MIN_WORDS words: the rare runs lead to
-their few holders, the common ones to their first. Each pair is aligned by patience diff over the lines both have, and
-the aligned common blocks of at least MIN_WORDS words are deleted from the later document.
+Documents are paired through shared runs of lines: from each line on, and up to each line, the shortest run of at least
+MIN_WORDS words is hashed, and every document that has a run is paired with the first document that has it. That is one
+pair for a run and document however many documents share it, and every line of every common block of MIN_WORDS words
+lies in such a run: the rare runs lead to their few holders, the common ones to their first. Each pair is aligned by
+patience diff over the lines both have. Runs that both have and the alignment leaves, as it keeps to the order and takes
+a line once, are aligned by themselves. Common blocks of at least MIN_WORDS words are deleted from the later document,
+which is what a comparison with every earlier document finds.
 
 Documents are in order of their key, null last, then of their text's hash. Lines without words are not aligned: they are
 looked past, and stay. Every deleted line stands in an earlier document, so its first occurrence always stays.
@@ -37,17 +39,33 @@ def worded_lines(text: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def runs(hashes: list[int], words: list[int]) -> Iterator[int]:
-    """The hash of the shortest run of at least MIN_WORDS words from each line on, where there is one."""
+def windows(words: list[int]) -> set[tuple[int, int]]:
+    """(start, end) of the shortest run of at least MIN_WORDS words from each line on, and up to each line."""
+    out, start, total = set(), 0, 0
+    for end, w in enumerate(words, 1):  # up to each line
+        total += w
+        while total - words[start] >= MIN_WORDS:
+            total -= words[start]
+            start += 1
+        if total >= MIN_WORDS:
+            out.add((start, end))
     end = total = 0
-    for start in range(len(hashes)):
-        while end < len(hashes) and total < MIN_WORDS:
+    for start, w in enumerate(words):  # from each line on
+        while end < len(words) and total < MIN_WORDS:
             total += words[end]
             end += 1
         if total < MIN_WORDS:
-            return
-        yield xxhash.xxh64_intdigest(np.array(hashes[start:end], np.int64).tobytes()) - (1 << 63)
-        total -= words[start]
+            break
+        out.add((start, end))
+        total -= w
+    return out
+
+
+def runs(hashes: list[int], words: list[int]) -> Iterator[int]:
+    """The hashes of a document's runs."""
+    own = np.array(hashes, np.int64)
+    for start, end in windows(words):
+        yield xxhash.xxh64_intdigest(own[start:end].tobytes()) - (1 << 63)
 
 
 def longest_ascent(values: list[int]) -> list[int]:
@@ -116,19 +134,46 @@ def patience(a: dict[int, int], b: dict[int, int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int]) -> list[int]:
+def aligned_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int]) -> set[int]:
     """Places of the later document in aligned blocks (neighbours on both sides) of at least MIN_WORDS words."""
-    out, block, last = [], [], (NO_LINE - 1, NO_LINE - 1)
+    out, block, last = set(), [], (NO_LINE - 1, NO_LINE - 1)
     for i, j in [*patience(later, earlier), (1 << 60, 1 << 60)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             if sum(words[p] for p in block) >= MIN_WORDS:
-                out += block
+                out.update(block)
             block = []
         block.append(i)
         last = (i, j)
     return out
 
 
+def placed_runs(lines: dict[int, int], words: dict[int, int]) -> Iterator[tuple[list[int], tuple[int, ...]]]:
+    """The places and the line hashes of each run of a sequence, given as place → line hash. words: by line hash."""
+    stretch: list[int] = []
+    for p in [*sorted(lines), 1 << 60]:
+        if stretch and p != stretch[-1] + 1:
+            for start, end in windows([words[lines[x]] for x in stretch]):
+                own = stretch[start:end]
+                yield own, tuple(lines[x] for x in own)
+            stretch = []
+        stretch.append(p)
+
+
+def common_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int]) -> list[int]:
+    """Places of the later document in blocks of at least MIN_WORDS words that the earlier one has: those that are
+    aligned, then the runs that are left. words: by place of the later document."""
+    out = aligned_blocks(later, earlier, words)
+    if len(out) < len(later):
+        by_line = {h: words[p] for p, h in later.items()}
+        left = [(own, run) for own, run in placed_runs(later, by_line) if not out.issuperset(own)]
+        if left:
+            there = {run for _, run in placed_runs({p: h for p, h in earlier.items() if h in by_line}, by_line)}
+            for own, run in left:
+                if run in there:
+                    out.update(own)
+    return sorted(out)
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """key, removed: the numbers of the lines to delete, for the documents that have any. docs: key, text."""
 

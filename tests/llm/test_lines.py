@@ -46,6 +46,41 @@ def test_passages_over_several_lines(spark):
     assert all(got[k] == was[k] for k in (0, 100, 101))  # the first holder, and runs of nine and eighteen words
 
 
+def held_before(rows):
+    """rows: (key, text). Lines in stretches of worded lines, of 20 words or more, that any earlier text has, by plain comparison of all pairs of places."""
+    out, split = {}, {k: [x for x in t.split("\n") if x.split()] for k, t in rows}
+    for k, lines in split.items():
+        gone = set()
+        for other in (split[o] for o in split if o < k):
+            for i in range(len(lines)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[i : i + n]) >= 20:
+                        gone |= set(range(i, i + n))
+        out[k] = [x for i, x in enumerate(lines) if i not in gone]
+    return out
+
+
+def test_reordered_and_twice_held_passages(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    a, b, tail = [line("a", 12), line("aa", 12)], [line("b", 12), line("bb", 12)], line("t", 3)
+    texts = {1: [*b, line("y", 25), *a], 2: [*a, tail], 3: [*a, line("x", 25), *b], 4: [*a, line("z", 5), *a], 5: [line("q", 3), *a, tail], 6: [*b, *b, *b, *a]}
+    rows = [(k, "\n".join(x)) for k, x in texts.items()]
+    got = {r.doc_id: r.text.split("\n") for r in line_align.dedupe_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[2] == [tail] and got[3] == [line("x", 25)] and got[4] == [line("z", 5)] and got[5] == [line("q", 3)] and got[6] in ([], [""])
+
+
+def test_shuffled_passages_against_every_earlier_document(spark):
+    draw = random.Random(8)
+    lines = [" ".join(f"l{i}w{k}" for k in range(draw.choice((1, 3, 7, 11, 19, 25)))) for i in range(12)]
+    rows = [(i, "\n".join(draw.choice(lines) if draw.random() < 0.9 else f"own {i}" for _ in range(draw.randrange(1, 14)))) for i in range(150)]
+    want = held_before(rows)
+    got = {r.doc_id: r.text for r in line_align.dedupe_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k: [x for x in t.split("\n") if x] for k, t in got.items()} == want
+
+
 def test_patience_by_hand():
     seq = lambda s: dict(enumerate(map(ord, s)))
     assert line_align.patience(seq("abcde"), seq("abXde".replace("X", "c"))) == [(i, i) for i in range(5)]
