@@ -186,8 +186,11 @@ def join_path(model: Model, base: str, wanted: set[str]) -> list[Join]:
     return out
 
 
-def metric_query(model: Model, query: MetricQuery) -> DataFrame:
-    """Time, dimensions and measures, in that order, as the query asks; Refused if it has no correct answer."""
+def metric_groups(model: Model, query: MetricQuery, fold: Callable[[DataFrame, Column], tuple[DataFrame, Column]] | None = None) -> tuple[DataFrame, set[str]]:
+    """All groups of a query, without its order and limit, and the names of its keys.
+
+    fold, if given, changes the joined rows and the key of each dimension before they are grouped.
+    """
     if not query.measures:
         raise Refused("no measure")
     measures = [model.measure(m) for m in query.measures]
@@ -224,13 +227,20 @@ def metric_query(model: Model, query: MetricQuery) -> DataFrame:
         shared = sum(a.name == attribute.name for e in model.entities for a in e.attributes) > 1
         name = f"{entity.name}_{attribute.name}" if shared else attribute.name
         own = column(entity.name, attribute.source)
-        keys.append((mask_kind(own, attribute.pii) if hidden(attribute) else own).alias(name))
+        own = mask_kind(own, attribute.pii) if hidden(attribute) else own
+        if fold:
+            df, own = fold(df, own)
+        keys.append(own.alias(name))
         taken.add(name)
     values = [aggregate(m, lambda c: column(base, c)).alias(m.name) for m in measures]
-    out = df.groupBy(*keys).agg(*values) if keys else df.agg(*values)
+    return (df.groupBy(*keys).agg(*values) if keys else df.agg(*values)), taken
 
+
+def metric_query(model: Model, query: MetricQuery, fold: Callable[[DataFrame, Column], tuple[DataFrame, Column]] | None = None) -> DataFrame:
+    """Time, dimensions and measures, in that order, as the query asks; Refused if it has no correct answer."""
+    out, taken = metric_groups(model, query, fold)
     names = out.columns
-    order = query.order or ((measures[0].name, True),)
+    order = query.order or ((query.measures[0], True),)
     if wrong := [c for c, _ in order if c not in names]:
         raise Refused(f"ordered by {wrong[0]}, which is not selected")
     ties = [c for c in names if c in taken and c not in {c for c, _ in order}]

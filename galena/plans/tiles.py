@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galena.plans.metrics import MOST_ROWS, Filter, MetricQuery, Model, Refused, metric_query
+from galena.plans.metrics import MOST_ROWS, Filter, MetricQuery, Model, Refused, metric_groups, metric_query
 
 PERIODS = 60
 KEEP = {"donut": 6, "bar": 8, "stacked": 8}
@@ -61,26 +61,28 @@ def fold_tail(model: Model, measures, dimension: str, keep: int, filters=()) ->
     """The `keep` labels largest by the first measure's size, and all others as one "Other (n)".
 
     Labels are folded only when there are more than keep + 1. The rest is aggregated from the rows again, so averages
-    and distinct counts of it are right; groups are ranked before any limit, so nothing is lost.
+    and distinct counts of it are right; all groups are ranked and counted, so nothing is lost. Only the labels that
+    are shown are broadcast.
     """
     measures = tuple(measures)
-    entity, attribute = model.attribute(dimension)
+    _, attribute = model.attribute(dimension)
     if attribute.pii is not None:
         raise Refused(f"{dimension} is personal data")
-    every = replace(MetricQuery(measures, (dimension,), filters=tuple(filters)), limit=MOST_ROWS)
-    groups = metric_query(model, every)
-    groups = groups.withColumnRenamed(groups.columns[0], "of")
-    # One row a label: ranked in one task, bounded by MOST_ROWS.
-    ranked = groups.withColumn("rn", F.row_number().over(Window.orderBy(F.abs(measures[0]).desc(), F.col("of").asc_nulls_last())))
-    ranked = ranked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    folds = (F.col("n") > keep + 1) & (F.col("rn") > keep)
-    shown = ranked.select("of", F.when(folds, F.concat(F.lit("Other ("), (F.col("n") - keep).cast("string"), F.lit(")"))).otherwise(label(F.col("of"))).alias("__label"))
-    base = entity.table.join(shown, entity.table[attribute.source].eqNullSafe(F.col("of")), "left").drop("of")
-    folded = replace(entity, table=base, attributes=(replace(attribute, name="__label", column="__label"),))
-    fold_model = replace(model, entities=tuple(folded if e.name == entity.name else e for e in model.entities))
-    query = MetricQuery(measures, (f"{entity.name}.__label",), filters=tuple(filters), limit=keep + 1)
-    out = metric_query(fold_model, query)
-    return out.select(F.coalesce(F.col(out.columns[0]), F.lit("Not set")).alias("label"), *measures)
+    query = MetricQuery(measures, (dimension,), filters=tuple(filters), limit=keep + 1)
+    groups, _ = metric_groups(model, query)
+    groups = groups.select(F.col(groups.columns[0]).alias("__of"), F.abs(measures[0]).alias("size"))
+    total = groups.agg(F.count(F.lit(1)).alias("__n"))
+    by_size = [F.col("size").desc(), F.col("__of").asc_nulls_last()]
+    ranked = groups.orderBy(*by_size).limit(keep + 1).withColumn("rn", F.row_number().over(Window.orderBy(*by_size)))
+    shown = ranked.crossJoin(F.broadcast(total)).where((F.col("rn") <= keep) | (F.col("__n") <= keep + 1)).select("__of", label(F.col("__of")).alias("__label"))
+
+    def fold(df: DataFrame, own: Column) -> tuple[DataFrame, Column]:
+        both = df.join(F.broadcast(shown), own.eqNullSafe(F.col("__of")), "left").crossJoin(F.broadcast(total))
+        rest = F.concat(F.lit("Other ("), (F.col("__n") - keep).cast("string"), F.lit(")"))
+        return both, F.coalesce("__label", rest)
+
+    out = metric_query(model, query, fold)
+    return out.withColumnRenamed(out.columns[0], "label")
 
 
 def share(model: Model, measure: str, dimension: str, keep: int = KEEP["donut"], filters=()) -> DataFrame:

@@ -175,6 +175,14 @@ def test_folding_keeps_the_total(spark):
     assert made["good"].count() == 1 and isinstance(made["bad"], str)
 
 
+def test_folding_more_labels_than_a_query_shows(spark):
+    # 60,002 labels; the largest by size is negative, and rows without a label are in the tail.
+    table = spark.range(60_000).selectExpr("id", "concat('c', id) c", "if(id = 5, -1e6, if(id = 6, 2e5, 1.0)) x").unionByName(spark.createDataFrame([(60_000, None, 0.5), (60_001, "z", 2.0)], "id bigint, c string, x double"))
+    own = Model((Entity("t", table, (Attribute("c"),)),), (Measure("x", "t", "sum", "x"), Measure("n", "t", "count")))
+    got = {r.label: (r.x, r.n) for r in tiles.fold_tail(own, ("x", "n"), "t.c", 3).collect()}
+    assert got == {"c5": (-1e6, 1), "c6": (2e5, 1), "z": (2.0, 1), "Other (59999)": (59_998.5, 59_999)}
+
+
 def test_lineage_ends_on_cycles(spark):
     rows = [("a", "x", "b", "x", "s", None), ("b", "x", "c", "x", "s", None), ("c", "x", "a", "x", "s", None), ("c", "x", "tile", "t", "d", "bar")]
     own = lineage.edges(spark, rows)
