@@ -10,7 +10,7 @@ Steps, each a Spark job whose result is written:
 3. Groups that share prefix shingles are paired. A pair's count of shared prefix shingles bounds its overlap, which
    filters nearly all pairs; the rest is expanded to nodes and verified on whole sets.
 
-Only which nodes are connected is asked for, so pairs of nodes that are known to be connected are skipped: in a few rounds
+`similarity_links` gives every link. Where only components are asked for (`similarity_components`), pairs of nodes that are known to be connected are skipped: in a few rounds
 each group is paired with a few hubs of other components (a number of pairs in proportion to the groups; hubs change with
 the round), then all pairs that lie in different components so far are compared. A group of copies that all link takes a linear number of pairs; no link between components is lost.
 
@@ -41,6 +41,8 @@ CHUNK, RANGE, FREQUENT, KEPT, MOST = 2_000_000, 500_000, 3, 600_000, 10_000
 #: Rounds in which groups are linked with hubs before all pairs across components are compared, and hubs a round.
 ROUNDS, HUBS = 2, 3
 WORDS = 400_000
+#: Groups of one token that a task pairs at once: tokens of more are split.
+SALTED = 500
 
 
 class WordHashes(dict):
@@ -229,28 +231,81 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(check, "a bigint, b bigint").distinct(), "links")
 
 
-def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of df: key, n_shingles, component_id (the smallest key that links reach, its own included).
-
-    Texts that are null or without words have no shingles, link with nothing and keep their own key. Rows of null key
-    take part; a component of such rows alone has a null id. Repeated rows stay. Other columns are not looked at.
-    """
-    small_batches(df.sparkSession)
-    tidy(df.sparkSession)
+def prepared(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs (key, text, of), sets (one a row of df), nodes, and tokens (token, grp, n, many: the token's groups) that
+    several groups have."""
     own = df.select(F.col(key).cast("bigint").alias("of"), F.col(text).alias("text"))
-    docs = own.select(F.coalesce("of", F.xxhash64("text")).alias("key"), "text", "of")
+    # With a constant, as the plain hash of a null text is 42, which may be a key.
+    docs = own.select(F.coalesce("of", F.xxhash64("text", F.lit("no key"))).alias("key"), "text", "of")
     frequent = written(frequent_shingles(docs), "frequent")
     sets = written(ordered_sets(docs.select("key", "text"), frequent), "sets")
     full = sets.where("node is not null")
     nodes = written(full.groupBy("node").agg(F.min("key").alias("key"), F.min("grp").alias("grp"), F.min("n").alias("n")), "nodes")
-    of_groups = nodes.groupBy("grp").agg(F.min("node").alias("hub_node"), F.min("n").alias("n"))
     # One document's row brings a group's prefix along, so that prefixes are shuffled once a group.
     chosen = nodes.groupBy("grp").agg(F.min(F.struct("node", "key")).alias("c")).select("grp", "c.node", "c.key")
     groups = full.join(chosen, ["grp", "node", "key"], "left_semi").dropDuplicates(["grp"]).select("grp", "n", "prefix")
     postings = unpack_tokens(groups)
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    tokens = written(postings.join(shared.select("token"), "token"), "postings")
+    tokens = written(postings.join(shared, "token"), "postings")
+
+    return docs, sets, nodes, tokens
+
+
+def group_pairs(tokens: DataFrame) -> DataFrame:
+    """g, k: every pair of groups whose shared prefix shingles leave room for a link.
+
+    The groups of a token are dealt to parts of about SALTED by hash, and each part meets all of them in a task of its own.
+    """
+    parts = F.ceil(F.col("many") / SALTED).cast("int")
+    own = tokens.select("token", F.pmod(F.xxhash64("grp"), parts).cast("int").alias("part"), F.col("grp").alias("g"), F.col("n").alias("gn"))
+    other = tokens.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("grp").alias("k"), F.col("n").alias("kn"))
+    met = own.join(other, ["token", "part"]).where((F.col("g") < F.col("k")) & may_link(F.col("gn"), F.col("kn")))
+    met = met.groupBy("g", "gn", "k", "kn").agg(F.count(F.lit(1)).alias("same"))
+    return met.where(enough_shared(F.col("same"), F.col("gn"), F.col("kn"))).select("g", "k")
+
 
+def similarity_links(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, and the members of each set: (a, b: classes, a < b) and (key, n_shingles, class).
+
+    A class is the documents of one set; its id is the set's hash, null for texts without shingles. All pairs of classes
+    that the prefixes leave possible are verified on whole sets, also within a component. Links of documents are the
+    links joined with the members of either side, and all pairs within a class.
+    """
+    small_batches(df.sparkSession)
+    tidy(df.sparkSession)
+    docs, sets, nodes, tokens = prepared(df, key, text)
+    pairs = written(group_pairs(tokens), "group-pairs")
+    member = lambda g, node: nodes.select(F.col("grp").alias(g), F.col("node").alias(node))
+    across = pairs.join(member("g", "a"), "g").join(member("k", "b"), "k").select("a", "b")
+    within = member("g", "a").join(member("g", "b"), "g").where("a < b").select("a", "b")
+    both = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Keys made up for null ones are told by joining them with the rows again, as in similarity_components.
+    made_up = docs.where("of is null").select("key").distinct().withColumn("null_key", F.lit(True))
+    members = sets.join(made_up, "key", "left").select(F.when(F.col("null_key").isNull(), F.col("key")).alias(key), F.col("n").alias("n_shingles"), F.col("node").alias("class"))
+    return verified(both, docs, nodes), written(members, "members")
+
+
+def link_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of df: key, n_shingles, class, n_links (the other rows that it links with, those of its own class
+    included). Texts without shingles have a null class and no links."""
+    links, members = similarity_links(df, key, text)
+    size = written(members.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("size")), "class-sizes")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = ends.join(size.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("size").alias("far"))
+    each = size.join(far, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return members.join(each, "class", "left").select(key, "n_shingles", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of df: key, n_shingles, component_id (the smallest key that links reach, its own included).
+
+    Texts that are null or without words have no shingles, link with nothing and keep their own key. Rows of null key
+    take part; a component of such rows alone has a null id. Repeated rows stay. Other columns are not looked at.
+    """
+    small_batches(df.sparkSession)
+    tidy(df.sparkSession)
+    docs, sets, nodes, tokens = prepared(df, key, text)
+    of_groups = nodes.groupBy("grp").agg(F.min("node").alias("hub_node"), F.min("n").alias("n"))
     rep = of_groups.select("grp", "hub_node")
     near = nodes.join(rep, "grp").where("node <> hub_node").select(F.col("node").alias("a"), F.col("hub_node").alias("b"))
     known = written(nodes.withColumn("component", F.col("node")), "known")

@@ -73,3 +73,34 @@ def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 5000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(101)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def brute_links(rows):
+    """(key, text) → (key, set size, linked rows) by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    link = lambda x, y: x and y and 100 * len(x & y) >= 75 * len(x | y)
+    return [(key, len(sets[i]), sum(bool(link(sets[i], s)) for j, s in enumerate(sets) if i != j)) for i, (key, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("salted", [3, 500])
+def test_every_link_of_a_family_is_counted(spark, salted, messy):
+    import random
+
+    draw = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):  # near copies with different sets: nearly all pairs link
+        at = draw.randrange(len(base))
+        rows.append((i, " ".join([*base[:at], f"own{i}", *base[at + 1 :]])))
+    rows += [(100 + i, " ".join(base)) for i in range(4)] + [(200, "a b"), (201, "A  b"), (202, "other words")]
+    rows += [(r.doc_id, r.text) for r in messy.collect()]
+    old, ngram_join.SALTED = ngram_join.SALTED, salted
+    got = ngram_join.link_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    ngram_join.SALTED = old
+    want = brute_links(rows)
+    assert sum(n for _, _, n in want) > 60 * 59
+    assert plain((r.doc_id, r.n_shingles, r.n_links) for r in got) == plain(want)
+    assert all((r["class"] is None) == (r.n_shingles == 0) for r in got)
