@@ -1,7 +1,7 @@
 """SQL twins of the corpus queries that SQL can express, by plain comparison of words and windows."""
 
 from galena.llm.exprs import LOWER, UPPER
-from galena.llm.quality_rules import CUTOFFS
+from galena.llm.quality_rules import CUTOFFS, DELTA, RISK
 
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -23,13 +23,23 @@ h as (select doc_id, count(distinct i + k) n from (select doc_id, i, count(*) ov
 b as (select doc_id, lang, cast(len(ws) as bigint) n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) n_symbols,
  cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines, coalesce(n, 0) n_repeat_words, len(ls) n_lines, len(list_filter(ws, lambda x: regexp_matches(x, '!!|^\p{{Lu}}{{2,}}\W*$'))) n_shouts from w left join h using (doc_id)),
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from b),
-s as (select doc_id, lang, 'a' r, coalesce(n_symbols / nullif(word_chars, 0), 0) x from f union all select doc_id, lang, 'b', coalesce(n_dup_lines / nullif(n_lines, 0), 0) from f
- union all select doc_id, lang, 'c', coalesce(n_repeat_words / nullif(n_words, 0), 0) from f union all select doc_id, lang, 'd', coalesce(n_shouts / nullif(n_words, 0), 0) from f),
-k as (select lang, r, cut, count(*) n, count(*) filter (where x > cut) k from s join labels using (doc_id), (select unnest({list(CUTOFFS)}) cut) where quality = 1 group by 1, 2, 3),
-p as (select lang, r, cut, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0025) + (n - i) * ln(0.9975))) p from (select *, unnest(range(0, k + 1)) i from k) group by 1, 2, 3),
-c as (select lang, r, min(cut) cut from p where p <= 0.05 / (40 * (select count(distinct lang) from k)) group by 1, 2),
-o as (select distinct doc_id from s join c on s.lang is not distinct from c.lang and s.r = c.r where x > cut)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from o) kept from f"""
+s as (select *, [coalesce(n_symbols / nullif(word_chars, 0), 0), coalesce(n_dup_lines / nullif(n_lines, 0), 0), coalesce(n_repeat_words / nullif(n_words, 0), 0), coalesce(n_shouts / nullif(n_words, 0), 0)] x from f),
+y as (select *, list_transform(x, lambda v: len(list_filter({list(CUTOFFS)}, lambda c: v > c))) e from s),
+k as (select lang, quality, e from y join labels using (doc_id) where quality = 1 or (quality = 0 and not base_failed)),
+g as (select lang, count(*) n from k where quality = 1 group by 1),
+o as (select lang, case when n < ceil(ln({DELTA} / (select count(*) from g)) / ln(1 - {RISK})) then '*' else coalesce('=' || lang, '-') end part from g),
+kp as (select part, quality, e from k join o on k.lang is not distinct from o.lang),
+c as (select part, r, count(*) caught, min(e[r]) - 1 lim from kp, range(1, 5) t(r) where quality = 0 and e[r] > 0 group by 1, 2),
+q as (select *, row_number() over (partition by part order by caught desc, r) place from c),
+st as (select part, place, r, unnest(range(lim, {len(CUTOFFS)})) i from q),
+pa as (select st.part, st.place * {len(CUTOFFS)} - st.i step, m, case when m = st.r then st.i when q.place < st.place then q.lim else {len(CUTOFFS)} end lim from st, range(1, 5) u(m) left join q on q.part = st.part and q.r = m),
+pl as (select part, step, list(lim order by m) lims from pa group by 1, 2),
+n as (select part, step, lims, count(*) n, count(*) filter (where e[1] > lims[1] or e[2] > lims[2] or e[3] > lims[3] or e[4] > lims[4]) k from pl join kp using (part) where quality = 1 group by 1, 2, 3),
+pv as (select part, step, lims, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))) p from (select *, unnest(range(0, k + 1)) i from n) group by 1, 2, 3),
+ok as (select part, step, lims from pv where step < coalesce((select min(step) from pv z where z.part = pv.part and z.p > {DELTA} / (select count(distinct part) from o)), 1e9)),
+ch as (select lang, arg_max(lims, step) lims from ok join o using (part) group by lang)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+not base_failed and not coalesce(e[1] > lims[1] or e[2] > lims[2] or e[3] > lims[3] or e[4] > lims[4], false) kept from y left join ch on y.lang is not distinct from ch.lang"""
 
 OP10 = rf"""
 with d as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),

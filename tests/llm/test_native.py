@@ -73,15 +73,54 @@ def test_binomial_tail_is_exact(spark):
         assert abs(r.p - sum(comb(r.n, i) * 0.03**i * 0.97 ** (r.n - i) for i in range(r.k + 1))) < 1e-9
 
 
-def test_cutoffs_keep_to_the_risk(spark):
-    good = spark.range(20_000).select(
-        F.when(F.col("id") % 4 == 0, None).otherwise(F.lit("a")).alias("stratum"),
-        (F.col("id") % 1000 / 1000.0).alias("symbol_share"), F.lit(0.0).alias("dup_line_share"), F.lit(0.0).alias("repeat_share"), F.lit(1.0).alias("shout_share"),
-    )
-    got = {r.stratum: r for r in quality_rules.choose_cutoffs(good, "stratum", risk=0.01).collect()}
-    for r in got.values():
-        assert r.max_symbol_share is None and r.max_shout_share is None and r.max_repeat_share == min(quality_rules.CUTOFFS)
-    assert set(got) == {None, "a"}
+def shares(spark, rows):
+    """rows: stratum, good, number of documents, the four statistics."""
+    made = spark.createDataFrame(rows, "stratum string, good boolean, many int, symbol_share double, dup_line_share double, repeat_share double, shout_share double")
+    return made.select("*", F.explode(F.sequence(F.lit(1), "many"))).drop("many", "col")
+
+
+def limits_of(frame):
+    return {r.stratum: tuple(r)[1:] for r in quality_rules.choose_cutoffs(frame, "stratum").collect()}
+
+
+def test_cutoffs_follow_the_bad_and_keep_to_the_risk_of_the_good(spark):
+    rows = []
+    for lang in ("a", None):
+        # Repeats tell most bad documents apart, then symbols, which half of the good ones have, too.
+        rows += [(lang, True, 5000, 0.0, 0.0, 0.0, 1.0), (lang, True, 5000, 0.9, 0.0, 0.01, 1.0)]
+        rows += [(lang, False, 80, 0.0, 0.0, 0.12, 0.0), (lang, False, 20, 0.9, 0.0, 0.0, 0.0)]
+    assert limits_of(shares(spark, rows)) == dict.fromkeys(("a", None), (None, None, 0.1, None))
+    # 0.6 % of good documents by either rule: one alone keeps to 1 %, both together do not, so the second stays loose.
+    rows = [("a", True, 9880, 0.0, 0.0, 0.0, 0.0), ("a", True, 60, 0.25, 0.0, 0.0, 0.0), ("a", True, 60, 0.0, 0.25, 0.0, 0.0), ("a", False, 9, 0.25, 0.0, 0.0, 0.0), ("a", False, 8, 0.0, 0.25, 0.0, 0.0)]
+    assert limits_of(shares(spark, rows)) == {"a": (0.2, 0.3, None, None)}
+    # Cutoffs grow stricter along the path up to the first that is not allowed.
+    rows = [("a", True, 1000, 0.0, 0.0, 0.0, 0.0), ("a", True, 100, 0.12, 0.0, 0.0, 0.0), ("a", False, 9, 0.04, 0.0, 0.0, 0.0), ("a", False, 1, 0.9, 0.0, 0.0, 0.0)]
+    assert limits_of(shares(spark, rows)) == {"a": (0.15, None, None, None)}
+
+
+def test_least_labels_and_the_pooled_stratum(spark):
+    bad = lambda lang: (lang, False, 5, 0.9, 0.0, 0.0, 0.0)
+    good = lambda lang, n: (lang, True, n, 0.0, 0.0, 0.0, 0.0)
+    found, none = (0.5, None, None, None), (None,) * 4
+    least = quality_rules.least_labels(1)
+    assert limits_of(shares(spark, [good("a", least), bad("a")])) == {"a": found}
+    assert limits_of(shares(spark, [good("a", least - 1), bad("a")])) == {"a": none}
+    assert limits_of(shares(spark, [good("a", 200), good("b", 200), bad("a")])) == {"a": found, "b": found}
+    own = quality_rules.least_labels(3)
+    assert limits_of(shares(spark, [good("a", own), good("b", 9), good(None, 9), bad("a"), bad("b")])) == {"a": found, "b": none, None: none}
+    assert limits_of(shares(spark, [good("a", least)])) == {"a": none}
+    assert limits_of(shares(spark, [bad("a")])) == {}
+
+
+def test_rules_act_on_the_given_tables(spark):
+    got = queries.op9_quality_rules(spark, "/root/testdata/sf0.01")
+    assert 0 < got.where("not kept and not base_failed").count() < 100
+
+
+def test_bound_of_long_sums_is_above_the_tail(spark):
+    row = spark.createDataFrame([(900, 100_000)], "k bigint, n bigint")
+    tail, bound = row.select(quality_rules.binomial_at_most(F.col("k"), F.col("n"), 0.01), quality_rules.chernoff_at_most(F.col("k"), F.col("n"), 0.01)).first()
+    assert tail <= bound < 20 * tail
 
 
 def test_cutoffs_at_a_thousand_labels(spark):
@@ -97,19 +136,6 @@ def test_cutoffs_at_a_thousand_labels(spark):
     assert got[20_000].kept  # a stratum with too few labels has no cutoff
 
 
-def test_least_labels_and_the_joint_risk(spark):
-    least = quality_rules.least_labels(1)
-    rows = lambda n, bad: spark.range(n).select(
-        F.lit("a").alias("stratum"), F.when(F.col("id") < bad, 0.25).otherwise(0.0).alias("symbol_share"),
-        F.when(F.col("id").between(bad, 2 * bad - 1), 0.25).otherwise(0.0).alias("dup_line_share"), F.lit(0.9).alias("repeat_share"), F.lit(0.9).alias("shout_share"),
-    )
-    assert quality_rules.choose_cutoffs(rows(least, 0), "stratum").count() == 1 and quality_rules.choose_cutoffs(rows(least - 1, 0), "stratum").count() == 0
-    # 0.6 % of good documents by either rule: each alone keeps to 1 %, both together do not.
-    one = quality_rules.choose_cutoffs(rows(20_000, 120), "stratum", rows=rows(20_000, 2_000)).first()
-    assert sorted(x or 1 for x in (one.max_symbol_share, one.max_dup_line_share)) in ([0.02, 1], [0.3, 0.3])
-    assert one.max_repeat_share is None and one.max_shout_share is None
-
-
 def test_op10_against_brute_force(spark, small_docs):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     texts = {r.doc_id: r.text for r in small_docs.collect()}
