@@ -7,12 +7,16 @@ Steps, each a Spark job whose result is written:
    common passages out of the prefixes.
 2. sets: documents with equal sets are one node. A set's prefix is its first n - ceil(t n) + 1 shingles: two sets that
    link share a shingle of their prefixes. Nodes with equal prefix and size are one group.
-3. Groups that share prefix shingles are paired. A pair's count of shared prefix shingles bounds its overlap, which
-   filters nearly all pairs; the rest is expanded to nodes and verified on whole sets.
+3. Groups that share prefix shingles are paired. In the join itself, parities of the whole sets' hashes over BITS bits
+   tell the least that two sets differ in, and pairs that differ in too much make no row. A pair's count of shared prefix
+   shingles then bounds its overlap; the rest is expanded to nodes and verified on whole sets.
 
-`similarity_links` gives every link. Where only components are asked for (`similarity_components`), pairs of nodes that are known to be connected are skipped: in a few rounds
-each group is paired with a few hubs of other components (a number of pairs in proportion to the groups; hubs change with
-the round), then all pairs that lie in different components so far are compared. A group of copies that all link takes a linear number of pairs; no link between components is lost.
+`similarity_links` gives every link. Where only components are asked for (`similarity_components`), pairs of nodes that are
+known to be connected are skipped: in a few rounds each group is paired with a few hubs of other components (a number of
+pairs in proportion to the groups; hubs change with the round), then all pairs that lie in different components so far are
+compared. Before that, groups are dropped that cannot link beyond their component, as they share too few prefix shingles
+with all groups of a class of sizes taken together: a table of postings by size class tells it, without pairs. So a family
+of near copies takes a number of pairs in proportion to its size, and no link between components is lost.
 
 Shingles are 64-bit hashes of hashes of words, and nodes are 64-bit hashes of sets.
 """
@@ -25,54 +29,128 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm.components import components
-from galena.llm.shared import batches, small_batches, tidy, written
+from galena.llm.shared import batches, give_back, small_batches, tidy, written
 
 WIDTH = 5
 #: Similarity as a fraction: two sets link if TIMES the intersection's size is at least LEAST times the union's.
 TIMES, LEAST = 100, 75
 #: Shingles that a task holds at once, and that a range of hashes has on average; the sets that make a shingle frequent,
 #: how many frequent ones are kept (16 bytes each; they are broadcast), and the count beyond which only powers of two are told apart. They order shingles and decide nothing else.
-CHUNK, RANGE, FREQUENT, KEPT, MOST = 2_000_000, 500_000, 3, 600_000, 10_000
+CHUNK, RANGE, FREQUENT, KEPT, MOST = 1_000_000, 500_000, 3, 600_000, 10_000
+#: Bits of a set's parities, as columns of 64 bits.
+BITS = 512
+PARITIES = [f"b{i}" for i in range(BITS // 64)]
+#: Sizes of one class differ by this factor at most.
+CLASS = 1.03
 #: Rounds in which groups are linked with hubs before all pairs across components are compared, and hubs a round.
 ROUNDS, HUBS = 2, 3
-WORDS = 400_000
+#: Bytes of text that are hashed together, and those of a longer text's part.
+TOGETHER, PART = 1 << 17, 1 << 20
 #: Groups of one token that a task pairs at once: tokens of more are split.
 SALTED = 500
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
+#: Values of bytes in a hash: random, but alike for A-Z and a-z and for all blanks.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+VALUES[65:91], VALUES[BLANK] = VALUES[97:123], VALUES[32]
+BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
+@lru_cache(maxsize=8)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of BASE and of its inverse modulo 2^64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n + 1, np.uint64(base), np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def hashed_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's 5-word shingles; with fewer words, of all its words; none without words.
+
+    Words are parted by [ \\t-\\r]; a shingle's hash is the polynomial of its bytes, A-Z lower-cased and one blank between
+    words. All texts are looked at in one go, so they are to be short together.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    blank = BLANK[raw]
+    keep = np.ones(len(raw), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    at = np.cumsum(keep)  # place of each byte in what is kept, plus one
+    blank, value = blank[keep], VALUES[raw[keep]]
+    size = 1 << max(16, len(value).bit_length())
+    up, down = powers(size)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * up[: len(value)], out=total[1:])
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edge = edge if blank[0] else np.concatenate(([0], edge))
+    start, end = edge[::2], edge[1::2]  # the last byte is a blank, so every word ends
+
+    def mixed(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        x = (total[z] - total[a]) * down[a]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+    wide = mixed(start[: 1 - WIDTH], end[WIDTH - 1 :]) if len(start) >= WIDTH else np.empty(0, np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    last = np.searchsorted(start, at[ends - 1] - 1).tolist()
+    out, first = [], 0
+    for stop in last:
+        n = stop - first
+        if n >= WIDTH:
+            own = np.sort(wide[first : stop - WIDTH + 1])
+            new = np.empty(len(own), bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
+        else:
+            out.append(mixed(start[first : first + 1], end[stop - 1 : stop]) if n else np.empty(0, np.uint64))
+        first = stop
+    return out
+
+
+def long_set(text: bytes) -> np.ndarray:
+    """What hashed_sets gives for one text, by parts of about PART bytes: each starts with the last four words before it."""
+    found, at, carry = [], 0, b""
+    while at < len(text):
+        end = at + PART
+        while end < len(text) and not BLANK[text[end]]:
+            end += 1
+        part = carry + text[at:end]
+        if len(part.split(maxsplit=WIDTH - 1)) >= WIDTH:
+            found.append(hashed_sets([part])[0])
+        carry, at = b" ".join(part.rsplit(maxsplit=WIDTH - 1)[1 - WIDTH :]) + b" ", end
+    return np.unique(np.concatenate(found)) if found else hashed_sets([carry])[0]
+
+
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """hashed_sets of any number of texts of any length (null: no words), one after the other."""
+    held, size = [], 0
+    for text in texts:
+        text = text or b""
+        if len(text) > PART:
+            yield from hashed_sets(held) if held else ()
+            held, size = [], 0
+            yield long_set(text)
+            continue
+        held.append(text)
+        size += len(text)
+        if size > TOGETHER:
+            yield from hashed_sets(held)
+            held, size = [], 0
+    if held:
+        yield from hashed_sets(held)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's 5-word shingles; with fewer words, of all its words; none without words."""
-    words = (text or b"").lower().split()  # bytes: only A-Z change, and only [ \t\n\v\f\r] part words
-    if not words:
-        return np.empty(0, np.uint64)
-    known = word_hashes()
-    if len(known) > WORDS:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(WIDTH, len(words))
-    out = np.full(len(h) - width + 1, width, np.uint64)
-    for i in range(width):
-        out = (out ^ h[i : len(h) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return next(shingle_sets([text]))
 
 
 def prefix_length(n: int) -> int:
@@ -93,7 +171,7 @@ def frequent_shingles(docs: DataFrame) -> DataFrame:
     def send(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
-        def packed() -> pa.RecordBatch:
+        def packed(held: list[np.ndarray]) -> pa.RecordBatch:
             keys = np.sort(np.concatenate(held)) >> np.uint64(32 - bits)
             edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
             low = keys.astype(np.uint32)
@@ -101,18 +179,19 @@ def frequent_shingles(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["range", "hashes"])
 
         for b in batches(frames):
-            for text in b.column("text").cast(pa.binary()).to_pylist():
-                s = shingles(text)
+            for s in shingle_sets(b.column("text").cast(pa.binary()).to_pylist()):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=12).digest()
                 if digest not in seen:  # equal sets are one node later on
                     seen.add(digest)
                     held.append(s)
                     size += len(s)
             if size > CHUNK:
-                yield packed()
+                yield packed(held)
                 held, size, seen = [], 0, set()
         if size:
-            yield packed()
+            yield packed(held)
+        del held, seen
+        give_back()
 
     def count(key, group):
         parts = [np.frombuffer(x, np.uint32) for x in group.column("hashes").to_pylist()]
@@ -136,7 +215,7 @@ def frequent_shingles(docs: DataFrame) -> DataFrame:
 
 
 def ordered_sets(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """key, n, node, prefix (packed hashes) and group for each document; node and group are null for empty sets."""
+    """key, n, node, prefix (packed hashes), group and parities for each document; all but key and n are null for empty sets."""
     rows = frequent.toPandas().sort_values("hash")  # KEPT rows at most
     bits = int(rows["bits"].max()) if len(rows) else 4
     shared = docs.sparkSession.sparkContext.broadcast((rows["hash"].to_numpy().astype(np.uint64), rows["count"].to_numpy().astype(np.int64)))
@@ -144,12 +223,11 @@ def ordered_sets(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
         for b in batches(frames):
-            sizes, nodes, prefixes, groups = [], [], [], []
-            for text in b.column("text").cast(pa.binary()).to_pylist():
-                s = shingles(text)
+            sizes, nodes, prefixes, groups, bits_ = [], [], [], [], []
+            for s in shingle_sets(b.column("text").cast(pa.binary()).to_pylist()):
                 sizes.append(len(s))
                 if not len(s):
-                    nodes.append(None), prefixes.append(None), groups.append(None)
+                    nodes.append(None), prefixes.append(None), groups.append(None), bits_.append(None)
                     continue
                 if len(known):
                     own = s >> np.uint64(32 - bits)
@@ -162,12 +240,31 @@ def ordered_sets(docs: DataFrame, frequent: DataFrame) -> DataFrame:
                 nodes.append(to_id(s.tobytes()))
                 prefixes.append(packed)
                 groups.append(to_id(packed + len(s).to_bytes(8, "little")))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary())],
-                names=["key", "n", "node", "grp", "prefix"],
-            )
+                bits_.append(parities(s))
+            columns = [b.column("key"), *(pa.array(x, pa.int64()) for x in (sizes, nodes, groups)), pa.array(prefixes, pa.binary())]
+            each = [pa.array([None if x is None else int(x[i]) for x in bits_], pa.int64()) for i in range(len(PARITIES))]
+            yield pa.RecordBatch.from_arrays([*columns, *each], names=["key", "n", "node", "grp", "prefix", *PARITIES])
+
+    return docs.mapInArrow(run, "key bigint, n bigint, node bigint, grp bigint, prefix binary, " + ", ".join(f"{c} bigint" for c in PARITIES))
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of BITS classes of hashes whether an odd number of the set's is in it, packed to 64-bit integers."""
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def near_enough(n_a: Column, n_b: Column, suffix: str) -> Column:
+    """Whether the parities, columns of either side (the other's with a suffix), leave room for a link: each bit that
+    differs is a shingle that one set has and the other has not. Null parities leave it open."""
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + suffix))) for c in PARITIES[1:]), F.bit_count(F.col(PARITIES[0]).bitwiseXOR(F.col(PARITIES[0] + suffix))))
+    return F.coalesce(apart <= n_a + n_b - 2 * F.ceil(LEAST * (n_a + n_b) / F.lit(TIMES + LEAST)), F.lit(True))
+
 
-    return docs.mapInArrow(run, "key bigint, n bigint, node bigint, grp bigint, prefix binary")
+def group_parities(nodes: DataFrame, name: str) -> DataFrame:
+    """The parities of groups of one set, null for others. name: of the group's column."""
+    own = [F.when(F.count(F.lit(1)) == 1, F.min(c)).alias(c) for c in PARITIES]
+    return nodes.groupBy(F.col("grp").alias(name)).agg(*own)
 
 
 def to_id(data: bytes) -> int:
@@ -203,6 +300,41 @@ def enough_shared(count: Column, n_a: Column, n_b: Column) -> Column:
     return count + F.greatest(rest(n_a), rest(n_b)) >= least
 
 
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS))).cast("int")
+
+
+def least_shared(n: Column, cls: Column) -> Column:
+    """The fewest shared prefix shingles with which a set of n can link with a set of the size class: the least that
+    enough_shared takes over the sizes of the class (with room for the rounding of its limits)."""
+    below, above = F.floor(F.pow(F.lit(CLASS), cls)), F.ceil(F.pow(F.lit(CLASS), cls + 1))
+    need = lambda m: (n + m) * (LEAST / (TIMES + LEAST)) - F.ceil(LEAST * F.greatest(n, m) / TIMES) + 1
+    return F.greatest(F.lit(1.0), F.least(need(F.greatest(below, F.lit(1))), need(above)) - 1)
+
+
+def open_postings(side: DataFrame) -> DataFrame:
+    """token, g, n, low, high, cls, other: the postings (token, g, n, and the components that g spans: low to high) that
+    can be part of a link with a group of size class `other` in another component.
+
+    A group's count of shingles that any group of that class beyond its component has bounds what it shares with each.
+    Twice over, the second time among what the first leaves. Rows are postings by size classes, never pairs.
+    """
+    own = side.withColumn("cls", size_class(F.col("n")))
+    least, most = size_class(F.ceil(LEAST * F.col("n") / TIMES)) - 1, size_class(F.floor(TIMES * F.col("n") / LEAST)) + 1
+    beyond = (F.col("low") != F.col("low_")) | (F.col("high") != F.col("high_")) | (F.col("low") != F.col("high"))
+    there = own.groupBy("token", F.col("cls").alias("other")).agg(F.min("low").alias("low_"), F.max("high").alias("high_"))
+    met = own.join(there, "token").where(F.col("other").between(least, most) & beyond).drop("low_", "high_")
+    for turn in range(2):
+        met = written(met, "met-postings")
+        alive = met.groupBy("g", "n", "other").agg(F.count(F.lit(1)).alias("same")).where(F.col("same") >= least_shared(F.col("n"), F.col("other"))).select("g", "other")
+        met = met.join(alive, ["g", "other"])
+        if not turn:
+            met = written(met, "met-postings")
+            there = met.groupBy("token", F.col("cls").alias("other"), F.col("other").alias("cls")).agg(F.min("low").alias("low_"), F.max("high").alias("high_"))
+            met = met.join(there, ["token", "other", "cls"]).where(beyond).drop("low_", "high_")
+    return written(met, "open-postings")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b: nodes) that link by their whole sets. nodes: node, key of a document that has the set."""
     pairs = written(pairs.distinct(), "pairs")
@@ -211,7 +343,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            sets = [s.tobytes() for s in map(shingles, b.column("text").cast(pa.binary()).to_pylist())]
+            sets = [s.tobytes() for s in shingle_sets(b.column("text").cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([to_id(s) for s in sets], pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
     found = docs.join(keys, "key", "left_semi").mapInArrow(run, "node bigint, set binary")
@@ -240,26 +372,27 @@ def prepared(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame,
     frequent = written(frequent_shingles(docs), "frequent")
     sets = written(ordered_sets(docs.select("key", "text"), frequent), "sets")
     full = sets.where("node is not null")
-    nodes = written(full.groupBy("node").agg(F.min("key").alias("key"), F.min("grp").alias("grp"), F.min("n").alias("n")), "nodes")
+    nodes = written(full.groupBy("node").agg(F.min("key").alias("key"), F.min("grp").alias("grp"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in PARITIES]), "nodes")
     # One document's row brings a group's prefix along, so that prefixes are shuffled once a group.
     chosen = nodes.groupBy("grp").agg(F.min(F.struct("node", "key")).alias("c")).select("grp", "c.node", "c.key")
     groups = full.join(chosen, ["grp", "node", "key"], "left_semi").dropDuplicates(["grp"]).select("grp", "n", "prefix")
     postings = unpack_tokens(groups)
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     tokens = written(postings.join(shared, "token"), "postings")
-
     return docs, sets, nodes, tokens
 
 
-def group_pairs(tokens: DataFrame) -> DataFrame:
+def group_pairs(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
     """g, k: every pair of groups whose shared prefix shingles leave room for a link.
 
     The groups of a token are dealt to parts of about SALTED by hash, and each part meets all of them in a task of its own.
     """
     parts = F.ceil(F.col("many") / SALTED).cast("int")
-    own = tokens.select("token", F.pmod(F.xxhash64("grp"), parts).cast("int").alias("part"), F.col("grp").alias("g"), F.col("n").alias("gn"))
-    other = tokens.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("grp").alias("k"), F.col("n").alias("kn"))
-    met = own.join(other, ["token", "part"]).where((F.col("g") < F.col("k")) & may_link(F.col("gn"), F.col("kn")))
+    known = tokens.join(group_parities(nodes, "grp"), "grp")
+    own = known.select("token", F.pmod(F.xxhash64("grp"), parts).cast("int").alias("part"), F.col("grp").alias("g"), F.col("n").alias("gn"), *PARITIES)
+    other = known.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("grp").alias("k"), F.col("n").alias("kn"), *[F.col(c).alias(c + "_") for c in PARITIES])
+    near = may_link(F.col("gn"), F.col("kn")) & near_enough(F.col("gn"), F.col("kn"), "_")
+    met = own.join(other, ["token", "part"]).where((F.col("g") < F.col("k")) & near)
     met = met.groupBy("g", "gn", "k", "kn").agg(F.count(F.lit(1)).alias("same"))
     return met.where(enough_shared(F.col("same"), F.col("gn"), F.col("kn"))).select("g", "k")
 
@@ -274,7 +407,7 @@ def similarity_links(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     small_batches(df.sparkSession)
     tidy(df.sparkSession)
     docs, sets, nodes, tokens = prepared(df, key, text)
-    pairs = written(group_pairs(tokens), "group-pairs")
+    pairs = written(group_pairs(tokens, nodes), "group-pairs")
     member = lambda g, node: nodes.select(F.col("grp").alias(g), F.col("node").alias(node))
     across = pairs.join(member("g", "a"), "g").join(member("k", "b"), "k").select("a", "b")
     within = member("g", "a").join(member("g", "b"), "g").where("a < b").select("a", "b")
@@ -309,12 +442,15 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     rep = of_groups.select("grp", "hub_node")
     near = nodes.join(rep, "grp").where("node <> hub_node").select(F.col("node").alias("a"), F.col("hub_node").alias("b"))
     known = written(nodes.withColumn("component", F.col("node")), "known")
+    wide = written(tokens.groupBy("grp").agg(F.count(F.lit(1)).alias("wide")), "wide")
     first = None
     for i in range(ROUNDS):
         # A group whose nodes lie in several components counts as part of the smallest here.
-        of = known.groupBy("grp").agg(F.min("component").alias("component"))
+        of = known.groupBy("grp").agg(F.min("component").alias("component")).join(wide, "grp")
         listed = tokens.select("token", "grp", "n").join(of, "grp")
-        hub = [F.min(F.struct(F.xxhash64("grp", F.lit(HUBS * i + j)).alias("order"), "grp", "n", "component", F.lit(j).alias("turn"))) for j in range(HUBS)]
+        # The first hub is the one with most shared shingles: of a family of copies, one with few shingles of its own.
+        order = lambda j: F.struct(*([] if i + j else [(-F.col("wide")).alias("wide")]), F.xxhash64("grp", F.lit(HUBS * i + j)).alias("hash"))
+        hub = [F.min_by(F.struct("grp", "n", "component", F.lit(j).alias("turn")), order(j)) for j in range(HUBS)]
         hubs = listed.groupBy("token").agg(F.array_distinct(F.array(*hub)).alias("hubs"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "hubs")
         met = listed.join(hubs, "token").select("grp", "n", "component", F.explode("hubs").alias("hub")).where((F.col("component") != F.col("hub.component")) & may_link(F.col("n"), F.col("hub.n")))
         met = met.groupBy("grp", "n", F.col("hub.grp").alias("to"), F.col("hub.n").alias("to_n"), F.col("hub.turn").alias("turn")).agg(F.count(F.lit(1)).alias("same"))
@@ -329,12 +465,14 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     # Tokens whose groups all lie in one component are done with.
     listed = tokens.select("token", "grp").join(per_group, "grp")
     open_ = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rest = written(tokens.select("token", "grp", "n").join(open_, "token"), "open-postings")
-    side = rest.join(per_group.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")), "grp")
-    left = side.select("token", F.col("grp").alias("g"), F.col("n").alias("gn"), F.col("low").alias("gl"), F.col("high").alias("gh"))
-    right = side.select("token", F.col("grp").alias("k"), F.col("n").alias("kn"), F.col("low").alias("kl"), F.col("high").alias("kh"))
+    spans = per_group.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    side = open_postings(tokens.select("token", F.col("grp"), "n").join(open_, "token").join(spans, "grp").withColumnRenamed("grp", "g"))
+    side = side.join(group_parities(nodes, "g"), "g")
+    left = side.select("token", "cls", "other", "g", F.col("n").alias("gn"), F.col("low").alias("gl"), F.col("high").alias("gh"), *PARITIES)
+    own = [F.col(c).alias(c + "_") for c in PARITIES]
+    right = side.select("token", F.col("other").alias("cls"), F.col("cls").alias("other"), F.col("g").alias("k"), F.col("n").alias("kn"), F.col("low").alias("kl"), F.col("high").alias("kh"), *own)
     apart = (F.col("gl") != F.col("kl")) | (F.col("gl") != F.col("gh")) | (F.col("kl") != F.col("kh"))
-    crossed = left.join(right, "token").where((F.col("g") < F.col("k")) & apart & may_link(F.col("gn"), F.col("kn")))
+    crossed = left.join(right, ["token", "cls", "other"]).where((F.col("g") < F.col("k")) & apart & may_link(F.col("gn"), F.col("kn")) & near_enough(F.col("gn"), F.col("kn"), "_"))
     crossed = crossed.groupBy("g", "gn", "k", "kn").agg(F.count(F.lit(1)).alias("same")).where(enough_shared(F.col("same"), F.col("gn"), F.col("kn")))
     within = per_group.groupBy("grp").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col("grp").alias("g"), F.col("grp").alias("k"))
     pairs = written(crossed.select("g", "k").unionByName(within), "group-pairs")

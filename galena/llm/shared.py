@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,13 +28,24 @@ def tidy(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.maxPlanStringLength", "20000")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share.
+    """A new path below the folder that driver and executors share: spark.checkpoint.dir.
 
-    That is spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder takes its place.
+    Where that is unset, a session in one process (master local) gets a temporary folder; any other is refused, as a
+    folder of one machine would lose rows.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +58,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hands what a finished task has freed back to the system. Python workers outlive tasks and stages; else the most
+    that each of them ever held would add up on an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
     return (b for b in frames if b.num_rows)
