@@ -1,11 +1,11 @@
 """Line dedup by pairwise alignment.
 
 Documents are paired through shared runs of lines: from each line on, and up to each line, the shortest run of at least
-MIN_WORDS words is hashed, and every document that has a run is paired with the first document that has it. That is one
-pair for a run and document however many documents share it, and every line of every common block of MIN_WORDS words
+`least` words (MIN_WORDS by default) is hashed, and every document that has a run is paired with the first document that has it. That is one
+pair for a run and document however many documents share it, and every line of every common block of so many words
 lies in such a run: the rare runs lead to their few holders, the common ones to their first. Each pair is aligned by
 patience diff over the lines both have. Runs that both have and the alignment leaves, as it keeps to the order and takes
-a line once, are aligned by themselves. Common blocks of at least MIN_WORDS words are deleted from the later document,
+a line once, are aligned by themselves. Common blocks of at least so many words are deleted from the later document,
 which is what a comparison with every earlier document finds.
 
 Documents are in order of their key, null last, then of their text's hash. Lines without words are not aligned: they are
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.shared import batches, small_batches, tidy, written
+from galena.llm.shared import batches, free_name, small_batches, tidy, written
 
 MIN_WORDS = 20
 NO_LINE = -1
@@ -39,32 +39,32 @@ def worded_lines(text: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def windows(words: list[int]) -> set[tuple[int, int]]:
-    """(start, end) of the shortest run of at least MIN_WORDS words from each line on, and up to each line."""
+def windows(words: list[int], least: int = MIN_WORDS) -> set[tuple[int, int]]:
+    """(start, end) of the shortest run of at least so many words from each line on, and up to each line."""
     out, start, total = set(), 0, 0
     for end, w in enumerate(words, 1):  # up to each line
         total += w
-        while total - words[start] >= MIN_WORDS:
+        while total - words[start] >= least:
             total -= words[start]
             start += 1
-        if total >= MIN_WORDS:
+        if total >= least:
             out.add((start, end))
     end = total = 0
     for start, w in enumerate(words):  # from each line on
-        while end < len(words) and total < MIN_WORDS:
+        while end < len(words) and total < least:
             total += words[end]
             end += 1
-        if total < MIN_WORDS:
+        if total < least:
             break
         out.add((start, end))
         total -= w
     return out
 
 
-def runs(hashes: list[int], words: list[int]) -> Iterator[int]:
+def runs(hashes: list[int], words: list[int], least: int = MIN_WORDS) -> Iterator[int]:
     """The hashes of a document's runs."""
     own = np.array(hashes, np.int64)
-    for start, end in windows(words):
+    for start, end in windows(words, least):
         yield xxhash.xxh64_intdigest(own[start:end].tobytes()) - (1 << 63)
 
 
@@ -134,12 +134,12 @@ def patience(a: dict[int, int], b: dict[int, int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def aligned_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int]) -> set[int]:
-    """Places of the later document in aligned blocks (neighbours on both sides) of at least MIN_WORDS words."""
+def aligned_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int], least: int = MIN_WORDS) -> set[int]:
+    """Places of the later document in aligned blocks (neighbours on both sides) of at least so many words."""
     out, block, last = set(), [], (NO_LINE - 1, NO_LINE - 1)
     for i, j in [*patience(later, earlier), (1 << 60, 1 << 60)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[p] for p in block) >= MIN_WORDS:
+            if sum(words[p] for p in block) >= least:
                 out.update(block)
             block = []
         block.append(i)
@@ -147,34 +147,34 @@ def aligned_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[i
     return out
 
 
-def placed_runs(lines: dict[int, int], words: dict[int, int]) -> Iterator[tuple[list[int], tuple[int, ...]]]:
+def placed_runs(lines: dict[int, int], words: dict[int, int], least: int = MIN_WORDS) -> Iterator[tuple[list[int], tuple[int, ...]]]:
     """The places and the line hashes of each run of a sequence, given as place → line hash. words: by line hash."""
     stretch: list[int] = []
     for p in [*sorted(lines), 1 << 60]:
         if stretch and p != stretch[-1] + 1:
-            for start, end in windows([words[lines[x]] for x in stretch]):
+            for start, end in windows([words[lines[x]] for x in stretch], least):
                 own = stretch[start:end]
                 yield own, tuple(lines[x] for x in own)
             stretch = []
         stretch.append(p)
 
 
-def common_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int]) -> list[int]:
-    """Places of the later document in blocks of at least MIN_WORDS words that the earlier one has: those that are
+def common_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int], least: int = MIN_WORDS) -> list[int]:
+    """Places of the later document in blocks of at least so many words that the earlier one has: those that are
     aligned, then the runs that are left. words: by place of the later document."""
-    out = aligned_blocks(later, earlier, words)
+    out = aligned_blocks(later, earlier, words, least)
     if len(out) < len(later):
         by_line = {h: words[p] for p, h in later.items()}
-        left = [(own, run) for own, run in placed_runs(later, by_line) if not out.issuperset(own)]
+        left = [(own, run) for own, run in placed_runs(later, by_line, least) if not out.issuperset(own)]
         if left:
-            there = {run for _, run in placed_runs({p: h for p, h in earlier.items() if h in by_line}, by_line)}
+            there = {run for _, run in placed_runs({p: h for p, h in earlier.items() if h in by_line}, by_line, least)}
             for own, run in left:
                 if run in there:
                     out.update(own)
     return sorted(out)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """key, removed: the numbers of the lines to delete, for the documents that have any. docs: key, text."""
 
     def split(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         for b in batches(frames):
             at, out = [], []
             for i, (h, w) in enumerate(zip(b.column("hashes").to_pylist(), b.column("words").to_pylist(), strict=True)):
-                own = set(runs(h, w))
+                own = set(runs(h, w, least))
                 at += [i] * len(own)
                 out += own
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array(out, pa.int64())], names=["key", "run"])
@@ -214,7 +214,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             for common in b.column("common").to_pylist():
                 later = {p: c["hash"] for c in common for p in c["places"]}
                 earlier = {p: c["hash"] for c in common for p in c["there"]}
-                out.append(common_blocks(later, earlier, {p: c["w"] for c in common for p in c["places"]}))
+                out.append(common_blocks(later, earlier, {p: c["w"] for c in common for p in c["places"]}, least))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.int32()))], names=["key", "places"])
 
     found = both.mapInArrow(align, f"key {key}, places array<int>").where(F.size("places") > 0)
@@ -223,24 +223,26 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return all_places.join(lines.select("key", "numbers"), "key").select("key", numbers.alias("removed"))
 
 
-def dedupe_lines(df: DataFrame, key: str = "doc_id", text: str = "text", lines: str = "n_lines_", removed: str = "n_removed_") -> DataFrame:
+def dedupe_lines(df: DataFrame, key: str = "doc_id", text: str = "text", lines: str = "n_lines_", removed: str = "n_removed_", min_words: int = MIN_WORDS) -> DataFrame:
     """df with the aligned common blocks deleted from its texts, and the counts of lines before and of lines deleted.
 
-    Null texts stay null, with one empty line; texts without a common block stay as they are, byte for byte. Rows that
-    are equal in key and text count as one document and share its result. Other columns stay, whatever their names,
-    but for the two counts, whose names must be free.
+    min_words: the fewest words of a block. The fewer, the more is found, and the more lines go that texts share by
+    their form only: at 20, headings and licence lines stay, passages of two sentences go. Null texts stay null, with
+    one empty line; texts without a common block stay as they are, byte for byte. Rows that are equal in key and text
+    count as one document and share its result. Other columns stay, whatever their names, but for the two counts, whose
+    names must be free.
     """
     if {lines, removed} & set(df.columns):
         raise ValueError("the names of the counts are taken")
     small_batches(df.sparkSession)
     tidy(df.sparkSession)
-    own = F.col(text)
+    own, own_key, of, lost = F.col(text), free_name(df, "own_key"), free_name(df, "of_key"), free_name(df, "lost")
     order = F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("id"), F.xxhash64(own).alias("text"))
-    gone = written(removed_lines(df.select(order.alias("key"), own.alias("text"))), "removed-lines")
-    gone = gone.select(F.col("key").alias("__of"), F.col("removed").alias("__gone"))
+    gone = written(removed_lines(df.select(order.alias("key"), own.alias("text")), min_words), "removed-lines")
+    gone = gone.select(F.col("key").alias(of), F.col("removed").alias(lost))
     # The table of removals grows with the documents, so it is not to be broadcast at any size.
-    both = df.withColumn("__key", order).join(gone.hint("merge"), F.col("__key") == F.col("__of"), "left")
-    kept = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    columns = [F.when(F.col("__gone").isNull(), own).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
+    both = df.withColumn(own_key, order).join(gone.hint("merge"), F.col(own_key) == F.col(of), "left")
+    kept = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    columns = [F.when(F.col(lost).isNull(), own).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
     total = F.size(F.split(F.coalesce(own, F.lit("")), "\n")).cast("bigint").alias(lines)
-    return both.select(*columns, total, F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint").alias(removed))
+    return both.select(*columns, total, F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("bigint").alias(removed))

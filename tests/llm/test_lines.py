@@ -7,18 +7,25 @@ from galena.llm import line_align, queries
 from tests.llm.conftest import SF
 
 
-def brute(rows):
-    """rows: (key, text), keys distinct. Deletes from each text what common_blocks finds against any earlier text."""
+def brute(rows, least=20):
+    """rows: (key, text), keys distinct. Text and number of deleted lines: those in stretches of worded lines, of 20 words
+    or more, that any earlier text has, by plain comparison of all places with equal lines."""
+    worded = {k: [(i, x) for i, x in enumerate((t or "").split("\n")) if x.encode().split()] for k, t in rows}
+    places = {k: {} for k in worded}
+    for k, lines in worded.items():
+        for j, (_, x) in enumerate(lines):
+            places[k].setdefault(x, []).append(j)
     out = {}
-    parsed = {k: line_align.worded_lines((t or "").encode()) for k, t in rows}
     for k, t in rows:
-        gone = set()
-        for other in (o for o, _ in rows if o < k):
-            shared = {h for _, h, _ in parsed[k]} & {h for _, h, _ in parsed[other]}
-            later = {i: h for i, (_, h, _) in enumerate(parsed[k]) if h in shared}
-            earlier = {i: h for i, (_, h, _) in enumerate(parsed[other]) if h in shared}
-            words = {i: w for i, (_, _, w) in enumerate(parsed[k])}
-            gone |= {parsed[k][i][0] for i in line_align.common_blocks(later, earlier, words)}
+        own, gone = worded[k], set()
+        for other in (o for o in worded if o < k):
+            for i, (_, x) in enumerate(own):
+                for j in places[other].get(x, ()):
+                    n = 0
+                    while i + n < len(own) and j + n < len(worded[other]) and own[i + n][1] == worded[other][j + n][1]:
+                        n += 1
+                    if sum(len(x.encode().split()) for _, x in own[i : i + n]) >= least:
+                        gone |= {own[m][0] for m in range(i, i + n)}
         out[k] = "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone), len(gone)
     return out
 
@@ -46,23 +53,6 @@ def test_passages_over_several_lines(spark):
     assert all(got[k] == was[k] for k in (0, 100, 101))  # the first holder, and runs of nine and eighteen words
 
 
-def held_before(rows):
-    """rows: (key, text). Lines in stretches of worded lines, of 20 words or more, that any earlier text has, by plain comparison of all pairs of places."""
-    out, split = {}, {k: [x for x in t.split("\n") if x.split()] for k, t in rows}
-    for k, lines in split.items():
-        gone = set()
-        for other in (split[o] for o in split if o < k):
-            for i in range(len(lines)):
-                for j in range(len(other)):
-                    n = 0
-                    while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n]:
-                        n += 1
-                    if sum(len(x.split()) for x in lines[i : i + n]) >= 20:
-                        gone |= set(range(i, i + n))
-        out[k] = [x for i, x in enumerate(lines) if i not in gone]
-    return out
-
-
 def test_reordered_and_twice_held_passages(spark):
     line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     a, b, tail = [line("a", 12), line("aa", 12)], [line("b", 12), line("bb", 12)], line("t", 3)
@@ -76,9 +66,10 @@ def test_shuffled_passages_against_every_earlier_document(spark):
     draw = random.Random(8)
     lines = [" ".join(f"l{i}w{k}" for k in range(draw.choice((1, 3, 7, 11, 19, 25)))) for i in range(12)]
     rows = [(i, "\n".join(draw.choice(lines) if draw.random() < 0.9 else f"own {i}" for _ in range(draw.randrange(1, 14)))) for i in range(150)]
-    want = held_before(rows)
-    got = {r.doc_id: r.text for r in line_align.dedupe_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert {k: [x for x in t.split("\n") if x] for k, t in got.items()} == want
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for least in (20, 8):
+        got = {r.doc_id: (r.text, r.n_removed_) for r in line_align.dedupe_lines(frame, min_words=least).collect()}
+        assert got == brute(rows, least)
 
 
 def test_patience_by_hand():
@@ -94,5 +85,8 @@ def test_messy_rows(spark, messy):
     assert got.columns == [*messy.columns, "n_lines_", "n_removed_"]
     assert sorted(str(r.text) for r in got.collect()) == sorted(str(r.text) for r in messy.collect())
     assert line_align.dedupe_lines(messy.limit(0)).count() == 0
+    named = messy.selectExpr("*", "1 as own_key", "'a' as of_key", "array(1) as lost", "2 as __key", "3 as __gone")
+    assert line_align.dedupe_lines(named).columns == [*named.columns, "n_lines_", "n_removed_"]
+    assert [tuple(r)[-7:-2] for r in line_align.dedupe_lines(named).collect()] == [(1, "a", [1], 2, 3)] * messy.count()
     twice = spark.createDataFrame([(None, "x y " * 15), (3, "x y " * 15), (3, "x y " * 15)], "doc_id bigint, text string")
     assert sorted((r.doc_id is None, r.n_removed_) for r in line_align.dedupe_lines(twice).collect()) == [(False, 0), (False, 0), (True, 1)]
