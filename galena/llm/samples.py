@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.shared import batches, small_batches
+from galena.llm.shared import batches, give_back, small_batches
 
 #: Labelled rows that a fit looks at, at most. Texts of this many rows are what the fitting task holds.
 MAX_TRAIN = 8_000
@@ -23,12 +23,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -
     """Documents (key, text) with their labels: all labelled rows that are not held out, or `most` of them by key hash.
 
     Labels with null keys are left out; of several rows for a key the first by value counts. The sample of keys is
-    bounded by `most`, which is what makes it safe to broadcast.
+    bounded by `most`, which is what makes it safe to broadcast. Of several documents of a key the one of the smallest
+    text hash counts, so that the sample has as many rows as keys at most.
     """
     names = [c for c in labels.columns if c != "key"]
     one = labels.where(F.col("key").isNotNull() & ~held_out(F.col("key"))).groupBy("key").agg(F.min(F.struct(*names)).alias("l")).select("key", "l.*")
     chosen = one.orderBy(F.xxhash64("key"), "key").limit(most)
-    return docs.join(F.broadcast(chosen), "key")
+    found = docs.select("key", "text").join(F.broadcast(chosen), "key")
+    row = F.struct("text", *names)
+    return found.groupBy("key").agg(F.min_by(row, F.xxhash64("text")).alias("r")).select("key", "r.*")
 
 
 def fit_in_one_task(sample: DataFrame, fit: Callable[[list[dict]], dict], schema: str) -> dict:
@@ -38,7 +41,10 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[list[dict]], dict], schema
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches(frames) for r in b.to_pylist()]
         rows.sort(key=lambda r: (r["key"], r["text"] or ""))
-        yield pa.RecordBatch.from_pylist([fit(rows)])
+        made = pa.RecordBatch.from_pylist([fit(rows)])
+        del rows
+        give_back()
+        yield made
 
     made = sample.repartition(1).mapInArrow(run, schema).first()
     return made.asDict() if made else fit([])  # Spark runs no task for a sample that it knows to be empty

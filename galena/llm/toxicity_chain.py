@@ -6,6 +6,9 @@ fold), so that a model learns to trust its predecessors as much as they deserve
 
 Features are the beginnings of words (4 to 7 bytes, A-Z lower-cased) and whole words of up to 7 bytes. A model uses
 those that its training rows show to go with its category.
+
+Where labels only tell whether a text is toxic, the narrower categories are kinds of toxicity found in the labelled rows
+themselves: toxic rows are parted in two by the telling words that they share, whatever the language.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm.samples import MAX_TRAIN, fit_in_one_task, held_out, labelled_sample
-from galena.llm.shared import batches, small_batches
+from galena.llm.shared import batches, free_name, small_batches
 
 FIRST, LAST = 4, 7
 FEATURES, FOLDS, LEAST_ROWS, SEED = 250, 3, 3, 11
+#: Bytes of text whose words are looked at at once in a fit.
+PART = 1 << 20
 
 
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +51,28 @@ def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(codes)
 
 
+def feature_pairs(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text number, feature code) of texts, of the sorted codes in known only if it is given."""
+    rows, codes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= PART):
+            size += len(texts[end])
+            end += 1
+        row, code = word_codes(texts[at:end])
+        if known is not None:
+            keep = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code if len(known) else np.zeros(len(code), bool)
+            row, code = row[keep], code[keep]
+        order = np.lexsort((code, row))
+        row, code = row[order], code[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+        rows.append(row[new] + at)
+        codes.append(code[new])
+        at = end
+    return np.concatenate(rows), np.concatenate(codes)
+
+
 def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
@@ -104,28 +131,64 @@ class Chain:
         return Chain(np.frombuffer(bytes(m["codes"]), "<u8"), [(np.array(p, int), np.array(w)) for p, w in json.loads(m["models"])])
 
 
-def fit_chain(texts: list[bytes], labels: np.ndarray) -> Chain:
+class Sample:
+    """The features of a labelled sample: those that at least LEAST_ROWS rows with any label have, row by row."""
+
+    def __init__(self, texts: list[bytes], positive: np.ndarray):
+        own = np.flatnonzero(positive)
+        code, many = np.unique(feature_pairs([texts[i] for i in own])[1], return_counts=True)
+        self.codes, self.n = code[many >= LEAST_ROWS], len(texts)
+        self.row, code = feature_pairs(texts, self.codes)
+        self.place = np.searchsorted(self.codes, code)
+
+    def telling(self, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Places of the features that go with the category in the given rows (a mask)."""
+        own = rows[self.row]
+        return np.sort(select_features(self.row[own], self.place[own], len(self.codes), np.where(rows, y, 0), FEATURES))
+
+    def matrix(self, places: np.ndarray) -> np.ndarray:
+        at = np.full(len(self.codes) + 1, -1)
+        at[places] = np.arange(len(places))
+        x, keep = np.zeros((self.n, len(places)), np.float32), at[self.place] >= 0
+        x[self.row[keep], at[self.place[keep]]] = 1
+        return x
+
+
+def kinds(sample: Sample, toxic: np.ndarray) -> np.ndarray:
+    """Two columns of 0 and 1: which toxic rows belong to which of two kinds, by 2-means over their telling features.
+
+    Starts from the rows that have the most frequent telling feature and those that have it not. Toxic rows without a
+    telling feature are of neither kind.
+    """
+    out = np.zeros((sample.n, 2), int)
+    x = sample.matrix(sample.telling(toxic, np.ones(sample.n, bool)))[toxic > 0]
+    size = np.sqrt(x.sum(1, keepdims=True))
+    if not size.any():
+        return out
+    unit, of = x / np.maximum(size, 1), (x[:, x.sum(0).argmax()] == 0).astype(int)
+    for _ in range(20):
+        centres = np.stack([unit[of == j].sum(0) for j in (0, 1)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        new = (unit @ centres.T).argmax(1)
+        if (new == of).all():
+            break
+        of = new
+    told = np.flatnonzero(toxic > 0)[size[:, 0] > 0]
+    out[told, of[size[:, 0] > 0]] = 1
+    return out
+
+
+def fit_chain(texts: list[bytes], labels: np.ndarray, sample: Sample | None = None) -> Chain:
     """labels: a column of 0 and 1 for each category, in the chain's order."""
     if not len(texts):
         return Chain(np.empty(0, np.uint64), [(np.empty(0, int), np.append(np.zeros(j), -30.0)) for j in range(labels.shape[1])])
-    row, code = word_codes(texts)
-    codes, place = np.unique(code, return_inverse=True)
-    pair = np.unique(row.astype(np.int64) * len(codes) + place) if len(codes) else np.empty(0, np.int64)
-    row, place = (pair // len(codes), pair % len(codes)) if len(codes) else (pair, pair)
+    sample = sample or Sample(texts, labels.any(axis=1))
     fold = np.random.default_rng(SEED).permutation(len(texts)) % FOLDS
     before, chosen = np.zeros((len(texts), 0)), []
 
-    def matrix(places: np.ndarray) -> np.ndarray:
-        at = np.full(len(codes) + 1, -1)
-        at[places] = np.arange(len(places))
-        x, keep = np.zeros((len(texts), len(places)), np.float32), at[place] >= 0
-        x[row[keep], at[place[keep]]] = 1
-        return x
-
     def model(y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = rows[row]
-        places = np.sort(select_features(row[own], place[own], len(codes), np.where(rows, y, 0), FEATURES))
-        x = np.hstack([matrix(places), before])
+        places = sample.telling(y, rows)
+        x = np.hstack([sample.matrix(places), before])
         w = logistic_fit(x[rows], y[rows])
         return places, w, 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
@@ -137,59 +200,67 @@ def fit_chain(texts: list[bytes], labels: np.ndarray) -> Chain:
         chosen.append((places, w))
         before = np.hstack([before, np.clip(logit(np.clip(out_of_fold, 1e-12, 1 - 1e-12)), -30, 30)[:, None]])
     used = np.unique(np.concatenate([p for p, _ in chosen]).astype(int))
-    return Chain(codes[used], [(np.searchsorted(used, p), w) for p, w in chosen])
+    return Chain(sample.codes[used], [(np.searchsorted(used, p), w) for p, w in chosen])
+
+
+#: The chain where labels only say toxic or not: two kinds found in the labelled rows, then the label itself.
+CATEGORIES = ["kind_1", "kind_2", "toxic"]
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int = MAX_TRAIN) -> dict:
-    """docs: key, text. labels: key and a column of 0 and 1 for each category (null: 0)."""
-    sample = labelled_sample(docs, labels, most)
+    """docs: key, text. labels: key and a column of 0 and 1 for each category (null: 0), in the chain's order.
+
+    For CATEGORIES, labels has key and toxic only; the kinds are found in the sample.
+    """
+    found = categories == CATEGORIES
+    given = ["toxic"] if found else categories
 
     def fit(rows: list[dict]) -> dict:
-        y = np.array([[1 if r[c] == 1 else 0 for c in categories] for r in rows]).reshape(len(rows), len(categories))
-        return fit_chain([(r["text"] or "").encode() for r in rows], y).packed()
+        y = np.array([[1 if r[c] == 1 else 0 for c in given] for r in rows]).reshape(len(rows), len(given))
+        texts = [(r["text"] or "").encode() for r in rows]
+        sample = Sample(texts, y.any(axis=1)) if texts else None
+        if found:
+            y = np.hstack([kinds(sample, y[:, 0]) if texts else np.zeros((0, 2), int), y])
+        return fit_chain(texts, y, sample).packed()
 
-    return fit_in_one_task(sample.select("key", "text", *categories), fit, "codes binary, models string")
+    chosen = labelled_sample(docs, labels.select("key", *given), most)
+    return fit_in_one_task(chosen, fit, "codes binary, models string")
 
 
-def predict(df: DataFrame, model: dict, categories: list[str]) -> DataFrame:
-    """Adds p_<category> for each category to df, from its column text; all other columns stay."""
+def predict(df: DataFrame, model: dict, names: list[str], text: str = "text") -> DataFrame:
+    """Adds a column with the probability of each category to df, under the given names, which must be free; all other
+    columns stay."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # FEATURES codes and weights a category at most
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = Chain.unpacked(shared.value)
         for b in batches(frames):
-            texts = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            p = chain.predict([t or b"" for t in texts])
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, j]) for j in range(len(categories)))], names=[*b.schema.names, *(f"p_{c}" for c in categories)])
-
-    return df.mapInArrow(run, df.select("*", *(F.lit(0.0).alias(f"p_{c}") for c in categories)).schema)
-
-
-#: Words whose presence in a document labelled toxic puts it into a category, as a stand-in for labels of its own.
-INSULTS = ("idiot", "moron", "loser", "clown", "scum", "stupid")
-CONTEMPT = ("worthless", "pathetic", "disgusting", "trash")
-CATEGORIES = ["insult", "contempt", "toxic"]
+            texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+            p = np.concatenate([chain.predict([t or b"" for t in texts[i : i + 128]]) for i in range(0, len(texts), 128)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, j]) for j in range(len(names)))], names=[*b.schema.names, *names])
 
-
-def category_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """key and the chain's targets, for labels (key, toxic): its narrower categories first, the label itself last."""
-    has = lambda listed: F.col("text").rlike(r"(?i)\b(" + "|".join(listed) + r")\b").cast("int")
-    chosen = labelled_sample(docs, labels.where(F.col("toxic").isNotNull()).select("key", "toxic"))
-    toxic = (F.col("toxic") == 1).cast("int")
-    return chosen.select("key", *[F.coalesce(toxic * has(x), F.lit(0)).alias(c) for c, x in (("insult", INSULTS), ("contempt", CONTEMPT))], toxic.alias("toxic"))
+    return df.mapInArrow(run, df.select("*", *(F.lit(0.0).alias(c) for c in names)).schema)
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.5, most: int = MAX_TRAIN) -> DataFrame:
-    """df with p_insult, p_contempt, p_toxic and rejected (p_toxic >= threshold); df needs key and text.
+    """df with p_kind_1, p_kind_2, p_toxic and rejected (p_toxic >= threshold); df needs key and text.
 
-    Rows that held_out names are not learned from. A null text is judged as an empty one. Repeated rows and null keys
-    stay. Without labels nothing is rejected.
+    Rows that held_out names are not learned from, nor labels that are null. A null text is judged as an empty one.
+    Repeated rows and null keys stay. Without labels nothing is rejected. Where df has a column of such a name, it stays
+    as it is, and the new one has underscores after its name.
     """
     docs = df.select(F.col(key).cast("bigint").alias("key"), "text")
-    targets = category_labels(docs, labels.select(F.col(key).cast("bigint").alias("key"), "toxic"))
-    model = train(docs, targets, CATEGORIES, most)
-    return predict(df, model, CATEGORIES).withColumn("rejected", F.col("p_toxic") >= threshold)
+    told = labels.where(F.col("toxic").isNotNull()).select(F.col(key).cast("bigint").alias("key"), "toxic")
+    names = [free_name(df, f"p_{c}") for c in CATEGORIES]
+    scored = predict(df, train(docs, told, CATEGORIES, most), names)
+    return scored.withColumn(free_name(df, "rejected"), F.col(names[-1]) >= threshold)
+
+
+def drop_toxic(df: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """The rows of df that score_toxicity does not reject, with df's columns."""
+    rejected = F.col(free_name(df, "rejected"))
+    return score_toxicity(df, labels, key, threshold).where(~rejected).select([f"`{c}`" for c in df.columns])
 
 
-__all__ = ["CATEGORIES", "category_labels", "fit_chain", "held_out", "predict", "score_toxicity", "train"]
+__all__ = ["CATEGORIES", "drop_toxic", "fit_chain", "held_out", "predict", "score_toxicity", "train"]

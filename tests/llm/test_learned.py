@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from galena.llm import quality_nbsvm, queries, toxicity_chain
-from galena.llm.samples import held_out
+from galena.llm.samples import held_out, labelled_sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,13 +58,23 @@ def test_chain_learns_and_leaves_clean_texts(spark):
     assert np.allclose(p, again)
 
 
-def test_toxicity_on_held_out_labels(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = queries.op2_toxicity(spark, SF).join(labels.drop("quality").withColumnRenamed("toxic", "label"), "doc_id")
-    clean = got.where("label = 0").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    assert clean < 0.02
-    en = got.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").where("label = 1 and lang = 'en'")
-    assert en.where(held_out(F.col("doc_id"))).count() and en.where(F.col("text").rlike("(?i)idiot|pathetic|loser")).agg(F.avg(F.col("toxic").cast("double"))).first()[0] > 0.9
+def test_toxicity_on_held_out_labels_of_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    got = toxicity_chain.score_toxicity(docs.join(labels.select("doc_id"), "doc_id"), labels).join(labels.withColumnRenamed("toxic", "label"), "doc_id")
+    seen = got.where(held_out(F.col("doc_id"))).groupBy("lang").agg(
+        F.avg(F.when(F.col("label") == 1, F.col("rejected").cast("double"))).alias("caught"), F.avg(F.when(F.col("label") == 0, F.col("rejected").cast("double"))).alias("wrong")
+    )
+    seen = {r.lang: r for r in seen.collect()}
+    assert set(seen) == {"en", "de", "fr", "es"} and all(r.caught > 0.5 and r.wrong < 0.03 for r in seen.values()), seen
+
+
+def test_kinds_part_the_toxic_rows():
+    texts = [b"awful alpha words here", b"awful beta words here", b"nasty gamma stuff", b"nasty delta stuff", b"plain words", b"plain stuff"] * 20
+    toxic = np.array([1, 1, 1, 1, 0, 0] * 20)
+    kinds = toxicity_chain.kinds(toxicity_chain.Sample(texts, toxic > 0), toxic)
+    assert (kinds.sum(1) == toxic).all() and sorted(map(tuple, np.unique(kinds[[0, 1, 2, 3]], axis=0))) == [(0, 1), (1, 0)]
+    assert (kinds[0] == kinds[1]).all() and (kinds[2] == kinds[3]).all()
 
 
 def test_toxicity_messy_rows(spark, messy):
@@ -73,3 +83,13 @@ def test_toxicity_messy_rows(spark, messy):
     assert got.columns[: len(messy.columns)] == messy.columns and got.count() == messy.count()
     assert toxicity_chain.score_toxicity(messy, labels.limit(0)).where("rejected").count() == 0
     assert toxicity_chain.score_toxicity(messy.limit(0), labels).count() == 0
+    clash = messy.selectExpr("*", "7 as p_toxic", "'r' as Rejected")
+    got = toxicity_chain.score_toxicity(clash, labels)
+    assert got.columns == [*clash.columns, "p_kind_1", "p_kind_2", "p_toxic_", "rejected_"] and {(r.p_toxic, r.Rejected) for r in got.collect()} == {(7, "r")}
+    assert toxicity_chain.drop_toxic(clash, labels).columns == clash.columns
+
+
+def test_sample_has_a_row_for_each_key(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (None, "x")], "key bigint, text string")
+    got = labelled_sample(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "key bigint, toxic int")).collect()
+    assert {r.key for r in got} <= {1, 2} and len(got) == len({r.key for r in got})
