@@ -19,11 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.shared import batches, small_batches
+from galena.llm.shared import batches, give_back, small_batches
 from galena.llm.units import UnitMemo
 
-#: Token pairs whose validity one worker remembers, and pieces whose ids it remembers, of so many bytes at most.
-PAIRS, PIECES, PIECE_BYTES = 1_000_000, 300_000, 48
+#: Token pairs whose validity one worker remembers (some 60 bytes each), and pieces whose ids a task remembers (some 200
+#: bytes each), of so many bytes at most.
+PAIRS, PIECES, PIECE_BYTES = 300_000, 150_000, 48
 
 
 class PrefixCodec:
@@ -36,7 +37,9 @@ class PrefixCodec:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.pairs: dict[int, bool] = {}
+        # By left token, then right; both are the vocabulary's own integers, so a pair costs a place in a table only.
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -56,14 +59,16 @@ class PrefixCodec:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the two tokens stand side by side in the encoding of their joined bytes."""
-        if len(self.pairs) >= PAIRS:
+        if self.n_pairs >= PAIRS:
             self.pairs.clear()
-        known = self.pairs[left << 32 | right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = self.pairs.setdefault(left, {})[right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
     def extend(self, last: list[int], data: bytes) -> list[int]:
         """Completes the table of last tokens for the prefixes of data that it does not cover yet, in place."""
-        get, known, follows, longest = self.ranks.get, self.pairs.get, self.follows, self.longest
+        get, pairs, none, follows, longest = self.ranks.get, self.pairs, {}, self.follows, self.longest
         near = len(last) - len(self.tokens[last[-1]]) if last else 0  # where the last token of the prefix before starts
         for end in range(len(last) + 1, len(data) + 1):
             # There is one valid token, so any order finds it: most often it is the one before with a byte more.
@@ -73,8 +78,9 @@ class PrefixCodec:
                 if token is not None:
                     if not start:
                         break
-                    fits = known(last[start - 1] << 32 | token)
-                    if follows(last[start - 1], token) if fits is None else fits:
+                    left = last[start - 1]
+                    fits = pairs.get(left, none).get(token)
+                    if follows(left, token) if fits is None else fits:
                         break
                 down -= 1
                 if down == near:
@@ -130,6 +136,10 @@ class PrefixCodec:
         for ms in found:
             yield b"".join([pieces[m] if m in pieces else own[m] for m in ms])
 
+    def forget(self) -> None:
+        """Lets go of the remembered pieces, as a task does at its end."""
+        self.pieces, self.older = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.packed_many([text])), "<u4").tolist()
 
@@ -144,23 +154,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> tuple[PrefixCodec, UnitMemo]:
-    """The worker's codec of a rank file, and its memo."""
-    own = PrefixCodec(read_ranks(path), pattern)
-    return own, UnitMemo(own.packed_many)
+def codec(path: str, pattern: str) -> PrefixCodec:
+    """The worker's codec of a rank file."""
+    return PrefixCodec(read_ranks(path), pattern)
 
 
-def encode_frame(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the token ids of the text column as an array of integers; all other columns stay, whatever their names.
+def encode_frame(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the token ids of the text column as an array of integers, and what they decode to if `decoded` names a column
+    for it; all other columns stay, whatever their names.
 
-    A null text gives a null array, an empty text an empty one. Each row is encoded by itself: repeated rows repeat.
+    A null text gives null, an empty text an empty array and no bytes. Each row is encoded by itself: repeated rows
+    repeat.
     """
-    if ids in df.columns:
-        raise ValueError(f"column {ids} exists; give another name for the ids")
+    added = [ids] if decoded is None else [ids, decoded]
+    if set(added) & set(df.columns):
+        raise ValueError(f"columns {', '.join(added)}: one exists; give other names")
     small_batches(df.sparkSession)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = codec(vocabulary, pattern)[1]
+        own = codec(vocabulary, pattern)
+        memo = UnitMemo(own.packed_many)
         for b in batches(frames):
             at = b.schema.get_field_index(text)
             texts = b.column(at).to_pylist()
@@ -168,10 +181,16 @@ def encode_frame(df: DataFrame, vocabulary: str, pattern: str, text: str = "text
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in packed]))).astype("i4")
             values = np.concatenate(packed).astype("i4")
             mask = pa.array([t is None for t in texts])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, ids])
+            made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)]
+            if decoded is not None:
+                made.append(pa.array([None if t is None else own.decode(p.tolist()) for t, p in zip(texts, packed, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *added])
+        del memo
+        own.forget()
+        give_back()
 
-    return df.mapInArrow(run, df.select("*", F.lit(None).cast("array<int>").alias(ids)).schema)
+    kinds = [F.lit(None).cast(k).alias(c) for c, k in zip(added, ("array<int>", "binary"), strict=False)]
+    return df.mapInArrow(run, df.select("*", *kinds).schema)
 
 
 def decode_frame(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -181,7 +200,7 @@ def decode_frame(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids",
     small_batches(df.sparkSession)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary, pattern)[0]
+        own = codec(vocabulary, pattern)
         for b in batches(frames):
             column = b.column(b.schema.get_field_index(ids))
             out = [None if x is None else own.decode(x) for x in column.to_pylist()]
