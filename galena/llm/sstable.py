@@ -15,12 +15,13 @@ A key is a flag byte (0: null) and the key's 8 bytes, big-endian with the sign t
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import uuid
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galena.llm.shared import batches, shared_path, small_batches
+from galena.llm.shared import batches, give_back, shared_path, small_batches
 from galena.llm.units import UnitMemo
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQQII8s")
 ENTRY, PLACE = struct.Struct("<HHI"), struct.Struct("<QII")
 BLOCK_BYTES, BITS_A_KEY, HASHES = 64 * 1024, 10, 7
+#: Bytes of text for one shard, and for one of a small table.
+SHARD_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
 
 
@@ -146,23 +149,74 @@ class ShardReader:
         return out
 
 
+#: Names that Hadoop and pyarrow have for one kind of store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def file_at(path: str):
     """The file system of a path or URI, and the path in it."""
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if not path.startswith("file:") else "file://" + path[5:])
+    scheme, mark, rest = path.partition("://")
+    if not mark:
+        return pafs.FileSystem.from_uri("file://" + path.removeprefix("file:"))
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> UnitMemo:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """A tokenizer of the tokenizers library. encode gives the packed ids of texts, without added special tokens.
 
-    own = Tokenizer.from_file(path)
+    Where the tokenizer works on bytes and keeps them all, units are encoded many at once, one after the other, and
+    told apart by the bytes their tokens stand for. Other tokenizers get each text whole.
+    """
 
-    def many(texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 1024):
-            yield from (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in own.encode_batch(texts[i : i + 1024], add_special_tokens=False))
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        pre = told.get("pre_tokenizer") or {}
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not told.get("normalizer")
+        kept = not told.get("truncation") and not told.get("padding") and not told["model"].get("dropout")
+        self.by_bytes = bool(plain and kept and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in told.get("added_tokens", [])))
+        self.sizes = np.zeros(self.own.get_vocab_size(), np.int64)
+        added = {t["id"] for t in told.get("added_tokens", [])}
+        for token, i in self.own.get_vocab().items():
+            self.sizes[i] = len(token.encode()) if i in added else len(token)
+
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 64):
+            yield from (np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts[i : i + 64], add_special_tokens=False))
+
+    def units(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), 64):
+            some = texts[i : i + 64]
+            ids = np.array(self.own.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(list(map(len, map(str.encode, some))))
+            at = np.searchsorted(places := np.cumsum(self.sizes[ids]), ends)
+            if at[-1] == len(ids) - 1 and (places[at] == ends).all():
+                packed, to = ids.tobytes(), (4 * (at + 1)).tolist()
+                out += [packed[x:y] for x, y in zip([0, *to[:-1]], to, strict=True)]
+            else:
+                out += self.many(some)
+        return out
 
-    return UnitMemo(many)
+    def memo(self) -> Callable[[list[str]], list[bytes]]:
+        """What encodes texts in one task."""
+        return UnitMemo(self.many, self.units).packed if self.by_bytes else lambda texts: list(self.many(texts))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def shards_for(texts: DataFrame) -> int:
+    """Shards of SHARD_BYTES of text; for small tables more of them, so that all cores take part, down to LEAST_BYTES."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = 3 * texts.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // SHARD_BYTES), min(cores, total // LEAST_BYTES))
 
 
 def write_shards(df: DataFrame, tokenizer: str, end_id: int, path: str, shards: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,17 +228,15 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, path: str, shards:
     and text are not looked at.
     """
     small_batches(df.sparkSession)
-    from tokenizers import Tokenizer
-
-    width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id) < 1 << 16 else 4
+    width = 2 if max(len(encoder(tokenizer).sizes) - 1, end_id) < 1 << 16 else 4
     own = df.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
-    ranged = own.repartitionByRange(shards, *order) if shards else own.repartitionByRange(*order)
+    ranged = own.repartitionByRange(shards or shards_for(own), *order)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         fs, base = file_at(path)
-        name, writer, out = f"{base}/shard-{shard:06d}.sst", None, None
+        name, writer, out, encode = f"{base}/shard-{shard:06d}.sst", None, None, encoder(tokenizer).memo()
         draft = f"{name}.{uuid.uuid4().hex}"
         for b in batches(frames):
             if writer is None:
@@ -192,8 +244,10 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, path: str, shards:
                 out = fs.open_output_stream(draft)
                 writer = ShardWriter(out, width)
             texts = b.column("text").to_pylist()
-            for k, packed in zip(b.column("key").to_pylist(), encoder(tokenizer).packed(texts), strict=True):
+            for k, packed in zip(b.column("key").to_pylist(), encode(texts), strict=True):
                 writer.add(to_key(k), np.append(np.frombuffer(packed, "<u4"), np.uint32(end_id)))
+        del encode
+        give_back()
         if writer is not None:
             size = writer.close()
             out.close()

@@ -11,6 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from galena.llm import byte_bpe, queries, sstable, token_counts
+from galena.llm.units import UnitMemo
 from tests.llm.conftest import SF
 
 
@@ -21,7 +22,7 @@ def ranks():
 
 def test_bpe_equals_library_on_odd_texts(ranks):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    _, memo = byte_bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    memo = UnitMemo(byte_bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).packed_many)
     draw, letters = random.Random(1), [*"  ab'sx\n\t1é漢  !\x1c.", "<|endoftext|>", "'ll"]
     texts = ["".join(draw.choices(letters, k=draw.randint(0, 30))) for _ in range(2000)]
     for text, packed in zip(texts, memo.packed(texts), strict=True):
@@ -102,6 +103,15 @@ def test_op7_files(spark, small_docs):
         start += len(ids)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_shard_encoder_equals_library_on_odd_texts(name):
+    library, encode = Tokenizer.from_file(P.path(name)), sstable.encoder(P.path(name)).memo()
+    draw, letters = random.Random(2), [*"  ab'sx\n\t1é漢  !\x1c.", "<|endoftext|>", "'ll", " plain words here "]
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 30))) for _ in range(2000)]
+    for text, packed in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_shards_of_messy_rows_and_lookup(spark, messy, tmp_path):
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     manifest = sstable.write_shards(messy, P.path("byte_bpe_50k.json"), 2, f"file://{tmp_path}/s", shards=3)
