@@ -15,6 +15,26 @@ e as (select a, b from l union all select b, a from l),
 r(doc_id, c) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.c = e.a)
 select d.doc_id, coalesce(n.n, 0) n_shingles, m.c component_id from documents d left join n using (doc_id) join (select doc_id, min(c) c from r group by 1) m using (doc_id)"""
 
+OP6 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) m from (select doc_id, h, unnest(range(0, cast(length(h) // 2 - 399 as bigint))) i from d where length(h) >= 800)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by m) c from w) where c > 1),
+s as (select doc_id, i, sum(b) over (partition by doc_id order by i) k from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 400 then 0 else 1 end b from r)),
+sp as (select doc_id, k, min(i) a, max(i) + 400 z from s group by 1, 2),
+kp as (select doc_id, string_agg(substr(h, 2 * pz + 1, 2 * (a - pz)), '' order by a) || substr(any_value(h), 2 * max(z) + 1) kept, cast(sum(z - a) as bigint) n_removed, count(*) n_spans
+ from (select doc_id, a, z, h, coalesce(lag(z) over (partition by doc_id order by a), 0) pz from sp join d using (doc_id)) group by 1)
+select doc_id, cast(length(h) // 2 as bigint) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256, coalesce(n_removed, 0) > 0 has_repeat from d left join kp using (doc_id)"""
+
+OP8 = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) p from documents),
+v as (select *, row_number() over (partition by doc_id order by p) r from (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) w from l) where w > 0),
+m as (select a.doc_id k, b.doc_id o, a.r - b.r dg, a.r i, a.p, a.w from v a join v b on a.line = b.line and b.doc_id < a.doc_id),
+s as (select *, i - row_number() over (partition by k, o, dg order by i) g from m),
+ok as (select k, o, dg, g from s group by all having sum(w) >= 20),
+gone as (select distinct k doc_id, p from s join ok using (k, o, dg, g)),
+c as (select doc_id, count(*) n_lines, count(g.p) n_removed, string_agg(case when g.p is null then line end, chr(10) order by l.p) kept from l left join gone g using (doc_id, p) group by 1)
+select doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) kept_sha256 from c"""
+
 OP9 = rf"""
 with w as (select doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws,
  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from documents),

@@ -47,8 +47,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = byte_bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken")
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = byte_bpe.encode_frame(docs, path, PATTERN).select("doc_id", "ids")
-    both = byte_bpe.decode_frame(ids, path, PATTERN)
+    both = byte_bpe.encode_frame(docs, path, PATTERN, decoded="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -56,7 +55,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of every text is left without the 400-byte strings that occur elsewhere."""
     out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeat"))
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_join": oracles.OP3, "op9_quality_rules": oracles.OP9, "op10_decontamination": oracles.OP10}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": oracles.OP3, "op6_suffix_dedup": oracles.OP6, "op8_line_dedup": oracles.OP8, "op9_quality_rules": oracles.OP9, "op10_decontamination": oracles.OP10}

@@ -1,18 +1,21 @@
-"""Exact substring dedup over the whole corpus: prefix doubling on the positions that matter.
+"""Exact substring dedup over the whole corpus: distributed prefix doubling on the positions that matter.
 
 Every start of a `WIDTH`-byte string (a window) that occurs elsewhere is to be found, and all bytes that such windows
-cover. Ranking all positions would shuffle the corpus many times over, so positions are ranked by groups:
-
-1. anchors: a window's anchor is the place of its smallest GRAM-byte hash (leftmost of equals). Equal windows have equal
-   anchors at equal places, so a window can only repeat if its anchor's gram does. Consecutive windows with one anchor
-   are a run; runs with equal bytes from the first window's start to the last one's end repeat as a whole.
-2. doubling: the remaining runs whose gram is not unique are ranked by the bytes on either side of the anchor at doubling
-   offsets (64, 128, 256), each rank made of the rank before and the bytes up to the new offset. A run whose rank has
-   become unique at an offset that all its windows reach past is done; at an offset that some of them reach past, those
-   windows are.
-3. windows that are left are ranked by all their WIDTH bytes, past which no rank is needed.
-
-Grams, sides and windows are compared by 64-bit hashes; windows by those of gram and window together.
+cover. Ranking all positions would shuffle the corpus many times over, so the positions that are ranked are sampled by
+content: equal strings have their samples at equal places.
+
+1. runs: a window's anchor is the place of its smallest GRAM-byte hash (leftmost of equals). Consecutive windows with one
+   anchor are a run. Runs with equal bytes from the first window's start to the last one's end repeat as a whole and are
+   done; a window can only repeat if its anchor's gram does. What is left of both are the open runs.
+2. doubling: within open runs, positions whose gram hash is smaller than those of NEAR positions on either side are
+   sampled. The rank of a position at step 0 is that of the bytes up to the next sampled position. Spark then ranks, for
+   steps 1, 2, 4 ... positions, the pairs (rank here, rank so many positions on) of the step before. A rank that only one
+   position has is unique, and so is all that holds it; ranks past the threshold of WIDTH bytes are not made.
+3. windows: all sampled positions within a window are covered by two ranks of the largest step that fits, which overlap.
+   They and the few bytes before and after are what the window is: windows with a unique rank are gone, of the others
+   those that Spark finds twice repeat. Windows without a sampled position (periodic bytes) are taken by all their bytes.
+
+Bytes between positions are compared by 64-bit hashes, windows by two of them.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.llm.shared import batches, small_batches, tidy, written
 
-WIDTH, GRAM, OFFSETS = 400, 32, (64, 128, 256)
+WIDTH, GRAM, NEAR = 400, 32, 16
+#: Sampled positions lie more than NEAR bytes apart, so this many steps of doubling pass the threshold.
+STEPS = (WIDTH // NEAR).bit_length()
 #: Window starts of a text that are hashed at once, as a power of two.
 PART_BITS = 18
 PART = 1 << PART_BITS
@@ -101,71 +106,137 @@ def with_texts(runs: DataFrame, docs: DataFrame) -> DataFrame:
     Runs of equal rows are whole repeats of each other, so a run that is looked at here has one row only, or stands for
     its class; then each copy of the row gives its windows again, which is what they are.
     """
-    grouped = runs.groupBy("key").agg(F.collect_list(F.struct("first", "last", "anchor", "gram", "rep")).alias("runs"))
+    grouped = runs.groupBy("key").agg(F.collect_list(F.struct("first", "last", "rep")).alias("runs"))
     return docs.join(grouped, "key")
 
 
-def sides(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The runs with the hash of the bytes up to each of OFFSETS on either side of the anchor; null beyond the text."""
-    names = [f"{side}{n}" for n in OFFSETS for side in ("right", "left")]
+def sampled(text: bytes, first: int, end: int) -> np.ndarray:
+    """The sampled positions whose surroundings (NEAR grams on either side) lie within text[first:end]."""
+    found = []
+    for at in range(first, end, PART):
+        grams = rolling(np.frombuffer(text[at : min(end, at + PART + GRAM + 2 * NEAR - 1)], np.uint8), GRAM)
+        if len(grams) > 2 * NEAR:
+            least = sliding_min(grams, NEAR)
+            own = grams[NEAR:-NEAR]
+            found.append(np.flatnonzero((own < least[: len(own)]) & (own < least[NEAR + 1 :])) + at + NEAR)
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def stretches_of(runs: list[dict]) -> list[tuple[int, int]]:
+    """The bytes that the windows of runs cover, as (start, end), in order and without overlaps."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted((r["first"], r["last"] + WIDTH) for r in runs):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return out
+
+
+def phrases(runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, stretch (its start), k (number within), p, rank: the sampled positions of the open runs, with the hash of the
+    bytes up to the next one; null for the last of a stretch."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            rows = []
             for key, text, own in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
-                for r in own:
-                    q, before = r["anchor"], OFFSETS[0] // 2
-                    near = {"right": q + before, "left": q}
-                    for n in OFFSETS:
-                        r[f"right{n}"] = xxhash.xxh64_intdigest(text[near["right"] : q + n]) - (1 << 63) if q + n <= len(text) else None
-                        r[f"left{n}"] = xxhash.xxh64_intdigest(text[q - n : near["left"]]) - (1 << 63) if q >= n else None
-                        near = {"right": q + n, "left": q - n}
-                    r["key"] = key
-                    rows.append(r)
-            kinds = [(c, pa.int64()) for c in ("key", "first", "last", "anchor", "gram")] + [("rep", pa.bool_())] + [(c, pa.int64()) for c in names]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
-
-    kinds = ", ".join(["key bigint, first bigint, last bigint, anchor bigint, gram bigint, rep boolean", *(f"{c} bigint" for c in names)])
-    return with_texts(runs, docs).mapInArrow(run, kinds)
-
-
-def doubled(runs: DataFrame) -> DataFrame:
-    """The runs with the window starts that doubling leaves: first and last are narrowed, finished runs are gone."""
-    own = F.xxhash64("key", "first")  # a rank of its own where the text ends
-    ranked = runs.withColumn("right", F.col("gram")).withColumn("left", F.col("gram"))
-    for n in OFFSETS:
-        for side in ("right", "left"):
-            ranked = ranked.withColumn(side, F.when(F.col(f"{side}{n}").isNull(), own).otherwise(F.xxhash64(side, f"{side}{n}")))
-            alone = ranked.groupBy(side).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-            ranked = ranked.join(alone, side, "left")
-            unique = F.col("many").isNull()
-            # Right of the anchor fewer than n bytes match anything: only windows that end before n bytes can repeat.
-            if side == "right":
-                ranked = ranked.withColumn("last", F.when(unique, F.least("last", F.col("anchor") + n - 1 - WIDTH)).otherwise(F.col("last")))
-            else:
-                ranked = ranked.withColumn("first", F.when(unique, F.greatest("first", F.col("anchor") - n + 1)).otherwise(F.col("first")))
-            ranked = ranked.drop("many").where("first <= last")
-        ranked = written(ranked.drop(f"right{n}", f"left{n}"), "ranks")
-    return ranked.select("key", "first", "last", "anchor", "gram", "rep")
-
-
-def windows(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """gram, hash, key, start, rep of every window of the runs."""
+                for first, end in stretches_of(own):
+                    at = sampled(text, first, end)
+                    if len(at):
+                        ends = at.tolist()
+                        ranks = [xxhash.xxh64_intdigest(text[x:y]) - (1 << 63) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                        n = len(at)
+                        cols = [pa.array(c) for c in (np.full(n, key, np.int64), np.full(n, first, np.int64), np.arange(n), at.astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array([*ranks, None], pa.int64())], names=["key", "stretch", "k", "p", "rank"])
+
+    made = with_texts(runs, docs).mapInArrow(run, "key bigint, stretch bigint, k bigint, p bigint, rank bigint")
+    return made.dropDuplicates(["key", "stretch", "k"])  # equal rows of docs give theirs once
+
+
+def doubled(positions: DataFrame) -> DataFrame:
+    """positions with r0, r1 ...: the ranks of the bytes from each over 1, 2, 4 ... phrases. 0: only this position has
+    them; null: they are past the end or the threshold."""
+    along = Window.partitionBy("key", "stretch").orderBy("k")
+    ranked, names = positions.withColumn("a", F.col("rank")).withColumn("b", F.lit(0).cast("bigint")), []
+    for i in range(STEPS):
+        step = 1 << i
+        if i:
+            near = [F.lead(names[-1], step // 2).over(along).alias("b"), F.lead("p", step).over(along).alias("far")]
+            ranked = ranked.select("*", *near)
+            fits = F.col("far") - F.col("p") <= WIDTH - GRAM - 2 * NEAR
+            both = F.when(fits, F.col(names[-1])), F.when(fits, F.col("b"))
+            ranked = ranked.withColumns({"a": both[0], "b": both[1]}).drop("far")
+        open_ = F.col("a").isNotNull() & F.col("b").isNotNull() & ((F.col("a") != 0) & ((F.col("b") != 0) | F.lit(not i)))
+        name = F.min(F.xxhash64("key", "p")) if i else F.max("a")
+        twice = ranked.where(open_).groupBy("a", "b").agg(F.count(F.lit(1)).alias("many"), name.alias("name")).where("many > 1").select("a", "b", "name")
+        own = f"r{i}"
+        rank = F.when(F.col("a").isNotNull(), F.coalesce("name", F.lit(0)))
+        ranked = written(ranked.join(twice, ["a", "b"], "left").select("key", "stretch", "k", "p", *names, rank.alias(own)), "ranks")
+        names.append(own)
+    return ranked
+
+
+def mixed(*parts: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of several values a row."""
+    x = np.zeros(len(parts[0]), np.uint64)
+    for part in parts:
+        x = (x ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def window_ids(data: np.ndarray, first: int, places: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows of data, whose first byte is at `first`: two hashes that tell each, and whether it can repeat.
+
+    places are the sampled positions of the text, ranks a row for each step of doubling.
+    """
+    up, down = powers()
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    hashed = lambda x, y: (total[y] - total[x]) * down[x]
+    start = np.arange(len(data) - WIDTH + 1)
+    a = np.searchsorted(places, start + first + NEAR)
+    b = np.searchsorted(places, start + first + WIDTH - GRAM - NEAR, side="right") - 1
+    n = b - a
+    left, right, can = mixed(hashed(start, start + WIDTH)), np.full(len(start), 1, np.uint64), np.ones(len(start), bool)
+    some = np.flatnonzero(n >= 0)
+    if len(some):
+        i, a, b, n = start[some], a[some], b[some], n[some]
+        step = np.maximum(np.frexp(np.maximum(n, 1))[1] - 1, 0)  # the largest power of two that n phrases hold
+        ra = np.where(n > 0, ranks[step, a], 1)
+        rb = np.where(n > 0, ranks[step, np.maximum(b - (1 << step), a)], 1)
+        pa_, pb = places[a] - first, places[b] - first
+        left[some] = mixed(hashed(i, pa_), pa_ - i, ra.view(np.uint64))
+        right[some] = mixed(hashed(pb, i + WIDTH), n + 2, rb.view(np.uint64))
+        can[some] = (ra != 0) & (rb != 0)
+    return left, right, can
+
+
+def windows(runs: DataFrame, positions: DataFrame, docs: DataFrame) -> DataFrame:
+    """left, right, key, start, rep of every window of the runs that has no unique rank."""
+    names = [f"r{i}" for i in range(STEPS)]
+    ranks = positions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p", *names))).alias("positions"))
+    both = with_texts(runs, docs).join(ranks, "key", "left")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            for key, text, own in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
-                held, size = [], 0
-                for i, r in enumerate(own):
-                    n = r["last"] - r["first"] + 1
+            for i in range(b.num_rows):
+                key, text, own = (b.column(c)[i].as_py() for c in ("key", "text", "runs"))
+                listed = b.column("positions")[i].values
+                column = lambda c, listed=listed: (listed.field(c).fill_null(0).to_numpy(zero_copy_only=False) if listed is not None else np.empty(0)).astype(np.int64)
+                places, rank, held, size = column("p"), np.stack([column(c) for c in names]), [], 0
+                for j, r in enumerate(own):
                     data = np.frombuffer(text[r["first"] : r["last"] + WIDTH], np.uint8)
-                    held.append((np.full(n, r["gram"], np.int64), rolling(data, WIDTH).view(np.int64), np.full(n, key, np.int64), np.arange(r["first"], r["last"] + 1), np.full(n, r["rep"])))
-                    size += n
-                    if size > 100_000 or i == len(own) - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["gram", "hash", "key", "start", "rep"])
+                    left, right, can = window_ids(data, r["first"], places, rank)
+                    at = np.flatnonzero(can)
+                    held.append((left[at].view(np.int64), right[at].view(np.int64), np.full(len(at), key, np.int64), at + r["first"], np.full(len(at), r["rep"])))
+                    size += len(at)
+                    if size > 100_000 or j == len(own) - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["left", "right", "key", "start", "rep"])
                         held, size = [], 0
 
-    return with_texts(runs, docs).mapInArrow(run, "gram bigint, hash bigint, key bigint, start bigint, rep boolean")
+    return both.mapInArrow(run, "left bigint, right bigint, key bigint, start bigint, rep boolean")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -178,10 +249,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     # Grams with a run that is not, and another one: the single runs, and one run to stand for each class of the others.
     grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("same").alias("least")).where("kinds > 1 and least = 1").select("gram")
     open_ = classes.join(grams, "gram").select("one.*", "gram", (F.col("same") > 1).alias("rep"))
-    left = written(doubled(written(sides(open_, docs), "sides")), "open-runs")
-    ranked = written(windows(left, docs), "windows")
-    twice = ranked.groupBy("gram", "hash").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("gram", "hash")
-    single = ranked.where("not rep").join(twice, ["gram", "hash"], "left_semi").select("key", F.col("start").alias("first"), F.col("start").alias("last"))
+    open_ = written(open_, "open-runs")
+    ranked = written(windows(open_, doubled(written(phrases(open_, docs), "positions")), docs), "windows")
+    twice = ranked.groupBy("left", "right").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("left", "right")
+    single = ranked.where("not rep").join(twice, ["left", "right"], "left_semi").select("key", F.col("start").alias("first"), F.col("start").alias("last"))
     return whole.unionByName(single)
 
 

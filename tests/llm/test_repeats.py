@@ -32,11 +32,11 @@ def test_op6_against_brute_force(spark, small_docs):
     result = queries.op6_suffix_dedup(spark, SF).collect()
     assert len(result) == len(rows) and sum(w[1] > 0 for w in want.values()) > 3
     for r in result:
-        assert tuple(r)[1:] == want[r.doc_id], r.doc_id
+        assert tuple(r)[1:5] == want[r.doc_id] and r.has_repeat == (r.n_removed > 0), r.doc_id
 
 
 def test_edges_periods_and_parts(spark):
-    draw, old = random.Random(4), suffix_dedup.PART_BITS
+    draw = random.Random(4)
     text = lambda n: "".join(draw.choice("abcdefghij é") for _ in range(n))
     a, b = text(1500), text(700)
     texts = [a, a[200:900] + text(50), text(30) + a[200:601], text(5) + a[800:1199], b + text(3) + b[:399], b[:400] + text(9), "ab" * 900, "x" * 399, "x" * 401, "x" * 500, text(90) + a[:650] + text(40) + a[640:1300], b[300:] + a[:10] + b[:300]]
@@ -47,7 +47,28 @@ def test_edges_periods_and_parts(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = sorted((True, k, *w) for (k, _), w in zip(rows, brute([t for _, t in rows]), strict=True))
     assert got(suffix_dedup.remove_repeats(frame)) == want
-    assert suffix_dedup.PART_BITS == old
+
+
+def test_parts_of_a_text_change_nothing(monkeypatch):
+    draw = random.Random(7)
+    text = bytes(draw.choices(b"abcd ", k=30_000)) + b"ab" * 700 + bytes(draw.choices(b"abcd ", k=5_000))
+    whole = suffix_dedup.sampled(text, 3, len(text) - 5)
+    runs = lambda: {w: (a, g) for part in suffix_dedup.runs_of(text) for f, last, a, g, _ in zip(*(x.tolist() for x in part), strict=True) for w in range(f, last + 1)}
+    one = runs()
+    monkeypatch.setattr(suffix_dedup, "PART", 1 << 10)
+    assert suffix_dedup.sampled(text, 3, len(text) - 5).tolist() == whole.tolist() and len(whole) > 500
+    assert runs() == one and len(one) == len(text) - 399
+
+
+def test_long_texts_and_ranks(spark):
+    # Two texts of 600 KB that share passages across the parts of their hashes; ranks decide all of it.
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choices("abcdefghij klmnop", k=n))
+    shared = [text(n) for n in (400, 399, 900, 5000)]
+    a = text(262_000) + shared[0] + text(90) + shared[1] + text(200_000) + shared[2] + text(140_000)
+    b = text(261_800) + shared[2] + text(100) + shared[0] + text(330_000) + shared[3] + text(500) + shared[3][:2500] + text(3) + shared[1]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (1300, 2) and (got[2].n_removed, got[2].n_spans) == (1300 + 5000, 4)
 
 
 def test_messy_rows(spark, messy):
