@@ -15,8 +15,7 @@ from galena.llm.shared import written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
-    scored = toxicity_chain.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(~F.col("rejected")).select(docs.columns)
+    return toxicity_chain.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = byte_bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = byte_bpe.decode_frame(byte_bpe.encode_frame(own, path, PATTERN), path, PATTERN)
+    both = byte_bpe.encode_frame(own, path, PATTERN, decoded="decoded")
     same = (F.col("decoded") == F.encode("text", "utf-8")).alias("round_trip")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same)
 
