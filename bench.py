@@ -21,9 +21,8 @@ def dashboard(spark: SparkSession) -> None:
     """Eight tiles over orders."""
     model = catalogue.sales_model(spark, SF)
     few = {"orders.status": 3, "orders.priority": 5, "customer.segment": 5}
-    for rows in tiles.run_dashboard(model, tiles.overview(model, "orders", "orders.ordered", few)[-8:]).values():
-        if not isinstance(rows, str):
-            rows.collect()
+    rows = tiles.collect_dashboard(model, tiles.overview(model, "orders", "orders.ordered", few)[-8:])
+    assert len(rows) == 8 and not any(isinstance(r, str) for r in rows.values()), rows
 
 
 def medallion(spark: SparkSession) -> None:

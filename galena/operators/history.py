@@ -29,14 +29,19 @@ def scd2_merge(target: DataFrame | None, source: DataFrame, keys: list[str], as_
     own = latest_per_key(source.dropna(subset=keys), keys, None).withColumn(HASH, change_hash(tracked))
     if target is None:
         return own.select(*source.columns, HASH, at.alias(FROM), F.lit(None).cast("timestamp").alias(TO), F.lit(True).alias(CURRENT))
-    current = target.where(CURRENT)
-    incoming = own.select(*[F.col(f"`{k}`") for k in keys], F.col(HASH).alias("__new"))
-    judged = current.join(incoming, keys, "left").withColumn("__changed", F.coalesce(F.col("__new") != F.col(HASH), F.lit(False)))
-    kept = judged.withColumns({TO: F.when(F.col("__changed"), at).otherwise(F.col(TO)), CURRENT: ~F.col("__changed")}).drop("__new", "__changed")
-    known = current.select(*[F.col(f"`{k}`") for k in keys], F.col(HASH).alias("__old"))
-    fresh = own.join(known, keys, "left").where(F.col("__old").isNull() | (F.col("__old") != F.col(HASH))).drop("__old")
-    fresh = fresh.withColumns({FROM: at, TO: F.lit(None).cast("timestamp"), CURRENT: F.lit(True)})
-    return target.where(~F.col(CURRENT)).unionByName(kept.select(*target.columns)).unionByName(fresh, allowMissingColumns=True)
+    # One full join: open versions meet the row of their key; closed ones and other keys pass. A pair that differs gives
+    # two rows, the closed version and the new one.
+    columns = [*target.columns, *(c for c in source.columns if c not in target.columns)]
+    kinds = {f.name: f.dataType for f in [*source.schema.fields, *target.schema.fields]}
+    side = lambda df, name: df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+    old, new = side(target, "old"), side(own, "new")
+    both = old.join(new, [F.col(f"old.{CURRENT}"), *[F.col(f"old.`{k}`") == F.col(f"new.`{k}`") for k in keys]], "full")
+    changed = F.coalesce(F.col(f"old.{HASH}") != F.col(f"new.{HASH}"), F.lit(False))
+    closed = {TO: F.when(changed, at).otherwise(F.col(f"old.{TO}")), CURRENT: F.col(f"old.{CURRENT}") & ~changed}
+    opened = {HASH: F.col(f"new.{HASH}"), FROM: at, TO: F.lit(None), CURRENT: F.lit(True)}
+    row = lambda name, df, given: F.struct(*[given.get(c, F.col(f"{name}.`{c}`") if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
+    versions = F.array(F.when(F.col("old").isNotNull(), row("old", target, closed)), F.when(F.col("new").isNotNull() & (F.col("old").isNull() | changed), row("new", own, opened)))
+    return both.select(F.explode(F.array_compact(versions)).alias("v")).select("v.*")
 
 
 def scd2_stats(before: DataFrame | None, after: DataFrame, as_of) -> DataFrame:

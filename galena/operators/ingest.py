@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,24 +108,54 @@ def upsert(target: DataFrame | None, source: DataFrame, keys: list[str], order:
     return once.unionByName(target.join(once.select(*same), same, "left_anti"), allowMissingColumns=True)
 
 
+LOG = "version bigint, path string"
+
+
+def current_version(spark: SparkSession, folder: str):
+    """The newest version (version, path) of a bronze table that was written to its end; None if there is none."""
+    try:
+        return spark.read.schema(LOG).parquet(f"{folder}/log").orderBy(F.desc("version")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def load_bronze(source: DataFrame, root: str, dataset: str, keys: list[str], state: DataFrame | None, full: bool = False) -> dict:
     """Reads what is new, writes a new version of the bronze table, and only then advances the state.
 
-    The version goes to a folder of its own; the pointer file names the current one. Nothing that is being read is
-    overwritten, and a run that fails leaves the old version current.
+    What is read is landed first, so the source is read once and its rows are counted where they lie. A version goes to a
+    folder of its own and becomes current by a row that is appended to a log after it: nothing is overwritten that may be
+    read, and a run that fails at any point leaves the old version current.
     """
-    spark = source.sparkSession
+    spark, folder = source.sparkSession, f"{root}/bronze/{dataset}"
     last = state.where(F.col("dataset") == dataset).first() if state is not None else None
     window = read_window(source, last and last.watermark_column, None if full or not last else last.watermark)
-    replace = full or not keys or last is None
-    pointer = f"{root}/bronze/{dataset}/_current"
-    old = None if replace else spark.read.parquet(spark.read.text(pointer).first()[0])
-    rows = source if full or not keys else window.rows
-    new = rows if replace and not keys else upsert(old, rows, keys, window.column)
-    version = 0 if last is None else int(spark.read.text(pointer).first()[0].rpartition("v")[2]) + 1
-    path = f"{root}/bronze/{dataset}/v{version}"
+    before = current_version(spark, folder)
+    replace = full or not keys or last is None or before is None
+    version = 0 if before is None else before.version + 1
+    (source if full or not keys else window.rows).write.mode("overwrite").parquet(f"{folder}/landed/v{version}")
+    rows = spark.read.parquet(f"{folder}/landed/v{version}")
+    new = rows if not keys else upsert(None if replace else spark.read.parquet(before.path), rows, keys, window.column)
+    path = f"{folder}/v{version}"
     new.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(pointer)
+    spark.createDataFrame([(version, path)], LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
     read = rows.count()
     advanced = [(dataset, window.column, None if window.ceiling is None else str(window.ceiling), (last.rows_total if last else 0) + read)]
     return {"path": path, "rows_read": read, "mode": "replace" if replace else "upsert", "reason": window.reason, "state": spark.createDataFrame(advanced, STATE)}
+
+
+def read_state(spark: SparkSession, root: str) -> DataFrame | None:
+    """The latest state of each dataset, from the log of states; None before the first load."""
+    try:
+        log = spark.read.schema(f"{STATE}, loaded bigint").parquet(f"{root}/state")
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return log.groupBy("dataset").agg(F.max_by(F.struct(*[c for c in log.columns if c != "dataset"]), "loaded").alias("s")).select("dataset", "s.*").drop("loaded")
+
+
+def save_state(state: DataFrame, root: str) -> None:
+    """Appends a state to the log of states; the time of appending orders the states of a dataset."""
+    state.withColumn("loaded", F.unix_micros(F.current_timestamp())).coalesce(1).write.mode("append").parquet(f"{root}/state")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.functions.types import NUMERIC
@@ -25,6 +25,7 @@ class Rule:
     values: tuple = ()
     low: object = None
     high: object = None
+    reason: str = ""
 
     @property
     def label(self) -> str:
@@ -47,15 +48,32 @@ def fails(rule: Rule) -> Column:
         low = F.lit(False) if rule.low is None else x < F.lit(rule.low)
         high = F.lit(False) if rule.high is None else x > F.lit(rule.high)
         return low | high
-    if rule.kind == "unique":
-        return F.count(F.lit(1)).over(Window.partitionBy(*[F.col(f"`{c}`") for c in rule.columns])) > 1
     raise ValueError(f"no kind of rule {rule.kind}")
 
 
+def _repeats(df: DataFrame, rule: Rule, flag: str) -> DataFrame:
+    """df with a flag for the rows whose key another row has; a null key is a key like any other.
+
+    Keys are counted before anything is shuffled, and only those found twice are joined back, so a key that very many
+    rows have is one row there, and a table without repeats is not shuffled by its keys for the join.
+    """
+    own = [f"{flag}_{i}" for i in range(len(rule.columns))]
+    keys = [F.col(f"`{c}`").alias(k) for c, k in zip(rule.columns, own, strict=True)]
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(flag)).where(F.col(flag) > 1)
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(rule.columns, own, strict=True)]
+    return df.join(twice, same, "left").drop(*own)
+
+
 def evaluate(df: DataFrame, rules) -> DataFrame:
     """df with the labels of all failed rules of each severity, joined by "; "; an empty text is a pass."""
-    labels = lambda severity: F.concat_ws("; ", *[F.when(fails(r), r.label) for r in rules if r.severity == severity])
-    return df.withColumns({REJECTS: labels("reject"), WARNS: labels("warn")})
+    flags, own = {}, df
+    for i, r in enumerate(rules):
+        if r.kind == "unique":
+            flags[r] = f"_med_repeats_{i}"
+            own = _repeats(own, r, flags[r])
+    broken = lambda r: F.col(flags[r]).isNotNull() if r in flags else fails(r)
+    labels = lambda severity: F.concat_ws("; ", *[F.when(broken(r), r.label) for r in rules if r.severity == severity])
+    return own.withColumns({REJECTS: labels("reject"), WARNS: labels("warn")}).drop(*flags.values())
 
 
 def clean(evaluated: DataFrame) -> DataFrame:
@@ -85,17 +103,17 @@ def breach(evaluated: DataFrame, share: float = BREACH_SHARE, least: int = BREAC
 
 
 def default_policy(facts: list, keys: list[list[str]]) -> list[Rule]:
-    """Rules that a profile suggests. facts: rows of profile()."""
+    """Rules that a profile suggests, each with its reason. facts: rows of profile()."""
     key = set(keys[0]) if keys else set()
     out = []
     for f in facts:
         name = (f.column,)
         if f.column in key:
-            out.append(Rule("not_null", name))
+            out.append(Rule("not_null", name, reason=f"{f.column} is part of the key {', '.join(sorted(key))}"))
         elif f.nulls == 0 and (f.rows or 0) > 50:
-            out.append(Rule("not_null", name, "warn"))
+            out.append(Rule("not_null", name, "warn", reason=f"none of {f.rows} rows lacks it so far"))
         if f.shadow_type:
-            out.append(Rule("type", name, to=f.shadow_type))
+            out.append(Rule("type", name, to=f.shadow_type, reason=f"its texts read as {f.shadow_type}, and silver has that type"))
         if f.top_values and f.distinct_count <= 12 and len(f.top_values) == f.distinct_count and f.shadow_type not in NUMERIC:
-            out.append(Rule("allowed_values", name, "warn", values=tuple(t.value for t in f.top_values)))
+            out.append(Rule("allowed_values", name, "warn", values=tuple(t.value for t in f.top_values), reason=f"it has only had {f.distinct_count} values so far"))
     return out

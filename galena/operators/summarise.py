@@ -12,14 +12,15 @@ DIMENSIONS, DIMENSION_VALUES, MEASURES, MEASURE_VALUES = 4, 50, 8, 200
 
 
 def _averaged(name: str) -> list[Column]:
-    return [F.avg(F.col(f"`{name}`").cast("double")).alias(_prefixed("avg", name))]
+    return [F.avg(F.col(f"`{name}`").cast("double")).alias(prefixed("avg", name))]
 
 
 def _totalled(name: str) -> list[Column]:
-    return [F.sum(f"`{name}`").alias(_prefixed("total", name)), *_averaged(name)]
+    return [F.sum(f"`{name}`").alias(prefixed("total", name)), *_averaged(name)]
 
 
-def _prefixed(prefix: str, name: str) -> str:
+def prefixed(prefix: str, name: str) -> str:
+    """The name with the prefix before it, unless it has it already."""
     return name if normalise(name).startswith(f"{prefix}_") else f"{prefix}_{name}"
 
 

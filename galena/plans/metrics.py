@@ -40,7 +40,7 @@ class Filter:
 
 @dataclass(frozen=True)
 class Measure:
-    """agg: sum, avg, min, max, count, count_distinct, median. column None: rows are counted. constraint: a filter on
+    """agg: sum, avg, min, max, count, count_distinct, median, total (a sum, 0 if there is nothing to sum). column None: rows are counted. constraint: a filter on
     the entity's own columns that applies inside the aggregate only."""
 
     name: str
@@ -152,7 +152,7 @@ def aggregate(m: Measure, column: Callable[[str], Column]) -> Column:
     kept = predicate(column(m.constraint.field), m.constraint) if m.constraint else None
     if m.agg == "count" and m.column is None:
         return F.count(F.lit(1)) if kept is None else F.count_if(kept)
-    kinds = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct, "median": F.median}
+    kinds = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct, "median": F.median, "total": lambda c: F.coalesce(F.sum(c), F.lit(0))}
     if m.agg not in kinds or m.column is None:
         raise Refused(f"{m.name}: {m.agg} is not an aggregation that can be computed")
     own = column(m.column)
@@ -186,6 +186,12 @@ def join_path(model: Model, base: str, wanted: set[str]) -> list[Join]:
     return out
 
 
+def output_name(model: Model, entity: Entity, attribute: Attribute) -> str:
+    """A dimension's column: the attribute's name, with the entity before it where several entities have it."""
+    shared = sum(a.name == attribute.name for e in model.entities for a in e.attributes) > 1
+    return f"{entity.name}_{attribute.name}" if shared else attribute.name
+
+
 def metric_groups(model: Model, query: MetricQuery, fold: Callable[[DataFrame, Column], tuple[DataFrame, Column]] | None = None) -> tuple[DataFrame, set[str]]:
     """All groups of a query, without its order and limit, and the names of its keys.
 
@@ -224,8 +230,7 @@ def metric_groups(model: Model, query: MetricQuery, fold: Callable[[DataFrame, C
         taken.add(name)
     for d in query.dimensions:
         entity, attribute = used[d]
-        shared = sum(a.name == attribute.name for e in model.entities for a in e.attributes) > 1
-        name = f"{entity.name}_{attribute.name}" if shared else attribute.name
+        name = output_name(model, entity, attribute)
         own = column(entity.name, attribute.source)
         own = mask_kind(own, attribute.pii) if hidden(attribute) else own
         if fold:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from galena.operators import profile as P
 from galena.operators import quality as Q
 from galena.operators import refine as R
+from galena.operators.ingest import load_bronze, read_state, save_state
 from galena.operators.summarise import carry_gold, summarise
 from galena.sources.readers import write_layer
 
@@ -23,10 +24,14 @@ class Breached(RuntimeError):
 
 @dataclass(frozen=True)
 class Dataset:
+    """keys: with them, bronze is loaded incrementally: what is new is upserted by key. full: everything is read again."""
+
     name: str
     rows: DataFrame
     layer: str = "bronze"
     rules: tuple[Q.Rule, ...] | None = None
+    keys: tuple[str, ...] = ()
+    full: bool = False
 
 
 def refine_silver(df: DataFrame, facts: list, rules, root: str, name: str, run_id: str, at, duplicates: float = 0.0) -> tuple[DataFrame, int]:
@@ -37,14 +42,17 @@ def refine_silver(df: DataFrame, facts: list, rules, root: str, name: str, run_i
     path = write_layer(Q.evaluate(df, rules), root, "quarantine", f"{name}_evaluated")
     judged = df.sparkSession.read.parquet(path)
     gate = Q.breach(judged).first()
-    write_layer(Q.quarantine(judged, run_id, at), root, "quarantine", name, "append")
+    write_layer(Q.quarantine(judged, run_id, at), root, "quarantine", f"{name}/run={run_id}")  # a run that comes again replaces its own
     if gate.breached:
         raise Breached(f"{gate.rejected} of {gate.total} rows were rejected")
     return R.refine(Q.clean(judged), R.plan_refine(facts, duplicates), at), gate.rejected
 
 
 def run_medallion(datasets: list[Dataset], root: str, run_id: str, at) -> DataFrame:
-    """Lands, refines and summarises each dataset; one that fails does not stop the others. Returns the step log."""
+    """Lands, refines and summarises each dataset; one that fails does not stop the others. Returns the step log.
+
+    Datasets with keys load what is new since their last run; the state is kept beside the layers and moves after the write.
+    """
     log, spark = [], datasets[0].rows.sparkSession
 
     def step(name: str, what: str, work):
@@ -59,6 +67,11 @@ def run_medallion(datasets: list[Dataset], root: str, run_id: str, at) -> DataFr
 
     for d in datasets:
         def land(d=d):
+            if d.keys:
+                loaded = load_bronze(d.rows, root, d.name, list(d.keys), read_state(spark, root), d.full)
+                save_state(loaded["state"], root)
+                out = spark.read.parquet(loaded["path"])
+                return out.count(), f"{loaded['mode']} of {loaded['rows_read']} rows: {loaded['reason']}", out
             out = spark.read.parquet(write_layer(d.rows, root, "bronze", d.name))
             return out.count(), None, out
 
@@ -83,7 +96,7 @@ def run_medallion(datasets: list[Dataset], root: str, run_id: str, at) -> DataFr
 
         def gold(d=d, refined=refined):
             own = refined.drop(R.REFINED_AT)
-            out = summarise(own, P.profile(own).collect())
+            out = summarise(own, P.profile(own, details=False).collect())
             if out is None:
                 return 0, "nothing to summarise", None
             out = spark.read.parquet(write_layer(out, root, "gold", d.name))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from galena.plans.metrics import MOST_ROWS, Filter, MetricQuery, Model, Refused, metric_groups, metric_query
+from galena.plans.metrics import MOST_ROWS, Attribute, Entity, Filter, Measure, MetricQuery, Model, Refused, metric_groups, metric_query, output_name
 
 PERIODS = 60
 KEEP = {"donut": 6, "bar": 8, "stacked": 8}
@@ -152,6 +154,82 @@ def run_dashboard(model: Model, tiles, filters=()) -> dict[str, DataFrame | str]
     return out
 
 
+#: What a measure is over groups that were aggregated before.
+AGAIN = {"sum": "sum", "count": "total", "total": "total", "min": "min", "max": "max"}
+
+
+def pre_aggregated(model: Model, tiles, filters=()) -> tuple[Model, dict[str, Tile]]:
+    """A model over one table that answers many tiles, and those tiles, in its terms, by name.
+
+    The table has the fact's measures by all dimensions and the time of the tiles: the fact and its joins are read once,
+    and each tile reads the groups. Only tiles take part whose measures add up from groups (sums, counts, extremes),
+    which have no filters of their own and show nothing that is masked. The page's filters are applied before.
+    """
+    fit: list[Tile] = []
+    for t in tiles:
+        try:
+            measures = [model.measure(m) for m in t.measures]
+            shown = [model.attribute(d)[1] for d in (t.dimension, t.time) if d]
+        except Refused:
+            continue
+        if not t.filters and all(m.agg in AGAIN for m in measures) and all(a.pii is None for a in shown):
+            fit.append(t)
+    facts = [model.measure(t.measures[0]).entity for t in fit]
+    fact = max(sorted(set(facts)), key=facts.count, default=None)
+    fit = [t for t in fit if all(model.measure(m).entity == fact for m in t.measures)]
+    times = list(dict.fromkeys(t.time for t in fit if t.time))
+    fit = [t for t in fit if not t.time or t.time == times[0]]
+    if len(fit) < 2:
+        return model, {}
+    grains = {t.grain for t in fit if t.time}
+    measures = list(dict.fromkeys(m for t in fit for m in t.measures))
+    dims = list(dict.fromkeys(t.dimension for t in fit if t.dimension))
+    grain = grains.pop() if len(grains) == 1 else "day"
+    query = MetricQuery(tuple(measures), tuple(dims), times[0] if times else None, grain, tuple(filters))
+    groups, _ = metric_groups(model, query)
+    names = {d: output_name(model, *model.attribute(d)) for d in dims}
+    at = [Attribute(model.attribute(times[0])[1].name, f"{grain}_of_{model.attribute(times[0])[1].name}")] if times else []
+    entity = Entity(fact, groups, (*(Attribute(n) for n in names.values()), *at))
+    again = tuple(Measure(m.name, fact, AGAIN[m.agg], m.name, format=m.format) for m in map(model.measure, measures))
+    own = lambda t: replace(t, dimension=t.dimension and f"{fact}.{names[t.dimension]}", time=t.time and f"{fact}.{at[0].name}")
+    return Model((entity,), again), {t.name: own(t) for t in fit}
+
+
+def collect_dashboard(model: Model, tiles, filters=(), at_once: int = 8) -> dict[str, list[Row] | str]:
+    """The rows of each tile, or why it has none: what goes wrong on a tile, in planning or running, stays there.
+
+    Tiles that can share the groups of one aggregate do; it is kept while they run. Tiles run side by side.
+    """
+    shared, own = pre_aggregated(model, tiles, filters)
+    groups = shared.entities[0].table.persist() if own else None
+
+    def run(t: Tile) -> list[Row] | str:
+        try:
+            return (run_tile(shared, own[t.name]) if t.name in own else run_tile(model, t, filters)).collect()
+        except Exception as why:  # a page shows the other tiles
+            return str(why)
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        rows = dict(zip([t.name for t in tiles], pool.map(run, tiles), strict=True))
+    if groups is not None:
+        groups.unpersist()
+    return rows
+
+
+def stats_of(model: Model, tile: Tile, filters=(), shown: int = 12) -> DataFrame:
+    """A stat with what stands beside it: value, previous period, delta, direction, and the latest periods as a series."""
+    first, own = tile.measures[0], (*tile.filters, *filters)
+    total = stat_total(model, first, own).select(F.col(first).alias("total"))
+    if not tile.time:
+        return total
+    line = timeline(model, (first,), tile.time, tile.grain, own)
+    period = line.columns[0]
+    series = line.orderBy(F.col(period).desc_nulls_last()).limit(shown)
+    listed = series.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(period).alias("period"), F.col(first).alias("value")))), lambda x: x).alias("series"))
+    delta = period_delta(model, first, tile.time, tile.grain, own).select("value", "previous", "delta", "delta_pct", "direction")
+    return total.crossJoin(F.broadcast(delta)).crossJoin(F.broadcast(listed))  # one row each
+
+
 def overview(model: Model, entity: str, time: str | None, cardinality: dict[str, int]) -> list[Tile]:
     """The default tiles of a fact: up to 4 stats, a trend, up to 3 breakdowns, a donut, a combo and a detail table.
 
@@ -176,14 +254,18 @@ def overview(model: Model, entity: str, time: str | None, cardinality: dict[str,
     return out
 
 
+# What speaks for a table as the one to give an overview of.
+FACT_WEIGHTS = {"time": 4, "hub": 3, "most_for_size": 3, "measure": 0.4, "most_for_measures": 2}
+
+
 def choose_fact(model: Model, rows: dict[str, int], times: dict[str, str | None]) -> str:
     """The entity to give an overview of: one with a time, others around it, many rows and measures."""
-    import math
-
     def score(name: str) -> float:
         hub = any(j.left == name for j in model.joins)
         measures = sum(m.entity == name for m in model.measures)
-        return 4 * bool(times.get(name)) + 3 * hub + min(3, math.log10(max(1, rows.get(name, 1)))) + min(2, 0.4 * measures)
+        w = FACT_WEIGHTS
+        size = min(w["most_for_size"], math.log10(max(1, rows.get(name, 1))))
+        return w["time"] * bool(times.get(name)) + w["hub"] * hub + size + min(w["most_for_measures"], w["measure"] * measures)
 
     with_measures = [e.name for e in model.entities if any(m.entity == e.name for m in model.measures)]
     if not with_measures:
@@ -191,8 +273,20 @@ def choose_fact(model: Model, rows: dict[str, int], times: dict[str, str | None]
     return max(sorted(with_measures), key=score)
 
 
+def about_tiles(spark, model: Model, tiles, filters=()) -> DataFrame:
+    """tile, kind, measure, definition, dimension, filters: what each number on a page means."""
+    told = lambda fs: "; ".join(f"{f.field} {f.op} {f.value}" if f.value is not None else f"{f.field} {f.op}" for f in fs)
+    rows = []
+    for t in tiles:
+        for name in t.measures:
+            m = next((m for m in model.measures if m.name == name), None)
+            what = f"{m.agg}({m.entity}.{m.column or '*'})" + (f" where {told([m.constraint])}" if m.constraint else "") if m else "unknown"
+            rows.append((t.name, t.kind, name, what, t.dimension or t.time, told((*t.filters, *filters))))
+    return spark.createDataFrame(rows, "tile string, kind string, measure string, definition string, by string, filters string")
+
+
 def export_tiles(tiles: dict[str, DataFrame | str], about: DataFrame, path: str) -> None:
-    """Each tile's rows as csv below path, and a table of what they mean."""
+    """Each tile's rows as csv below path, and a table of what they mean (see about_tiles)."""
     for name, rows in tiles.items():
         if not isinstance(rows, str):
             rows.write.mode("overwrite").csv(f"{path}/{name.replace(' ', '_')}", header=True)

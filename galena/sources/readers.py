@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galena.functions.types import SPARK_TYPES, logical_type
 
+# Words that read as true and as false.
+TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
 TABBED = (".tsv", ".txt")
 
 
@@ -54,9 +58,15 @@ def describe(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*cells)).alias("c"), "rows").select("c.*", "rows")
 
 
-def sample(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows that Spark comes by; not a random sample."""
-    return df.limit(n)
+@dataclass(frozen=True)
+class Sample:
+    rows: DataFrame
+    truncated: bool
+
+
+def sample(df: DataFrame, n: int) -> Sample:
+    """The first n rows that Spark comes by (not a random sample), and whether there are more."""
+    return Sample(df.limit(n), df.limit(n + 1).count() > n)
 
 
 def conform_column(value: Column, kind: str, to: str) -> Column:
@@ -79,7 +89,7 @@ def conform_column(value: Column, kind: str, to: str) -> Column:
         return F.trim(bare).try_cast(SPARK_TYPES[to])
     if to == "boolean":
         low = F.lower(text)
-        return F.when(low.isin("true", "t", "yes", "y", "1"), True).when(low.isin("false", "f", "no", "n", "0"), False)
+        return F.when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False)
     if to in ("date", "timestamp"):
         return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast(to))
     return value.cast(SPARK_TYPES[to])

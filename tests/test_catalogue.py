@@ -25,7 +25,7 @@ def plain(columns, rows):
 
 
 #: Twins that are written for the larger tables: what they state does not hold at this size.
-LARGER = {"classify_layers", "relationships", "profile_shadow"}
+LARGER = {"classify_layers"}
 
 
 @pytest.mark.parametrize("name", [n for n in catalogue.ORACLE_SQL if n not in LARGER])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from galena.functions.names import has_words, is_audit, is_key_like, layer_of_name, safe_identifier
 from galena.operators import history, ingest, profile, quality, refine, relate
-from galena.plans import lineage, runs, tiles
+from galena.plans import derive, lineage, runs, tiles
 from galena.plans.metrics import Attribute, Entity, Filter, Join, Measure, MetricQuery, Model, Refused, metric_query
 from galena.sources import readers
 from galena.streaming import streams
@@ -175,6 +175,23 @@ def test_folding_keeps_the_total(spark):
     assert made["good"].count() == 1 and isinstance(made["bad"], str)
 
 
+def test_tiles_share_one_aggregate_and_fail_alone(spark):
+    rows = [(i, f"c{i % 15}", i % 3, float(i), datetime.datetime(2024, 1 + i % 6, 1)) for i in range(300)]
+    own = Model((Entity("t", spark.createDataFrame(rows, "id int, c string, k int, x double, at timestamp"), (Attribute("c"), Attribute("k"), Attribute("at"))),), (Measure("x", "t", "sum", "x"), Measure("n", "t", "count"), Measure("mean", "t", "avg", "x"), Measure("wrong", "t", "sum", "nothing")))
+    page = [tiles.Tile("total", "stat", ("x",)), tiles.Tile("by c", "bar", ("x", "n"), "t.c"), tiles.Tile("trend", "line", ("n",), time="t.at"), tiles.Tile("mean", "bar", ("mean",), "t.k"), tiles.Tile("lost", "bar", ("x",), "t.gone"), tiles.Tile("detail", "detail", ("x",), "t.k", "t.at")]
+    only = (Filter("t.k", "lt", 2),)
+    shared, fit = tiles.pre_aggregated(own, page, only)
+    assert set(fit) == {"total", "by c", "trend", "detail"} and shared.entities[0].table.count() == 20
+    got, want = tiles.collect_dashboard(own, page, only), tiles.run_dashboard(own, page, only)
+    assert isinstance(got["lost"], str) and {n: sorted(map(tuple, r)) for n, r in got.items() if n != "lost"} == {n: sorted(map(tuple, r.collect())) for n, r in want.items() if n != "lost"}
+    broken = tiles.collect_dashboard(own, [*page, tiles.Tile("broken", "stat", ("wrong",))])
+    assert isinstance(broken["broken"], str) and not isinstance(broken["mean"], str)
+    stat = tiles.stats_of(own, tiles.Tile("n", "stat", ("n",), time="t.at")).first()
+    assert (stat.total, stat.value, stat.previous, stat.direction, len(stat.series)) == (300, 50, 50, "flat", 6)
+    about = tiles.about_tiles(spark, own, page, only).collect()
+    assert {r.measure: r.definition for r in about}["mean"] == "avg(t.x)" and all("t.k lt 2" in r.filters for r in about)
+
+
 def test_folding_more_labels_than_a_query_shows(spark):
     # 60,002 labels; the largest by size is negative, and rows without a label are in the tail.
     table = spark.range(60_000).selectExpr("id", "concat('c', id) c", "if(id = 5, -1e6, if(id = 6, 2e5, 1.0)) x").unionByName(spark.createDataFrame([(60_000, None, 0.5), (60_001, "z", 2.0)], "id bigint, c string, x double"))
@@ -226,6 +243,59 @@ def test_shadows_pii_and_keys(spark):
     assert empty.count() == 7
 
 
+def test_quartiles_and_counts_of_large_columns(spark):
+    df = spark.range(50_000).selectExpr("id * 37 % 50000 a", "cast(id % 7 as double) + 0.25 b", "if(id % 10 = 0, null, pow(id, 2)) c", "if(id = 3, double('nan'), id / 8) d", "cast(id as string) e")
+    exact = df.agg(*[F.percentile(x, F.array(*map(F.lit, profile.SHARES))).alias(x) for x in "abcd"]).first()
+    got = {r.column: (r.p25, r.p50, r.p75) for r in profile.quartiles(df, list("abcd")).collect()}
+    assert {c: list(q) for c, q in got.items()} == {c: exact[c] for c in "abcd"}
+    whole, part = ({r.column: r for r in profile.profile(df, n).collect()} for n in (100_000, 1_000))
+    for c in "abcde":
+        assert (whole[c].p50, whole[c].min, whole[c].max_length, whole[c].shadow_type) == (part[c].p50, part[c].min, part[c].max_length, part[c].shadow_type) or c == "d"
+        assert whole[c].distinct_is_exact and abs(part[c].distinct_count - whole[c].distinct_count) <= 0.05 * whole[c].distinct_count
+    assert part["a"].is_unique and part["e"].shadow_type == "integer" and part["b"].decimal_places == 2
+    none = profile.profile(df.limit(0)).collect()
+    assert len(none) == 5 and all(r.rows == 0 and r.p50 is None for r in none)
+
+
+def test_unique_rule_counts_nulls_as_a_key(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
+    got = {r.v: r[quality.WARNS] for r in quality.evaluate(df, [quality.Rule("unique", ("k",), "warn"), quality.Rule("unique", ("k", "v"), "warn")]).collect()}
+    assert got == {"a": "unique:k", "b": "unique:k", "c": "", "d": "unique:k", "e": "unique:k"}
+
+
+def test_derived_model(spark):
+    rows = spark.createDataFrame([(1, 7, 10.0, 0.5, "a@x.org", datetime.datetime(2024, 1, 1)), (2, 7, 20.0, 0.25, "b@x.org", datetime.datetime(2024, 2, 1))], "order_id int, customer_id int, total_amount double, margin_pct double, email string, placed_at timestamp")
+    people = spark.createDataFrame([(7, "SE")], "customer_id int, country string")
+    facts = {n: profile.profile(df).collect() for n, df in (("Orders", rows), ("customers", people))}
+    path = [{"from_dataset": "Orders", "from_column": "customer_id", "to_dataset": "customers", "to_column": "customer_id", "cardinality": "many_to_one"}]
+    made = derive.derive_model([derive.Table("Orders", rows, facts["Orders"], ("order_id",)), derive.Table("customers", people, facts["customers"], ("customer_id",))], path)
+    assert made.roles["orders", "order_id"] == "key" and made.roles["orders", "customer_id"] == "reference" and made.roles["orders", "placed_at"] == "time"
+    assert {m.name: (m.agg, m.format) for m in made.model.measures} == {"orders_count": ("count", "number"), "total_amount": ("sum", "currency"), "avg_total_amount": ("avg", "currency"), "avg_margin_pct": ("avg", "percent"), "customers_count": ("count", "number")}
+    assert [tuple(r) for r in metric_query(made.model, MetricQuery(("total_amount",), ("customers.country",))).collect()] == [("SE", 30.0)]
+    assert metric_query(made.model, MetricQuery(("orders_count",), ("orders.email",))).first().email.startswith("•••")
+
+
+def test_incremental_runs_and_crashes(spark, tmp_path):
+    t = lambda d: datetime.datetime(2024, 1, d)
+    kind, at = "k int, v string, updated_at timestamp", F.lit("2026-01-01").cast("timestamp")
+    for run, rows in (("r1", [(1, "a", t(1)), (2, "b", t(1))]), ("r2", [(1, "old", t(1)), (2, "B", t(2)), (3, "c", t(3))])):
+        log = runs.run_medallion([runs.Dataset("d", spark.createDataFrame(rows, kind), rules=(), keys=("k",))], str(tmp_path), run, at).collect()
+        assert log[0].status == "succeeded", log
+    assert "upsert of 2 rows" in log[0].note
+    now = ingest.current_version(spark, f"{tmp_path}/bronze/d")
+    assert now.version == 1 and sorted((r.k, r.v) for r in spark.read.parquet(now.path).collect()) == [(1, "a"), (2, "B"), (3, "c")]
+    # A version that was written but not logged, as after a crash, is not current, and the next load replaces it.
+    spark.range(1).write.parquet(f"{tmp_path}/bronze/d/v2")
+    assert ingest.current_version(spark, f"{tmp_path}/bronze/d").version == 1
+
+
+def test_impact_and_samples(spark):
+    own = lineage.edges(spark, [("raw", "x", "orders", "x", "s", None), ("orders", "x", "measure", "total", "m", "sum"), ("measure", "total", "tile", "trend", "d", "line")])
+    found = {tuple(r) for r in lineage.impact(own, spark.createDataFrame([("s",), ("blind",)], "name string"), "raw", "x").collect()}
+    assert found == {("table", "orders"), ("measure", "total"), ("tile", "trend"), ("unknown effect", "blind")}
+    assert readers.sample(spark.range(3), 3).truncated is False and readers.sample(spark.range(4), 3).truncated is True
+
+
 def test_relationship_names():
     assert relate.name_affinity("customer_id", "customers", "id") == 1.0
     assert relate.name_affinity("customer_id", "customers", "customer_id") == 0.9
