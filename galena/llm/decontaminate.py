@@ -97,7 +97,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # span of them at most
     hits = written(find_hits(docs, windows, lengths, span, k, small), "benchmark-hits")
 
-    spans = F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), F.col("len").alias("len")))))
+    # Sets, so that copies of a row, however many, add nothing to what is gathered of it.
+    spans = F.flatten(F.collect_set(F.transform("starts", lambda s: F.struct(s.alias("start"), F.col("len").alias("len")))))
     by_doc = hits.groupBy("key", "digest").agg(F.max("n_words").cast("bigint").alias("n_words"), F.count("n_words").alias("copies"), spans.alias("spans"))
     named = windows.where(F.col("item").isNotNull()).select("whole", "len", "item").distinct()
     found = hits.where(F.col("whole").isNotNull()).select("key", "digest", "whole", "len").distinct()
