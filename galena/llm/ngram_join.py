@@ -216,9 +216,10 @@ def frequent_shingles(docs: DataFrame) -> DataFrame:
 
 def ordered_sets(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """key, n, node, prefix (packed hashes), group and parities for each document; all but key and n are null for empty sets."""
-    rows = frequent.toPandas().sort_values("hash")  # KEPT rows at most
-    bits = int(rows["bits"].max()) if len(rows) else 4
-    shared = docs.sparkSession.sparkContext.broadcast((rows["hash"].to_numpy().astype(np.uint64), rows["count"].to_numpy().astype(np.int64)))
+    rows = frequent.toArrow()  # KEPT rows at most
+    hashes, counts, own_bits = (rows.column(c).to_numpy() for c in ("hash", "count", "bits"))
+    bits, order = int(own_bits.max()) if len(rows) else 4, np.argsort(hashes.astype(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast((hashes.astype(np.uint64)[order], counts.astype(np.int64)[order]))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
