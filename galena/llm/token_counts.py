@@ -7,6 +7,7 @@ count; only distinct texts without one are encoded, and their counts are appende
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -67,15 +68,25 @@ def counter(path: str):
 
 @lru_cache(maxsize=4)
 def drops_blanks(path: str) -> bool:
-    """Whether a vocabulary ends words by a suffix, its pattern keeping no blank: then blanks only part words."""
-    import json
+    """Whether blanks only part words for a tokenizer, so that a text counts as the sum of its words.
 
+    That takes a vocabulary with endings of words, a split that keeps no blank, normalisers that look at no more than a
+    word and leave blanks blank, and added tokens that hold and swallow none. Whatever is not known to be so is counted by
+    whole texts.
+    """
     if not path.endswith(".json"):
         return False
-    with open(path) as file:
-        j = json.load(file)
-    pre = (j.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-    return bool(j["model"].get("end_of_word_suffix")) and pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and r"\s" not in pre[0]["pattern"]["Regex"].replace(r"[^\s", "")
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    pre, normal = told.get("pre_tokenizer") or {}, told.get("normalizer")
+    split = (pre.get("pretokenizers") or [{}])[0]
+    parts = split.get("type") == "Split" and split.get("behavior") == "Removed" and "\\s" not in split["pattern"].get("Regex", "\\s").replace("[^\\s", "")
+    steps = normal.get("normalizers", [normal]) if normal else []
+    blanks = lambda n: n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " "
+    by_word = all(n["type"] in ("NFC", "Lowercase") or blanks(n) for n in steps)
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c.isspace() for c in t["content"]) for t in told.get("added_tokens", []))
+    whole = not told.get("truncation") and not told.get("padding") and not told["model"].get("dropout")
+    return bool(told["model"].get("end_of_word_suffix") and parts and by_word and added and whole)
 
 
 def normal_form(text, drops: bool):
