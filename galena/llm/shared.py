@@ -58,6 +58,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of written frames that nothing is going to read any more, so that an operator of many steps takes
+    no more of the shared folder than its current ones."""
+    for frame in frames:
+        spark = frame.sparkSession
+        for folder in {file.rpartition("/")[0] for file in frame.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def give_back() -> None:
     """Hands what a finished task has freed back to the system. Python workers outlive tasks and stages; else the most
     that each of them ever held would add up on an executor."""

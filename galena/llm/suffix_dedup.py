@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galena.llm.shared import batches, small_batches, tidy, written
+from galena.llm.shared import batches, dropped, small_batches, tidy, written
 
 WIDTH, GRAM, NEAR = 400, 32, 16
 #: Sampled positions lie more than NEAR bytes apart, so this many steps of doubling pass the threshold.
@@ -154,7 +154,7 @@ def phrases(runs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def doubled(positions: DataFrame) -> DataFrame:
-    """positions with r0, r1 ...: the ranks of the bytes from each over 1, 2, 4 ... phrases. 0: only this position has
+    """positions (a written table, which is dropped) with r0, r1 ...: the ranks of the bytes from each over 1, 2, 4 ... phrases. 0: only this position has
     them; null: they are past the end or the threshold."""
     along = Window.partitionBy("key", "stretch").orderBy("k")
     ranked, names = positions.withColumn("a", F.col("rank")).withColumn("b", F.lit(0).cast("bigint")), []
@@ -171,7 +171,9 @@ def doubled(positions: DataFrame) -> DataFrame:
         twice = ranked.where(open_).groupBy("a", "b").agg(F.count(F.lit(1)).alias("many"), name.alias("name")).where("many > 1").select("a", "b", "name")
         own = f"r{i}"
         rank = F.when(F.col("a").isNotNull(), F.coalesce("name", F.lit(0)))
-        ranked = written(ranked.join(twice, ["a", "b"], "left").select("key", "stretch", "k", "p", *names, rank.alias(own)), "ranks")
+        before, ranked = positions, written(ranked.join(twice, ["a", "b"], "left").select("key", "stretch", "k", "p", *names, rank.alias(own)), "ranks")
+        dropped(before)
+        positions = ranked
         names.append(own)
     return ranked
 
@@ -245,15 +247,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     classes = found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("key", "first", "last", "anchor")).alias("one"))
     classes = written(classes, "run-classes")
     # Runs that occur as a whole more than once are done: every window of theirs repeats.
-    whole = found.join(classes.where("same > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("key", "first", "last")
+    whole = written(found.join(classes.where("same > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("key", "first", "last"), "whole-runs")
     # Grams with a run that is not, and another one: the single runs, and one run to stand for each class of the others.
     grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("same").alias("least")).where("kinds > 1 and least = 1").select("gram")
-    open_ = classes.join(grams, "gram").select("one.*", "gram", (F.col("same") > 1).alias("rep"))
-    open_ = written(open_, "open-runs")
-    ranked = written(windows(open_, doubled(written(phrases(open_, docs), "positions")), docs), "windows")
+    open_ = written(classes.join(grams, "gram").select("one.*", "gram", (F.col("same") > 1).alias("rep")), "open-runs")
+    dropped(found, classes)
+    ranks = doubled(written(phrases(open_, docs), "positions"))
+    ranked = written(windows(open_, ranks, docs), "windows")
+    dropped(open_, ranks)
     twice = ranked.groupBy("left", "right").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("left", "right")
     single = ranked.where("not rep").join(twice, ["left", "right"], "left_semi").select("key", F.col("start").alias("first"), F.col("start").alias("last"))
-    return whole.unionByName(single)
+    stretches = written(whole.unionByName(single), "stretches")
+    dropped(whole, ranked)
+    return stretches
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,8 +273,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     tidy(df.sparkSession)
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
     docs = df.select(F.col(key).alias("of"), F.xxhash64(F.col(key), F.lit(key), F.col(text)).alias("key"), data.alias("text"))
-    stretches = written(repeated(docs.select("key", "text")), "stretches")
-    spans = stretches.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    spans = repeated(docs.select("key", "text")).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
