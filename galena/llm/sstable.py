@@ -38,6 +38,8 @@ MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQQII8s")
 ENTRY, PLACE = struct.Struct("<HHI"), struct.Struct("<QII")
 BLOCK_BYTES, BITS_A_KEY, HASHES = 64 * 1024, 10, 7
+#: Units that a task remembers (some 200 bytes each): it is the only memo on its worker.
+MEMO_UNITS = 900_000
 #: Bytes of text for one shard, and for one of a small table.
 SHARD_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -204,7 +206,7 @@ class Encoder:
 
     def memo(self) -> Callable[[list[str]], list[bytes]]:
         """What encodes texts in one task."""
-        return UnitMemo(self.many, self.units).packed if self.by_bytes else lambda texts: list(self.many(texts))
+        return UnitMemo(self.many, self.units, MEMO_UNITS).packed if self.by_bytes else lambda texts: list(self.many(texts))
 
 
 @lru_cache(maxsize=2)
