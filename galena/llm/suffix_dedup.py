@@ -122,15 +122,25 @@ def sampled(text: bytes, first: int, end: int) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def stretches_of(runs: list[dict]) -> list[tuple[int, int]]:
-    """The bytes that the windows of runs cover, as (start, end), in order and without overlaps."""
-    out: list[tuple[int, int]] = []
-    for first, end in sorted((r["first"], r["last"] + WIDTH) for r in runs):
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((first, end))
-    return out
+def joined(first: np.ndarray, end: np.ndarray, kind: np.ndarray, gap: int) -> list[tuple[int, int, int]]:
+    """Ranges [first, end) of one kind that lie at most `gap` apart (the next one's first minus the end), as one each."""
+    order = np.argsort(first, kind="stable")
+    first, end, kind = first[order], np.maximum.accumulate(end[order]) if len(order) else end, kind[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] - end[:-1] > gap) | (kind[1:] != kind[:-1])
+    starts = np.flatnonzero(new)
+    return list(zip(first[starts].tolist(), end[np.append(starts[1:], len(first)) - 1].tolist(), kind[starts].tolist(), strict=True))
+
+
+def listed(batch: pa.RecordBatch, column: str, *fields: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each row of a batch the fields of a column of lists of structs, as arrays; nulls are 0, no list is empty."""
+    lists = batch.column(column)
+    offsets, values = lists.offsets.to_numpy(), lists.values
+    flat = [values.field(f).cast(pa.int64()).fill_null(0).to_numpy() for f in fields]
+    some = lists.is_valid().to_numpy(zero_copy_only=False)
+    for i in range(len(lists)):
+        at = slice(offsets[i], offsets[i + 1] if some[i] else offsets[i])
+        yield tuple(x[at] for x in flat)
 
 
 def phrases(runs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -139,8 +149,8 @@ def phrases(runs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            for key, text, own in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
-                for first, end in stretches_of(own):
+            for key, text, (first_, last_) in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), listed(b, "runs", "first", "last"), strict=True):
+                for first, end, _ in joined(first_, last_ + WIDTH, np.zeros(len(first_), np.int64), 0):
                     at = sampled(text, first, end)
                     if len(at):
                         ends = at.tolist()
@@ -170,8 +180,11 @@ def doubled(positions: DataFrame) -> DataFrame:
         name = F.min(F.xxhash64("key", "p")) if i else F.max("a")
         twice = ranked.where(open_).groupBy("a", "b").agg(F.count(F.lit(1)).alias("many"), name.alias("name")).where("many > 1").select("a", "b", "name")
         own = f"r{i}"
-        rank = F.when(F.col("a").isNotNull(), F.coalesce("name", F.lit(0)))
-        before, ranked = positions, written(ranked.join(twice, ["a", "b"], "left").select("key", "stretch", "k", "p", *names, rank.alias(own)), "ranks")
+        rank = F.when(F.col("open"), F.coalesce("name", F.lit(0))).when(F.col("a").isNotNull(), 0)
+        # Positions that are settled look for nothing, each by a number of its own, so that they do not meet in one task.
+        asked = ranked.withColumn("open", open_).withColumn("a_", F.when(F.col("open"), F.col("a")).otherwise(F.xxhash64("key", "p"))).withColumn("b_", F.when(F.col("open"), F.col("b")).otherwise(0))
+        twice = twice.select(F.col("a").alias("a_"), F.col("b").alias("b_"), "name")
+        before, ranked = positions, written(asked.join(twice, ["a_", "b_"], "left").select("key", "stretch", "k", "p", *names, rank.alias(own)), "ranks")
         dropped(before)
         positions = ranked
         names.append(own)
@@ -223,20 +236,22 @@ def windows(runs: DataFrame, positions: DataFrame, docs: DataFrame) -> DataFrame
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            for i in range(b.num_rows):
-                key, text, own = (b.column(c)[i].as_py() for c in ("key", "text", "runs"))
-                listed = b.column("positions")[i].values
-                column = lambda c, listed=listed: (listed.field(c).fill_null(0).to_numpy(zero_copy_only=False) if listed is not None else np.empty(0)).astype(np.int64)
-                places, rank, held, size = column("p"), np.stack([column(c) for c in names]), [], 0
-                for j, r in enumerate(own):
-                    data = np.frombuffer(text[r["first"] : r["last"] + WIDTH], np.uint8)
-                    left, right, can = window_ids(data, r["first"], places, rank)
+            texts, ranked = b.column("text").to_pylist(), listed(b, "positions", "p", *names)
+            for key, text, (first_, last_, rep_), (places, *rank) in zip(b.column("key").to_pylist(), texts, listed(b, "runs", "first", "last", "rep"), ranked, strict=True):
+                held, size, rank = [], 0, np.stack(rank)
+                # Runs side by side are looked at together, in parts that the table of powers covers.
+                parts = [(x, min(x + PART, end), rep) for first, end, rep in joined(first_, last_ + 1, rep_, 0) for x in range(first, end, PART)]
+                for first, end, rep in parts:
+                    data = np.frombuffer(text, np.uint8)[first : end - 1 + WIDTH]
+                    left, right, can = window_ids(data, first, places, rank)
                     at = np.flatnonzero(can)
-                    held.append((left[at].view(np.int64), right[at].view(np.int64), np.full(len(at), key, np.int64), at + r["first"], np.full(len(at), r["rep"])))
+                    held.append((left[at].view(np.int64), right[at].view(np.int64), np.full(len(at), key, np.int64), at + first, np.full(len(at), bool(rep))))
                     size += len(at)
-                    if size > 100_000 or j == len(own) - 1:
+                    if size > 100_000:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["left", "right", "key", "start", "rep"])
                         held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["left", "right", "key", "start", "rep"])
 
     return both.mapInArrow(run, "left bigint, right bigint, key bigint, start bigint, rep boolean")
 
@@ -273,24 +288,22 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     tidy(df.sparkSession)
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
     docs = df.select(F.col(key).alias("of"), F.xxhash64(F.col(key), F.lit(key), F.col(text)).alias("key"), data.alias("text"))
-    spans = repeated(docs.select("key", "text")).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    spans = repeated(docs.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for t, own in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                parts, at, spans = [], 0, 0
-                end = -1  # of the removed stretch that is open
-                for s in own or []:
-                    if s["first"] > end:
-                        parts.append(t[max(at, 0) : s["first"]])
-                        spans += 1
-                    end = at = max(end, s["last"] + WIDTH)
+            for t, (first, last) in zip(b.column("text").to_pylist(), listed(b, "spans", "first", "last"), strict=True):
+                spans = joined(first, last + WIDTH, np.zeros(len(first), np.int64), 0) if len(first) else []
+                parts, at = [], 0
+                for x, end, _ in spans:
+                    parts.append(t[at:x])
+                    at = end
                 parts.append(t[at:])
                 kept.append(b"".join(parts))
                 n_bytes.append(len(t))
                 n_removed.append(len(t) - len(kept[-1]))
-                n_spans.append(spans)
+                n_spans.append(len(spans))
             yield pa.RecordBatch.from_arrays([b.column("of"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())], names=["of", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema["of"].dataType.simpleString()
