@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from galena.llm.shared import batches, dropped, small_batches, tidy, written
 
-WIDTH, GRAM, NEAR = 400, 32, 16
+WIDTH, GRAM, NEAR = 400, 32, 24
 #: Sampled positions lie more than NEAR bytes apart, so this many steps of doubling pass the threshold.
-STEPS = (WIDTH // NEAR).bit_length()
+STEPS = ((WIDTH - GRAM - 2 * NEAR) // (NEAR + 1)).bit_length()
 #: Window starts of a text that are hashed at once, as a power of two.
 PART_BITS = 18
 PART = 1 << PART_BITS
