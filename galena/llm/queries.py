@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import byte_bpe, decontaminate, line_align, ngram_join, oracles, quality_nbsvm, quality_rules, sstable, suffix_dedup, token_counts, toxicity_chain
+from galena.llm import byte_bpe, decontaminate, language_id, line_align, ngram_join, oracles, quality_nbsvm, quality_rules, spelling, sstable, suffix_dedup, token_counts, toxicity_chain, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -80,6 +80,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their near words, forms and roots."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 whitened components of largest variance."""
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, and how many spans of languages it has."""
+    found = language_id.identify_languages(documents(spark, sf_dir, "doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -92,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_whitening": op12_whitening,
+    "op13_language_id": op13_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_join": oracles.OP3, "op6_suffix_dedup": oracles.OP6, "op8_line_dedup": oracles.OP8, "op9_quality_rules": oracles.OP9, "op10_decontamination": oracles.OP10}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": oracles.OP3, "op6_suffix_dedup": oracles.OP6, "op8_line_dedup": oracles.OP8, "op9_quality_rules": oracles.OP9, "op10_decontamination": oracles.OP10, "op11_spelling_variants": oracles.OP11}

@@ -12,13 +12,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch. Texts can be long, so a batch is kept far below Spark's default of 10,000 rows.
-ROWS_PER_BATCH = 512
+#: Rows and bytes of one Arrow batch. Texts can be long, so a batch is kept far below Spark's default of 10,000 rows; a
+#: longer text is a batch by itself.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows (and so the bytes) of each Arrow batch that Python workers get."""
+    """Bounds the rows and bytes of each Arrow batch that Python workers get. It holds for the session from then on, as the
+    frames that operators return run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def tidy(spark: SparkSession) -> None:
