@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from galena.operators import profile
-from galena.plans import catalogue, runs, tiles
+from galena.plans import catalogue, pages, runs, tiles
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -21,7 +21,7 @@ def dashboard(spark: SparkSession) -> None:
     """Eight tiles over orders."""
     model = catalogue.sales_model(spark, SF)
     few = {"orders.status": 3, "orders.priority": 5, "customer.segment": 5}
-    rows = tiles.collect_dashboard(model, tiles.overview(model, "orders", "orders.ordered", few)[-8:])
+    rows = pages.collect_page(model, tiles.overview(model, "orders", "orders.ordered", few)[-8:])
     assert len(rows) == 8 and not any(isinstance(r, str) for r in rows.values()), rows
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galena.functions import masks
 from galena.operators import classify, history, ingest, profile, quality, refine, relate, summarise
-from galena.plans import lineage, runs, tiles
+from galena.plans import lineage, pages, runs, tiles
 from galena.plans.metrics import Attribute, Entity, Filter, Join, Measure, MetricQuery, Model, dimension_values, metric_query
 from galena.sources import readers
 
@@ -594,19 +594,46 @@ def cross_filtered(spark, sf_dir):
     return plain(tiles.stat_total(sales_model(spark, sf_dir), "revenue", own))
 
 
-@registered()
-def overview_orders(spark, sf_dir):
-    """The default tiles of orders, each tile's rows as one list of labels and values."""
+def points_sql(tile: str, key: str | None, values: dict[str, str], rows: str, tail: str = "") -> str:
+    """The points of a tile in SQL: a row for each label (in the order of `tail`, if it has more than one) and measure."""
+    place = f"cast(row_number() over ({tail}) - 1 as int)" if tail else "0"
+    made = f"select {place} p, {key or 'cast(null as varchar)'} k, {', '.join(f'{v} {m}' for m, v in values.items())} from {rows}{' group by 2, ' + key if key and tail else ''}"
+    return " union all ".join(f"select '{tile}' tile, p position, k as label, '{m}' measure, cast({m} as double) as value, cast(null as varchar) problem from ({made}) g" for m in values)
+
+
+def page_sql() -> str:
+    """The points of dashboard_orders in SQL."""
+    measures = {"revenue": f"cast(sum({MONEY}) as double)", "order_count": "count(*)", "avg_price": "avg(o_totalprice)", "min_price": f"cast(min({MONEY}) as double)"}
+    month = "strftime(date_trunc('month', o_orderdate), '%Y-%m-%d')"
+    out = []
+    for m, v in measures.items():
+        line = f"(select *, lag(v) over (order by k) b, row_number() over (order by k desc) rn from (select {month} k, {v} v from orders group by 1) x) y"
+        parts = {"total": f"(select {v} from orders)", "value": "v", "previous": "b", "delta": "v - b", "delta_pct": "(v - b) / abs(b)"}
+        out.append(points_sql(f"total {m}", None, parts, f"{line} where rn = 1"))
+    by_time = f"order by {month}"
+    late = f"orders where {month} in (select distinct {month} from orders order by 1 desc limit {tiles.PERIODS})"
+    out.append(points_sql("trend", month, {"revenue": measures["revenue"]}, late, by_time))
+    for field, column in (("orders.status", "o_orderstatus"), ("orders.priority", "o_orderpriority"), ("customer.segment", "c_mktsegment")):
+        out.append(points_sql(f"by {field}", column, {"revenue": measures["revenue"]}, SALES, f"order by sum({MONEY}) desc, {column}"))
+    total = f"{measures['revenue']} / (select {measures['revenue']} from orders)"
+    out.append(points_sql("share", "o_orderstatus", {"revenue": measures["revenue"], "share": total}, "orders", f"order by sum({MONEY}) desc"))
+    out.append(points_sql("combo", month, {m: measures[m] for m in ("revenue", "order_count")}, late, by_time))
+    cells = f"(select {month} || ' · ' || o_orderstatus k, {', '.join(f'{v} {m}' for m, v in measures.items())}, row_number() over (order by sum({MONEY}) desc, {month}, o_orderstatus) rn from orders group by 1, {month}, o_orderstatus) c"
+    out += [f"select 'detail', cast(rn - 1 as int), k, '{m}', cast({m} as double), null from {cells} where rn <= 200" for m in measures]
+    out += [f"select '{t}', 0, null, null, null, '{why}'" for t, why in (("lost", "Refused"), ("broken", "AnalysisException"), ("fails", "NumberFormatException"))]
+    return f"select tile, position, label, measure, round(value, 6) as value, problem from ({' union all '.join(out)}) p"
+
+
+@registered(page_sql())
+def dashboard_orders(spark, sf_dir):
+    """The default page of the model's leading fact, with a tile that is refused, one that cannot be planned and one that
+    fails in running: each of them has its problem, all others their rows."""
     model = sales_model(spark, sf_dir)
-    few = {"orders.status": 3, "orders.priority": 5, "customer.segment": 5, "region.region": 5}
-    made = tiles.run_dashboard(model, tiles.overview(model, "orders", "orders.ordered", few))
-    out = None
-    for name, rows in made.items():
-        if isinstance(rows, str):
-            continue
-        own = rows.select(F.lit(name).alias("tile"), F.col(rows.columns[0]).cast("string").alias("first"), F.to_json(F.struct("*")).alias("row"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    wrong = (Measure("nothing", "orders", "sum", "no_such_column"), Measure("words", "orders", "sum", "o_orderstatus"))
+    model = Model(model.entities, (*model.measures, *wrong), model.joins)
+    page = [*pages.default_page(model), tiles.Tile("lost", "bar", ("revenue",), "lines.flag"), tiles.Tile("broken", "stat", ("nothing",)), tiles.Tile("fails", "stat", ("words",))]
+    kind = F.when(F.col("problem").rlike("^[A-Za-z]+: "), F.regexp_extract("problem", "^([A-Za-z]+):", 1)).when(F.col("problem").isNotNull(), "Refused")
+    return pages.page_points(spark, model, page).select("tile", "position", "label", "measure", F.round("value", 6).alias("value"), kind.alias("problem"))
 
 
 # --- lineage, runs, freshness -------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +61,14 @@ class Entity:
 
 @dataclass(frozen=True)
 class Join:
-    """kind: many_to_one or one_to_one, from `left` to `right`."""
+    """kind: many_to_one or one_to_one, from `left` to `right`. unique: whether right has each key once, where that is known
+    (a profile tells); else it is counted when a query first takes the join."""
 
     left: str
     right: str
     on: tuple[tuple[str, str], ...]
     kind: str = "many_to_one"
+    unique: bool | None = None
 
 
 @dataclass(frozen=True)
@@ -73,6 +76,9 @@ class Model:
     entities: tuple[Entity, ...]
     measures: tuple[Measure, ...]
     joins: tuple[Join, ...] = ()
+    #: What was counted of joins: (entity, key columns) → whether each key is there once. Tables are fixed once they are
+    #: read, so it holds as long as the model.
+    counted: dict[tuple[str, tuple[str, ...]], bool] = field(default_factory=dict, compare=False, repr=False)
 
     def entity(self, name: str) -> Entity:
         return self._one(self.entities, name, "entity")
@@ -186,12 +192,53 @@ def join_path(model: Model, base: str, wanted: set[str]) -> list[Join]:
     return out
 
 
+def multiplying(model: Model, joins: list[Join]) -> list[Join]:
+    """Those of the joins whose right side has a key more than once. What is not known yet is counted in one job over the
+    keys of all of them, and remembered by the model. Null keys meet no row, so they may repeat."""
+    ends = lambda j: (j.right, tuple(b for _, b in j.on))
+    model.counted.update({ends(j): j.unique for j in joins if j.unique is not None})
+    todo = sorted({ends(j) for j in joins} - model.counted.keys())
+    if todo:
+        found = []
+        for i, (name, columns) in enumerate(todo):
+            keys = [F.col(f"`{c}`") for c in columns]
+            again = model.entity(name).table.select(*keys).dropna().groupBy(*keys).count().where("count > 1")
+            found.append(again.select(F.lit(i).alias("i")).limit(1))
+        twice = {r.i for r in reduce(DataFrame.unionByName, found).collect()}
+        model.counted.update({end: i not in twice for i, end in enumerate(todo)})
+    return [j for j in joins if not model.counted[ends(j)]]
+
+
 def output_name(model: Model, entity: Entity, attribute: Attribute) -> str:
     """A dimension's column: the attribute's name, with the entity before it where several entities have it."""
     shared = sum(a.name == attribute.name for e in model.entities for a in e.attributes) > 1
     return f"{entity.name}_{attribute.name}" if shared else attribute.name
 
 
+def qualified(entity: str, column: str) -> Column:
+    return F.col(f"{entity}.{column}")
+
+
+def rows_of(model: Model, base: str, fields, filters=(), permissions=frozenset()) -> tuple[DataFrame, dict[str, tuple[Entity, Attribute]], Callable[[Attribute], bool]]:
+    """The rows of an entity, joined with those that fields and filters name and filtered; what each field is; and which
+    attributes are to be masked. Columns are qualified by entity. Refused where a join would multiply rows."""
+    used = {f: model.attribute(f) for f in [*fields, *(f.field for f in filters)]}
+    joins = join_path(model, base, {e.name for e, _ in used.values()} - {base})
+    hidden = lambda a: a.pii is not None and a.pii not in permissions
+    if masked := [f.field for f in filters if hidden(used[f.field][1])]:
+        raise Refused(f"{masked[0]} is masked, and a filter would tell its values")
+    kept = [predicate(qualified(used[f.field][0].name, used[f.field][1].source), f) for f in filters]
+    if wrong := multiplying(model, joins):
+        raise Refused(f"{wrong[0].right} has a key of {', '.join(b for _, b in wrong[0].on)} more than once, so joining it would multiply rows")
+    df = model.entity(base).table.alias(base)
+    for j in joins:
+        on = [qualified(j.left, a) == qualified(j.right, b) for a, b in j.on]
+        df = df.join(model.entity(j.right).table.alias(j.right), on, "left")
+    for condition in kept:
+        df = df.where(condition)
+    return df, used, hidden
+
+
 def metric_groups(model: Model, query: MetricQuery, fold: Callable[[DataFrame, Column], tuple[DataFrame, Column]] | None = None) -> tuple[DataFrame, set[str]]:
     """All groups of a query, without its order and limit, and the names of its keys.
 
@@ -205,39 +252,25 @@ def metric_groups(model: Model, query: MetricQuery, fold: Callable[[DataFrame, C
         raise Refused("measures of two entities")
     if query.grain not in GRAINS:
         raise Refused(f"no grain {query.grain}")
-    fields = [*query.dimensions, *([query.time] if query.time else []), *(f.field for f in query.filters)]
-    used = {f: model.attribute(f) for f in fields}
-    joins = join_path(model, base, {e.name for e, _ in used.values()} - {base})
-
-    column = lambda entity, name: F.col(f"{entity}.{name}")
-    df = model.entity(base).table.alias(base)
-    for j in joins:
-        on = [column(j.left, a) == column(j.right, b) for a, b in j.on]
-        df = df.join(model.entity(j.right).table.alias(j.right), on, "left")
-
-    hidden = lambda a: a.pii is not None and a.pii not in query.permissions
-    for f in query.filters:
-        entity, attribute = used[f.field]
-        if hidden(attribute):
-            raise Refused(f"{f.field} is masked, and a filter would tell its values")
-        df = df.where(predicate(column(entity.name, attribute.source), f))
+    fields = [*query.dimensions, *([query.time] if query.time else [])]
+    df, used, hidden = rows_of(model, base, fields, query.filters, query.permissions)
 
     keys, taken = [], set()
     if query.time:
         entity, attribute = used[query.time]
         name = f"{query.grain}_of_{attribute.name}"
-        keys.append(F.date_trunc(query.grain, column(entity.name, attribute.source)).alias(name))
+        keys.append(F.date_trunc(query.grain, qualified(entity.name, attribute.source)).alias(name))
         taken.add(name)
     for d in query.dimensions:
         entity, attribute = used[d]
         name = output_name(model, entity, attribute)
-        own = column(entity.name, attribute.source)
+        own = qualified(entity.name, attribute.source)
         own = mask_kind(own, attribute.pii) if hidden(attribute) else own
         if fold:
             df, own = fold(df, own)
         keys.append(own.alias(name))
         taken.add(name)
-    values = [aggregate(m, lambda c: column(base, c)).alias(m.name) for m in measures]
+    values = [aggregate(m, lambda c: qualified(base, c)).alias(m.name) for m in measures]
     return (df.groupBy(*keys).agg(*values) if keys else df.agg(*values)), taken
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galena.plans.metrics import MOST_ROWS, Attribute, Entity, Filter, Measure, MetricQuery, Model, Refused, metric_groups, metric_query, output_name
+from galena.plans.metrics import MOST_ROWS, Filter, MetricQuery, Model, Refused, join_path, metric_groups, metric_query
 
 PERIODS = 60
 KEEP = {"donut": 6, "bar": 8, "stacked": 8}
@@ -112,7 +112,7 @@ def cross_filter(filters: tuple[Filter, ...], field: str, value) -> tuple[Filter
 
 @dataclass(frozen=True)
 class Tile:
-    """kind: stat, delta, line, bar, stacked, donut, scatter, detail."""
+    """kind: one of SHAPES. A stat with a time has the latest period and its series beside the total."""
 
     name: str
     kind: str
@@ -123,11 +123,31 @@ class Tile:
     filters: tuple[Filter, ...] = ()
 
 
+#: What each kind of tile takes: measures at least and at most, and what it runs along.
+SHAPES = {
+    "stat": (1, 1, ()), "delta": (1, 1, ("time",)), "line": (1, 1, ("time",)), "area": (1, 1, ("time",)), "combo": (2, 8, ("time",)),
+    "bar": (1, 8, ("dimension",)), "stacked": (1, 8, ("dimension",)), "donut": (1, 1, ("dimension",)), "scatter": (2, 2, ("dimension",)), "detail": (1, 4, ("dimension", "time")),
+}
+
+
+def shape_problems(tile: Tile) -> list[str]:
+    """Why a tile cannot be drawn as it is asked for, all reasons; none if it can."""
+    if tile.kind not in SHAPES:
+        return [f"no kind of tile {tile.kind}"]
+    least, most, along = SHAPES[tile.kind]
+    n = len(tile.measures)
+    out = [] if least <= n <= most else [f"a {tile.kind} takes {least if least == most else f'{least} to {most}'} measures, not {n}"]
+    return out + [f"a {tile.kind} needs a {what}" for what in along if getattr(tile, what) is None]
+
+
 def run_tile(model: Model, tile: Tile, filters=()) -> DataFrame:
+    """The rows of one tile by itself. Refused if it cannot be drawn."""
+    if problems := shape_problems(tile):
+        raise Refused("; ".join(problems))
     own = (*tile.filters, *filters)
     first = tile.measures[0]
     if tile.kind == "stat":
-        return stat_total(model, first, own)
+        return stats_of(model, tile, filters) if tile.time else stat_total(model, first, own)
     if tile.kind == "delta":
         return period_delta(model, first, tile.time, tile.grain, own)
     if tile.kind in ("line", "area", "combo"):
@@ -138,84 +158,25 @@ def run_tile(model: Model, tile: Tile, filters=()) -> DataFrame:
         return share(model, first, tile.dimension, filters=own)
     if tile.kind == "scatter":
         return scatter(model, tile.measures, tile.dimension, own)
-    if tile.kind == "detail":
-        return detail(model, tile.measures, tile.dimension, tile.time, tile.grain, own)
-    raise Refused(f"no kind of tile {tile.kind}")
+    return detail(model, tile.measures, tile.dimension, tile.time, tile.grain, own)
+
+
+def told(why: Exception) -> str:
+    """A failure with its kind, so that a lost executor is not taken for a wrong tile."""
+    return str(why) if isinstance(why, Refused) else f"{type(why).__name__}: {why}"
 
 
 def run_dashboard(model: Model, tiles, filters=()) -> dict[str, DataFrame | str]:
-    """Each tile's rows, or why it has none: a tile that is refused does not stop the others."""
+    """Each tile's rows as a plan of its own, or why it has none: a tile that cannot be planned does not stop the others."""
     out: dict[str, DataFrame | str] = {}
     for t in tiles:
         try:
             out[t.name] = run_tile(model, t, filters)
-        except Refused as why:
-            out[t.name] = str(why)
+        except (Refused, PySparkException) as why:
+            out[t.name] = told(why)
     return out
 
 
-#: What a measure is over groups that were aggregated before.
-AGAIN = {"sum": "sum", "count": "total", "total": "total", "min": "min", "max": "max"}
-
-
-def pre_aggregated(model: Model, tiles, filters=()) -> tuple[Model, dict[str, Tile]]:
-    """A model over one table that answers many tiles, and those tiles, in its terms, by name.
-
-    The table has the fact's measures by all dimensions and the time of the tiles: the fact and its joins are read once,
-    and each tile reads the groups. Only tiles take part whose measures add up from groups (sums, counts, extremes),
-    which have no filters of their own and show nothing that is masked. The page's filters are applied before.
-    """
-    fit: list[Tile] = []
-    for t in tiles:
-        try:
-            measures = [model.measure(m) for m in t.measures]
-            shown = [model.attribute(d)[1] for d in (t.dimension, t.time) if d]
-        except Refused:
-            continue
-        if not t.filters and all(m.agg in AGAIN for m in measures) and all(a.pii is None for a in shown):
-            fit.append(t)
-    facts = [model.measure(t.measures[0]).entity for t in fit]
-    fact = max(sorted(set(facts)), key=facts.count, default=None)
-    fit = [t for t in fit if all(model.measure(m).entity == fact for m in t.measures)]
-    times = list(dict.fromkeys(t.time for t in fit if t.time))
-    fit = [t for t in fit if not t.time or t.time == times[0]]
-    if len(fit) < 2:
-        return model, {}
-    grains = {t.grain for t in fit if t.time}
-    measures = list(dict.fromkeys(m for t in fit for m in t.measures))
-    dims = list(dict.fromkeys(t.dimension for t in fit if t.dimension))
-    grain = grains.pop() if len(grains) == 1 else "day"
-    query = MetricQuery(tuple(measures), tuple(dims), times[0] if times else None, grain, tuple(filters))
-    groups, _ = metric_groups(model, query)
-    names = {d: output_name(model, *model.attribute(d)) for d in dims}
-    at = [Attribute(model.attribute(times[0])[1].name, f"{grain}_of_{model.attribute(times[0])[1].name}")] if times else []
-    entity = Entity(fact, groups, (*(Attribute(n) for n in names.values()), *at))
-    again = tuple(Measure(m.name, fact, AGAIN[m.agg], m.name, format=m.format) for m in map(model.measure, measures))
-    own = lambda t: replace(t, dimension=t.dimension and f"{fact}.{names[t.dimension]}", time=t.time and f"{fact}.{at[0].name}")
-    return Model((entity,), again), {t.name: own(t) for t in fit}
-
-
-def collect_dashboard(model: Model, tiles, filters=(), at_once: int = 8) -> dict[str, list[Row] | str]:
-    """The rows of each tile, or why it has none: what goes wrong on a tile, in planning or running, stays there.
-
-    Tiles that can share the groups of one aggregate do; it is kept while they run. Tiles run side by side.
-    """
-    shared, own = pre_aggregated(model, tiles, filters)
-    groups = shared.entities[0].table.persist() if own else None
-
-    def run(t: Tile) -> list[Row] | str:
-        try:
-            return (run_tile(shared, own[t.name]) if t.name in own else run_tile(model, t, filters)).collect()
-        except Exception as why:  # a page shows the other tiles
-            return str(why)
-
-    with ThreadPoolExecutor(max_workers=at_once) as pool:
-        rows = dict(zip([t.name for t in tiles], pool.map(run, tiles), strict=True))
-    if groups is not None:
-        groups.unpersist()
-    return rows
-
-
 def stats_of(model: Model, tile: Tile, filters=(), shown: int = 12) -> DataFrame:
     """A stat with what stands beside it: value, previous period, delta, direction, and the latest periods as a series."""
     first, own = tile.measures[0], (*tile.filters, *filters)
@@ -225,9 +186,18 @@ def stats_of(model: Model, tile: Tile, filters=(), shown: int = 12) -> DataFrame
     line = timeline(model, (first,), tile.time, tile.grain, own)
     period = line.columns[0]
     series = line.orderBy(F.col(period).desc_nulls_last()).limit(shown)
-    listed = series.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(period).alias("period"), F.col(first).alias("value")))), lambda x: x).alias("series"))
+    listed = series.agg(F.array_sort(F.collect_list(F.struct(F.col(period).alias("period"), F.col(first).alias("value")))).alias("series"))
     delta = period_delta(model, first, tile.time, tile.grain, own).select("value", "previous", "delta", "delta_pct", "direction")
-    return total.crossJoin(F.broadcast(delta)).crossJoin(F.broadcast(listed))  # one row each
+    return total.join(F.broadcast(delta), F.lit(True), "left").crossJoin(F.broadcast(listed))  # one row each, delta none without periods
+
+
+def reached(model: Model, entity: str, path: str) -> bool:
+    """Whether the entity's measures can be shown by a field."""
+    try:
+        join_path(model, entity, {path.partition(".")[0]} - {entity})
+    except Refused:
+        return False
+    return True
 
 
 def overview(model: Model, entity: str, time: str | None, cardinality: dict[str, int]) -> list[Tile]:
@@ -239,8 +209,8 @@ def overview(model: Model, entity: str, time: str | None, cardinality: dict[str,
     measures = [m.name for m in model.measures if m.entity == entity]
     usable = lambda a: not a.hidden and a.pii is None
     fields = [f"{e.name}.{a.name}" for e in sorted(model.entities, key=lambda e: e.name != entity) for a in e.attributes if usable(a)]
-    dims = [f for f in fields if 2 <= cardinality.get(f, 0) <= 24 and f != time]
-    out = [Tile(f"total {m}", "stat", (m,)) for m in measures[:4]]
+    dims = [f for f in fields if 2 <= cardinality.get(f, 0) <= 24 and f != time and reached(model, entity, f)]
+    out = [Tile(f"total {m}", "stat", (m,), time=time) for m in measures[:4]]
     if time:
         out.append(Tile("trend", "line", (measures[0],), time=time))
     out += [Tile(f"by {d}", "bar", (measures[0],), d) for d in dims[:3]]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from galena.functions.names import has_words, is_audit, is_key_like, layer_of_name, safe_identifier
 from galena.operators import history, ingest, profile, quality, refine, relate
-from galena.plans import derive, lineage, runs, tiles
+from galena.plans import derive, lineage, pages, runs, tiles
 from galena.plans.metrics import Attribute, Entity, Filter, Join, Measure, MetricQuery, Model, Refused, metric_query
 from galena.sources import readers
 from galena.streaming import streams
@@ -177,17 +177,29 @@ def test_folding_keeps_the_total(spark):
 
 def test_tiles_share_one_aggregate_and_fail_alone(spark):
     rows = [(i, f"c{i % 15}", i % 3, float(i), datetime.datetime(2024, 1 + i % 6, 1)) for i in range(300)]
-    own = Model((Entity("t", spark.createDataFrame(rows, "id int, c string, k int, x double, at timestamp"), (Attribute("c"), Attribute("k"), Attribute("at"))),), (Measure("x", "t", "sum", "x"), Measure("n", "t", "count"), Measure("mean", "t", "avg", "x"), Measure("wrong", "t", "sum", "nothing")))
+    own = Model((Entity("t", spark.createDataFrame(rows, "id int, c string, k int, x double, at timestamp"), (Attribute("c"), Attribute("k"), Attribute("at"))),), (Measure("x", "t", "sum", "x"), Measure("n", "t", "count"), Measure("mean", "t", "avg", "x"), Measure("kinds", "t", "count_distinct", "k"), Measure("text", "t", "sum", "c"), Measure("wrong", "t", "sum", "nothing")))
     page = [tiles.Tile("total", "stat", ("x",)), tiles.Tile("by c", "bar", ("x", "n"), "t.c"), tiles.Tile("trend", "line", ("n",), time="t.at"), tiles.Tile("mean", "bar", ("mean",), "t.k"), tiles.Tile("lost", "bar", ("x",), "t.gone"), tiles.Tile("detail", "detail", ("x",), "t.k", "t.at")]
     only = (Filter("t.k", "lt", 2),)
-    shared, fit = tiles.pre_aggregated(own, page, only)
-    assert set(fit) == {"total", "by c", "trend", "detail"} and shared.entities[0].table.count() == 20
-    got, want = tiles.collect_dashboard(own, page, only), tiles.run_dashboard(own, page, only)
-    assert isinstance(got["lost"], str) and {n: sorted(map(tuple, r)) for n, r in got.items() if n != "lost"} == {n: sorted(map(tuple, r.collect())) for n, r in want.items() if n != "lost"}
-    broken = tiles.collect_dashboard(own, [*page, tiles.Tile("broken", "stat", ("wrong",))])
-    assert isinstance(broken["broken"], str) and not isinstance(broken["mean"], str)
-    stat = tiles.stats_of(own, tiles.Tile("n", "stat", ("n",), time="t.at")).first()
-    assert (stat.total, stat.value, stat.previous, stat.direction, len(stat.series)) == (300, 50, 50, "flat", 6)
+    page += [tiles.Tile("mean share", "donut", ("x",), "t.c"), tiles.Tile("mean by c", "bar", ("mean", "kinds"), "t.c"), tiles.Tile("means", "stacked", ("mean", "n"), "t.c"), tiles.Tile("stat", "stat", ("mean",), time="t.at"), tiles.Tile("delta", "delta", ("n",), time="t.at"), tiles.Tile("pairs", "scatter", ("x", "n"), "t.k"), tiles.Tile("late", "stat", ("x",), filters=(Filter("t.k", "eq", 9),), time="t.at")]
+    got, want = pages.collect_page(own, page, only), tiles.run_dashboard(own, page, only)
+    fixed = lambda v: round(v, 9) if isinstance(v, float) else [tuple(map(fixed, x)) for x in v] if isinstance(v, list) else v
+    assert list(got) == [t.name for t in page] and isinstance(got["lost"], str)
+    for name, rows in want.items():
+        if name != "lost":
+            assert [tuple(map(fixed, r)) for r in got[name]] == [tuple(map(fixed, r)) for r in rows.collect()], name
+            assert not got[name] or list(got[name][0].asDict()) == rows.columns, name
+    assert any(r.label.startswith("Other (2)") for r in got["means"]) and len(got["trend"]) == 4
+    broken = pages.collect_page(own, [*page, tiles.Tile("broken", "stat", ("wrong",)), tiles.Tile("fails", "stat", ("text",)), tiles.Tile("no bar", "bar", ("x",)), tiles.Tile("two", "line", ("x", "n"), time="t.at"), tiles.Tile("one", "combo", ("x",), time="t.at")])
+    assert isinstance(broken["broken"], str) and not isinstance(broken["mean"], str) and len(broken["by c"]) == 9
+    assert "CAST_INVALID_INPUT" in broken["fails"] and broken["no bar"] == "a bar needs a dimension" and "1 measures, not 2" in broken["two"] and "2 to 8" in broken["one"]
+    stat = broken["stat"][0]
+    assert (stat.total, stat.direction, len(stat.series)) == (149.5, "up", 6)
+    points = pages.page_points(spark, own, [*page, tiles.Tile("broken", "stat", ("wrong",))], only).collect()
+    assert {r.tile for r in points if r.problem} == {"lost", "broken"} and sum(r.tile == "trend" for r in points) == 4
+    empty = pages.collect_page(own, page, (Filter("t.k", "eq", 9),))
+    assert empty["by c"] == [] and empty["total"][0].x is None and empty["detail"] == []
+    chosen = pages.default_page(own)
+    assert [t.kind for t in chosen].count("stat") == 4 and {t.dimension for t in chosen if t.kind == "bar"} == {"t.c", "t.k"} and chosen[0].time == "t.at"
     about = tiles.about_tiles(spark, own, page, only).collect()
     assert {r.measure: r.definition for r in about}["mean"] == "avg(t.x)" and all("t.k lt 2" in r.filters for r in about)
 
