@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from galena.functions import masks
 from galena.operators import classify, history, ingest, profile, quality, refine, relate, summarise
 from galena.plans import lineage, pages, runs, tiles
-from galena.plans.metrics import Attribute, Entity, Filter, Join, Measure, MetricQuery, Model, dimension_values, metric_query
+from galena.plans.metrics import Attribute, Entity, Filter, Join, Measure, MetricQuery, Model, Refused, dimension_values, metric_query
 from galena.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +159,33 @@ def measure_all_lineitem(spark, sf_dir):
     return plain(out).withColumns(rounded).withColumn("no_status", F.lit(False))
 
 
+ASKED = {
+    "orders by segment": MetricQuery(("order_count",), ("customer.segment",)),
+    "customers by status": MetricQuery(("customer_count",), ("orders.status",)),
+    "orders by line flag": MetricQuery(("order_count",), ("lines.flag",)),
+    "orders by name": MetricQuery(("order_count",), filters=(Filter("customer.name", "eq", "x"),)),
+    "two facts": MetricQuery(("order_count", "line_count")),
+    "no field": MetricQuery(("order_count",), ("orders.nothing",)),
+}
+
+
+@registered("""select 'orders by segment' question, true answered, (select count(*) from (select distinct c_mktsegment from orders left join customer on o_custkey = c_custkey)) as "rows", '' why
+union all select 'customers by status', not exists (select 1 from orders group by o_custkey having count(*) > 1), null, 'orders has a key of o_custkey more than once, so joining it would multiply rows'
+union all select 'orders by line flag', false, null, 'lines cannot be reached from orders without multiplying its rows' union all select 'orders by name', false, null, 'customer.name is masked, and a filter would tell its values'
+union all select 'two facts', false, null, 'measures of two entities' union all select 'no field', false, null, 'no attribute of orders nothing'""")
+def metric_refusals(spark, sf_dir):
+    """Questions, one of which is answered. A model says that customers have one order each: the rows say no."""
+    model = sales_model(spark, sf_dir)
+    model = Model(model.entities, (*model.measures, Measure("customer_count", "customer", "count")), (*model.joins, Join("customer", "orders", (("c_custkey", "o_custkey"),), "one_to_one")))
+    out = []
+    for name, query in ASKED.items():
+        try:
+            out.append((name, True, metric_query(model, query).count(), ""))
+        except Refused as why:
+            out.append((name, False, None, str(why)))
+    return spark.createDataFrame(out, "question string, answered boolean, rows bigint, why string")
+
+
 # --- masks ----------------------------------------------------------------------------------------------------------
 
 PEOPLE = """(select c_custkey, c_name as full_name, case when c_custkey % 17 = 0 then null when c_custkey % 13 = 0 then 'nobody' else 'user' || c_custkey || '@' || lower(c_mktsegment) || '.com' end as email,

@@ -11,7 +11,7 @@ from galena.operators import history, ingest, profile, quality, refine, relate,
 from galena.plans import derive, lineage, runs, tiles
 from galena.plans.catalogue import CHANGED, HISTORY, JUDGED, MONEY, RULES, changed_customers, messy_orders, plain, registered, sales_model, table
 from galena.plans.metrics import MetricQuery, metric_query
-from galena.sources import readers
+from galena.sources import readers, stored
 from galena.sources.folders import work_folder
 from galena.streaming import streams
 
@@ -88,7 +88,50 @@ def load_bronze_events(spark, sf_dir):
     first = own.where(F.col("updated_at") <= F.lit(datetime.datetime(2024, 1, 10)))
     ingest.save_state(ingest.load_bronze(first, root, "events", ["event_id"], ingest.read_state(spark, root))["state"], root)
     second = ingest.load_bronze(own.withColumn("event_type", F.upper("event_type")), root, "events", ["event_id"], ingest.read_state(spark, root))
-    return spark.read.parquet(second["path"]).select("event_id", "event_type", F.lit(second["rows_read"]).cast("bigint").alias("rows_read"))
+    return ingest.read_bronze(spark, root, "events").select("event_id", "event_type", F.lit(second["rows_read"]).cast("bigint").alias("rows_read"))
+
+
+def put(rows: DataFrame | str, path: str, spark: SparkSession) -> None:
+    """One file of that name in whatever store the path is of: rows as parquet, or a text."""
+    own = spark.createDataFrame([(rows,)], "value string") if isinstance(rows, str) else rows
+    folder = work_folder(spark, "put")
+    own.coalesce(1).write.format("text" if isinstance(rows, str) else "parquet").save(folder)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    store = paths(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    made = next(f.getPath() for f in store.listStatus(paths(folder)) if f.getPath().getName().startswith("part-"))
+    store.mkdirs(paths(path).getParent())
+    store.delete(paths(path), False)
+    store.rename(made, paths(path))
+
+
+@registered("select event_id, case event_id % 4 when 1 then upper(event_type) when 2 then 'mended' else event_type end event_type, case event_id % 4 when 0 then 1 when 3 then 1 else 2 end tries from events")
+def load_changed_files(spark, sf_dir):
+    """Events from four files, loaded three times. The second time one file has changed and one that was broken is whole;
+    before the third, one that was loaded breaks, and its rows stay. tries: loads of each file, the third aside."""
+    own, root, src = table(spark, sf_dir, "events").select("event_id", "event_type"), work_folder(spark, "bronze"), work_folder(spark, "files")
+    for i in range(4):
+        put("no parquet" if i == 2 else own.where(F.col("event_id") % 4 == i), f"{src}/events-{i}.parquet", spark)
+    load = lambda: ingest.load_files(ingest.list_files(spark, src), root, "events", own.schema)
+    load()
+    put(own.where("event_id % 4 = 1").withColumn("event_type", F.upper("event_type")), f"{src}/events-1.parquet", spark)
+    put(own.where("event_id % 4 = 2").withColumn("event_type", F.lit("mended")), f"{src}/events-2.parquet", spark)
+    load()
+    registry = ingest.read_registry(spark, root, "events").groupBy("path").agg(F.count(F.lit(1)).alias("tries"))
+    tries = {int(r.path[-9]): r.tries for r in registry.collect()}
+    put("broken later", f"{src}/events-3.parquet", spark)
+    load()
+    told = F.element_at(F.create_map(*[F.lit(x) for i, n in tries.items() for x in (i, n)]), (F.col("event_id") % 4).cast("int"))
+    return ingest.read_bronze(spark, root, "events").select("event_id", "event_type", told.alias("tries"))
+
+
+@registered(f"select * from {CHANGED} union all select c.c_custkey, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment from customer c where c_custkey not in (select c_custkey from {CHANGED})")
+def upsert_stored_customers(spark, sf_dir):
+    """Customers in a table of buckets, after an upsert that rewrites the buckets of changed customers."""
+    path, keys = work_folder(spark, "stored"), ["c_custkey"]
+    fold = lambda old, new: ingest.upsert(old, new, keys)
+    first = stored.folded(path, table(spark, sf_dir, "customer"), keys, fold)
+    stored.folded(path, changed_customers(spark, sf_dir), keys, fold, first)
+    return stored.read(spark, path)
 
 
 CLEAN = f"""(select distinct "Order ID" order_id, customer_key, nullif(trim(status), '') status, nullif(trim(amount_text), '') amount_text, cast(cast(total_price as decimal(38,2)) as double) total_price, cast(order_date as date) order_date from {JUDGED} where rejects = '') c"""
@@ -131,7 +174,7 @@ def run_medallion_incremental(spark, sf_dir):
     for run, rows in (("run-1", table(spark, sf_dir, "customer")), ("run-2", changed_customers(spark, sf_dir))):
         log = runs.run_medallion([runs.Dataset("customer", rows, rules=(), keys=("c_custkey",), full=run == "run-1")], root, run, at)
         assert log.where("step = 'bronze' and status = 'succeeded'").count() == 1, log.collect()
-    return spark.read.parquet(ingest.current_version(spark, f"{root}/bronze/customer").path)
+    return ingest.read_bronze(spark, root, "customer")
 
 
 @registered("""select column_name source_column, column_name target_column, 'ingest' via, cast(null as varchar) transform from (describe orders)
@@ -169,14 +212,10 @@ def staged(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[str, DataFr
     return path, spark.readStream.schema(own.schema).parquet(path)
 
 
-def finished(spark: SparkSession, frame: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream leaves when it has read all there is. Complete results, which are small, are kept by the last batch."""
+def finished(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """What a stream leaves when it has read all there is."""
     out = work_folder(spark, "stream-out")
-    if mode == "append":
-        frame.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-at").trigger(availableNow=True).start().awaitTermination()
-    else:
-        batch = lambda rows, _: rows.write.mode("overwrite").parquet(out)
-        frame.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{out}-at").trigger(availableNow=True).start().awaitTermination()
+    frame.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-at").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(frame.schema).parquet(out)
 
 
@@ -208,12 +247,58 @@ def stream_dedupe_events(spark, sf_dir):
     return finished(spark, streams.stream_dedupe(stream, ["user_id", "event_type"], "ts", "365 days").select("user_id", "event_type"))
 
 
-@registered("select cast(date_trunc('day', ts) as date) period, event_type, count(*) record_count, round(sum(value), 3) total_value from events group by 1, 2")
+LATE_DAYS, PARTS = 3, ("2024-01-01", "2024-01-10", "2024-01-20", "2024-03-01")
+
+
+@registered(f"""with e as (select cast(date_trunc('day', ts) as date) period, * from events)
+select period, event_type, count(*) record_count, round(sum(value), 3) total_value from e where period + interval 1 day <= (select max(ts) from events) - interval 1 day group by 1, 2""")
 def stream_summary_events(spark, sf_dir):
-    """Events by day and type."""
-    _, stream = staged(spark, sf_dir, "event_type", "value", "ts")
-    out = finished(spark, streams.stream_summary(stream, "ts", ["event_type"], ["value"], "40 days"), "complete")
-    return out.select(F.col("period").cast("date").alias("period"), "event_type", "record_count", F.round("total_value", 3).alias("total_value"))
+    """Events by day and type, as their days are closed: files come in the order of their times, the last one with copies
+    of events of the first days, which are late and left out; days that the watermark has not passed are not told yet."""
+    own = table(spark, sf_dir, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    path = work_folder(spark, "stream-in")
+    day = F.datediff(F.col("ts"), F.lit(PARTS[0]))
+    for lo, hi in zip(PARTS, PARTS[1:], strict=False):
+        rows = own.where((F.col("ts") >= lo) & (F.col("ts") < hi))
+        rows = rows.unionByName(own.where(day < LATE_DAYS)) if hi == PARTS[-1] else rows
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    summary = streams.stream_summary(stream, "ts", ["event_type"], ["value"], "1 day")
+    return finished(spark, summary).select(F.col("period").cast("date").alias("period"), "event_type", "record_count", F.round("total_value", 3).alias("total_value"))
+
+
+def versions_sql(rows: str) -> str:
+    """Where the last event type of a user changes, of rows (user_id, ts, event_type, late); late rows count at equal times."""
+    once = f"select *, row_number() over (partition by user_id, ts order by late desc, event_type desc) rn from {rows}"
+    return f"select user_id, ts, event_type from (select *, lag(event_type) over (partition by user_id order by ts) was from ({once}) o where rn = 1) c where was is null or was <> event_type"
+
+
+EARLY = f"({versions_sql('(select *, 0 late from events where event_id % 3 <> 0) e')}) v"
+
+
+@registered(f"""with v as ({versions_sql(f"(select *, 0 late from {EARLY} union all select user_id, ts, event_type, 1 from events where event_id % 3 = 0) u")})
+select user_id, event_type, epoch_us(ts) valid_from, epoch_us(lead(ts) over (partition by user_id order by ts)) valid_to, lead(ts) over (partition by user_id order by ts) is null is_current from v""")
+def stream_scd2_events(spark, sf_dir):
+    """What each user did last, over time: a first batch with many changes of a user, and a second one with events that fall
+    between those."""
+    own = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    path, out = work_folder(spark, "stream-in"), work_folder(spark, "stream-out")
+    for late in (False, True):
+        rows = own.where((F.col("event_id") % 3 == 0) == F.lit(late)).drop("event_id")
+        rows.write.mode("append").parquet(path)
+        streams.stream_scd2(spark.readStream.schema(rows.schema).parquet(path), out, ["user_id"], "ts", f"{out}-at").awaitTermination()
+    h = streams.current(spark, out)
+    return h.select("user_id", "event_type", F.unix_micros(history.FROM).alias("valid_from"), F.unix_micros(history.TO).alias("valid_to"), F.col(history.CURRENT).alias("is_current"))
+
+
+@registered("""with v as (select user_id, ts, max(event_type) event_type from events where event_type <> 'click' group by 1, 2)
+select c.event_id, v.event_type as last_action from (select * from events where event_type = 'click') c asof left join v on c.user_id = v.user_id and c.ts >= v.ts""")
+def as_of_join_events(spark, sf_dir):
+    """Each click with what its user had done last before it."""
+    own = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    acts = own.where("event_type <> 'click'").select("user_id", F.col("event_type").alias("last_action"), "ts")
+    clicks = own.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    return history.as_of_join(clicks, history.scd2_events(None, acts, ["user_id"], "ts"), ["user_id"], "ts").select("event_id", "last_action")
 
 
 @registered(f"select * from {HISTORY}")

@@ -15,10 +15,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from galena.functions.failures import FAILURES
 from galena.functions.masks import mask_kind
 from galena.functions.types import TEMPORAL, logical_type
 from galena.plans.metrics import GRAINS, Measure, Model, Refused, aggregate, output_name, qualified, rows_of
@@ -254,13 +254,13 @@ def collect_page(model: Model, tiles, filters=(), at_once: int = 8) -> dict[str,
     def alone(t: Tile) -> list[Row] | str:
         try:
             return run_tile(model, t, filters).collect()
-        except (Refused, PySparkException) as why:
+        except (Refused, *FAILURES) as why:
             return told(why)
 
     def together(some: list[Tile]) -> dict[str, list[Row] | str]:
         try:
             return answered(model, some, filters)
-        except (Refused, PySparkException) as why:
+        except (Refused, *FAILURES) as why:
             if len(some) == 1:
                 return {some[0].name: told(why)}
         with ThreadPoolExecutor(max_workers=at_once) as pool:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from galena.operators import profile as P
 from galena.operators import quality as Q
 from galena.operators import refine as R
-from galena.operators.ingest import load_bronze, read_state, save_state
+from galena.operators.ingest import load_bronze, read_bronze, read_state, save_state
 from galena.operators.summarise import carry_gold, summarise
 from galena.sources.readers import write_layer
 
@@ -70,7 +70,7 @@ def run_medallion(datasets: list[Dataset], root: str, run_id: str, at) -> DataFr
             if d.keys:
                 loaded = load_bronze(d.rows, root, d.name, list(d.keys), read_state(spark, root), d.full)
                 save_state(loaded["state"], root)
-                out = spark.read.parquet(loaded["path"])
+                out = read_bronze(spark, root, d.name)
                 return out.count(), f"{loaded['mode']} of {loaded['rows_read']} rows: {loaded['reason']}", out
             out = spark.read.parquet(write_layer(d.rows, root, "bronze", d.name))
             return out.count(), None, out

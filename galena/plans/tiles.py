@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galena.functions.failures import FAILURES, failure
 from galena.plans.metrics import MOST_ROWS, Filter, MetricQuery, Model, Refused, join_path, metric_groups, metric_query
 
 PERIODS = 60
@@ -162,8 +162,7 @@ def run_tile(model: Model, tile: Tile, filters=()) -> DataFrame:
 
 
 def told(why: Exception) -> str:
-    """A failure with its kind, so that a lost executor is not taken for a wrong tile."""
-    return str(why) if isinstance(why, Refused) else f"{type(why).__name__}: {why}"
+    return str(why) if isinstance(why, Refused) else failure(why)
 
 
 def run_dashboard(model: Model, tiles, filters=()) -> dict[str, DataFrame | str]:
@@ -172,7 +171,7 @@ def run_dashboard(model: Model, tiles, filters=()) -> dict[str, DataFrame | str]
     for t in tiles:
         try:
             out[t.name] = run_tile(model, t, filters)
-        except (Refused, PySparkException) as why:
+        except (Refused, *FAILURES) as why:
             out[t.name] = told(why)
     return out
 

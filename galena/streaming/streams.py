@@ -2,41 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from galena.operators import quality as Q
-from galena.operators.history import scd2_merge
-from galena.operators.ingest import upsert
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions of a table that were written to their end, oldest first; a log beside them says so."""
-    try:
-        return sorted(r.version for r in spark.read.schema("version bigint").parquet(f"{path}/log").distinct().collect())
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return []
-        raise
+from galena.operators.history import scd2_events
+from galena.operators.ingest import latest_per_key, upsert
+from galena.sources import stored
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest version of a streamed table."""
-    done = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{done[-1]}") if done else None
+    return stored.read(spark, path)
+
 
+def _folded(stream: DataFrame, path: str, keys: list[str], checkpoint: str, fold, once=None) -> StreamingQuery:
+    """Each batch makes the next version of a stored table, in which only the buckets of its keys are written anew.
 
-def _folded(stream: DataFrame, path: str, checkpoint: str, fold) -> StreamingQuery:
-    """Each batch makes the next version of the table. A batch that is run again starts from the version before it."""
+    once: what makes the rows of a batch rows of the table, one a key; without it only fold does. A batch that is run again
+    starts from the version before it, and its version is written again.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        before = [v for v in _versions(spark, path) if v < number]
-        old = spark.read.parquet(f"{path}/v{before[-1]}") if before else None
-        fold(old, rows).write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.range(number, number + 1).select(F.col("id").alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/log")
+        before = stored.current(rows.sparkSession, path, before=number)
+        stored.folded(path, once(rows) if once else rows, keys, fold, before, number=number, final=once is not None)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,21 +34,16 @@ def _folded(stream: DataFrame, path: str, checkpoint: str, fold) -> StreamingQue
 def stream_ingest(spark: SparkSession, folder: str, schema, path: str, keys: list[str], checkpoint: str, order: str | None = None) -> StreamingQuery:
     """New files of a folder are upserted into a table; the checkpoint knows which files were read.
 
-    Files are known by path: one that is changed in place takes changed_files().
+    Files are known by path: one that is changed in place takes load_files().
     """
     stream = spark.readStream.schema(schema).parquet(folder)
-    return _folded(stream, path, checkpoint, lambda old, rows: upsert(old, rows, keys, order))
+    return _folded(stream, path, keys, checkpoint, lambda old, rows: upsert(old, rows, keys, order), lambda rows: latest_per_key(rows, keys, order))
 
 
 def stream_scd2(stream: DataFrame, path: str, keys: list[str], time: str, checkpoint: str) -> StreamingQuery:
-    """Each batch is merged into the history as of the latest time in it."""
-
-    def fold(old: DataFrame | None, rows: DataFrame) -> DataFrame:
-        at = rows.agg(F.max(time)).first()[0]
-        tracked = [c for c in rows.columns if c not in (*keys, time)]
-        return scd2_merge(old, rows, keys, at, tracked)
-
-    return _folded(stream, path, checkpoint, fold)
+    """Each batch is merged into the history by the times of its rows: see scd2_events()."""
+    tracked = [c for c in stream.columns if c not in (*keys, time)]
+    return _folded(stream, path, keys, checkpoint, lambda old, rows: scd2_events(old, rows, keys, time, tracked))
 
 
 def stream_quality(stream: DataFrame, rules, clean_path: str, quarantine_path: str, checkpoint: str, run_id: str) -> StreamingQuery:

@@ -1,6 +1,10 @@
 """Invariants of the operators on small literal rows."""
 
 import datetime
+import os
+import pathlib
+import time
+import warnings
 
 import pytest
 from pyspark.sql import Row
@@ -10,7 +14,7 @@ from galena.functions.names import has_words, is_audit, is_key_like, layer_of_na
 from galena.operators import history, ingest, profile, quality, refine, relate
 from galena.plans import derive, lineage, pages, runs, tiles
 from galena.plans.metrics import Attribute, Entity, Filter, Join, Measure, MetricQuery, Model, Refused, metric_query
-from galena.sources import readers
+from galena.sources import readers, stored
 from galena.streaming import streams
 
 
@@ -70,6 +74,47 @@ def test_upsert(spark):
             ingest.upsert(old, new, keys)
 
 
+def test_histories_by_event_time(spark):
+    t = lambda d: datetime.datetime(2024, 1, d)
+    kind = "k int, v string, seen timestamp"
+    rows = lambda *r: spark.createDataFrame(list(r), kind)
+    seen = lambda h: sorted((r.k, r.v, r[history.FROM].day, r[history.TO] and r[history.TO].day, r[history.CURRENT]) for r in h.collect())
+    one = history.scd2_events(None, rows((1, "z", t(1)), (1, "a", t(3)), (1, "a", t(4)), (2, "x", t(2)), (None, "n", t(1)), (3, "n", None)), ["k"], "seen")
+    assert seen(one) == [(1, "a", 3, None, True), (1, "z", 1, 3, False), (2, "x", 2, None, True)]
+    late = history.scd2_events(one, rows((1, "late", t(2)), (2, "w", t(1)), (4, "new", t(9))), ["k"], "seen")
+    want = [(1, "a", 3, None, True), (1, "late", 2, 3, False), (1, "z", 1, 2, False), (2, "w", 1, 2, False), (2, "x", 2, None, True), (4, "new", 9, None, True)]
+    assert seen(late) == want
+    assert seen(history.scd2_events(late, rows((1, "late", t(2)), (4, "new", t(9))), ["k"], "seen")) == want
+    # A late version that equals what follows it moves its start; one at a time that is there takes its place.
+    assert seen(history.scd2_events(one, rows((1, "a", t(2)), (2, "y", t(2))), ["k"], "seen")) == [(1, "a", 2, None, True), (1, "z", 1, 2, False), (2, "y", 2, None, True)]
+    assert seen(history.scd2_events(None, rows().limit(0), ["k"], "seen")) == [] and seen(history.scd2_events(one, rows().limit(0), ["k"], "seen")) == seen(one)
+
+
+def test_changed_tracking_is_told(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "b")], "k int, v string, w string")
+    history.scd2_merge(None, rows, ["k"], "2026-01-01", ["v"]).write.parquet(f"{tmp_path}/h")
+    old = spark.read.parquet(f"{tmp_path}/h")
+    assert history.tracked_of(old) == ["v"]
+    with pytest.warns(UserWarning, match="versioned by v, now by v, w"):
+        new = history.scd2_merge(old, rows, ["k"], "2026-02-01")
+    assert tuple(history.scd2_stats(old, new, "2026-02-01").first()) == (1, 1, 0) and history.tracked_of(new) == ["v", "w"]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert history.scd2_merge(new, rows, ["k"], "2026-03-01").count() == 2
+
+
+def test_as_of_join_of_a_key_with_many_versions(spark):
+    stamp = "timestamp_seconds(1700000000 + {}) "
+    versions = spark.range(100_000).selectExpr("1 k", "id v", stamp.format("id * 600") + history.FROM, f"if(id = 99999, null, {stamp.format('id * 600 + 600')}) " + history.TO, f"id = 99999 {history.CURRENT}", f"'' {history.HASH}")
+    gap = spark.createDataFrame([(2, 7, 0, 50)], "k int, v bigint, a int, b int").selectExpr("k", "v", stamp.format("a") + history.FROM, stamp.format("b") + history.TO, f"false {history.CURRENT}", f"'' {history.HASH}")
+    facts = spark.range(50_000).selectExpr("if(id % 50 = 0, 2, 1) k", "id", stamp.format("id * 1201 - 700") + "at").unionByName(spark.createDataFrame([(None, -1), (1, -2)], "k int, id bigint").selectExpr("k", "id", f"if(k is null, {stamp.format(0)}, null) at"))
+    got = {r.id: r.v for r in history.as_of_join(facts, versions.unionByName(gap), ["k"], "at").collect()}
+    assert len(got) == 50_002 and got[-1] is None and got[-2] is None and got[0] is None
+    for i in range(50_000):
+        s = i * 1201 - 700
+        assert got[i] == ((7 if 0 <= s < 50 else None) if i % 50 == 0 else None if s < 0 else min(s // 600, 99_999)), i
+
+
 def test_window_stops_at_the_ceiling_and_starts_afresh(spark):
     t = lambda d: datetime.datetime(2024, 1, d)
     df = spark.createDataFrame([(1, t(1)), (2, t(2)), (3, t(3)), (4, None)], "id int, updated_at timestamp")
@@ -87,8 +132,76 @@ def test_load_bronze_moves_state_after_the_write(spark, tmp_path):
     more = [*rows, (2, "B", t(3)), (3, "c", t(3))]
     second = ingest.load_bronze(spark.createDataFrame(more, kind), str(tmp_path), "d", ["k"], first["state"])
     assert (first["mode"], second["mode"], second["rows_read"]) == ("replace", "upsert", 2)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(second["path"]).collect()) == [(1, "a"), (2, "B"), (3, "c")]
+    assert sorted((r.k, r.v) for r in ingest.read_bronze(spark, str(tmp_path), "d").collect()) == [(1, "a"), (2, "B"), (3, "c")]
     assert second["state"].first().rows_total == 4
+    # State without the table: all rows are read again, not only what is newer.
+    third = ingest.load_bronze(spark.createDataFrame(more, kind), f"{tmp_path}/lost", "d", ["k"], second["state"])
+    assert (third["mode"], third["rows_read"]) == ("replace", 4) and ingest.read_bronze(spark, f"{tmp_path}/lost", "d").count() == 3
+
+
+def test_watermarks_do_not_move_with_the_zone(spark, tmp_path):
+    was = os.environ.get("TZ")
+    try:
+        os.environ["TZ"] = "Asia/Tokyo"
+        time.tzset()
+        rows = lambda *ts: spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "k int, s string").selectExpr("k", "cast(s as timestamp) updated_at")
+        first = ingest.load_bronze(rows("2024-01-01 00:00:00"), str(tmp_path), "z", ["k"], None)
+        second = ingest.load_bronze(rows("2024-01-01 00:00:00", "2024-01-01 00:00:01"), str(tmp_path), "z", ["k"], first["state"])
+        assert second["rows_read"] == 1 and ingest.read_bronze(spark, str(tmp_path), "z").count() == 2
+        third = ingest.load_bronze(rows("2024-01-01 00:00:00", "2024-01-01 00:00:01"), str(tmp_path), "z", ["k"], second["state"])
+        assert third["rows_read"] == 0 and third["state"].first().watermark == second["state"].first().watermark
+    finally:
+        os.environ.pop("TZ") if was is None else os.environ.update(TZ=was)
+        time.tzset()
+
+
+def test_upserts_leave_other_buckets_alone(spark, tmp_path):
+    path, kind = f"{tmp_path}/t", "k int, v string"
+    fold = lambda old, new: ingest.upsert(old, new, ["k"])
+    one = stored.folded(path, spark.range(1000).selectExpr("cast(id as int) k", "'a' v"), ["k"], fold, buckets=8)
+    before = stored.manifest(spark, path, one)
+    assert len(before) == 8
+    own = spark.createDataFrame([(5, "B", 1.5), (6, None, 2.5)], f"{kind}, w double")
+    two = stored.folded(path, own, ["k"], fold, one)
+    after = stored.manifest(spark, path, two)
+    hit = {r[0] for r in own.select(stored.bucket(["k"], 8)).collect()}
+    assert {p for p in after if after[p] != before[p]} == hit and all(len(after[p]) == 1 for p in after)
+    got = {r.k: (r.v, r.w) for r in stored.read(spark, path).collect()}
+    assert len(got) == 1000 and got[5] == ("B", 1.5) and got[6] == (None, 2.5) and got[7] == ("a", None)
+    # New keys go beside what their bucket has; nothing is rewritten. A wider key stays in its bucket.
+    three = stored.folded(path, spark.createDataFrame([(5000, "n")], "k bigint, v string"), ["k"], fold, two)
+    grown = {p: f for p, f in stored.manifest(spark, path, three).items() if f != after[p]}
+    assert len(grown) == 1 and all(f[:1] == after[p] and len(f) == 2 for p, f in grown.items())
+    assert stored.read(spark, path).count() == 1001 and stored.read(spark, path, one).count() == 1000
+    four = stored.folded(path, spark.createDataFrame([(5000, "N")], "k bigint, v string"), ["k"], fold, three)
+    assert stored.read(spark, path, four).where("k = 5000").collect() == [Row(k=5000, v="N", w=None)]
+    assert stored.folded(path, own.limit(0), ["k"], fold, four).number == 4 and stored.read(spark, path).count() == 1001
+    # A version that was written but not logged, as after a crash, is not current, and the next load replaces it.
+    spark.range(1).write.parquet(f"{path}/data/v5")
+    assert stored.current(spark, path).number == 4
+    with pytest.raises(ValueError, match="kept by"):
+        stored.folded(path, own, ["v"], fold, four)
+
+
+def test_changed_files_are_loaded_in_place(spark, tmp_path):
+    src, root, schema = f"{tmp_path}/a b+c", f"{tmp_path}/out", spark.range(0).selectExpr("id", "'' v").schema
+    put = lambda name, lo, hi, v: spark.range(lo, hi).selectExpr("id", f"'{v}' v").toPandas().to_parquet(f"{src}/{name}.parquet")
+    os.makedirs(src)
+    for i, name in enumerate("wxyz"):
+        put(name, i * 10, i * 10 + 10, "old")
+    pathlib.Path(f"{src}/y.parquet").write_text("no parquet at all")
+    load = lambda: {r.path.rpartition("/")[2]: r.status for r in ingest.load_files(ingest.list_files(spark, src), root, "d", schema).collect()}
+    rows = lambda: {r.v: r.n for r in ingest.read_bronze(spark, root, "d").groupBy("v").count().withColumnRenamed("count", "n").collect()}
+    assert load() == {"w.parquet": "LOADED", "x.parquet": "LOADED", "y.parquet": "FAILED", "z.parquet": "LOADED"} and rows() == {"old": 30}
+    put("x", 10, 15, "new")
+    put("y", 20, 30, "mended")
+    was = stored.manifest(spark, f"{root}/bronze/d", stored.current(spark, f"{root}/bronze/d"))
+    assert load() == {"x.parquet": "LOADED", "y.parquet": "LOADED"} and rows() == {"old": 20, "new": 5, "mended": 10}
+    now = stored.manifest(spark, f"{root}/bronze/d", stored.current(spark, f"{root}/bronze/d"))
+    assert sum(now[p] == was.get(p) for p in now) == 2 and load() == {}
+    pathlib.Path(f"{src}/z.parquet").write_text("broken later")
+    assert load() == {"z.parquet": "FAILED"} and rows() == {"old": 20, "new": 5, "mended": 10} and load() == {"z.parquet": "FAILED"}
+    assert ingest.read_registry(spark, root, "d").where("status = 'FAILED'").count() == 3
 
 
 def test_changed_files(spark):
@@ -294,11 +407,7 @@ def test_incremental_runs_and_crashes(spark, tmp_path):
         log = runs.run_medallion([runs.Dataset("d", spark.createDataFrame(rows, kind), rules=(), keys=("k",))], str(tmp_path), run, at).collect()
         assert log[0].status == "succeeded", log
     assert "upsert of 2 rows" in log[0].note
-    now = ingest.current_version(spark, f"{tmp_path}/bronze/d")
-    assert now.version == 1 and sorted((r.k, r.v) for r in spark.read.parquet(now.path).collect()) == [(1, "a"), (2, "B"), (3, "c")]
-    # A version that was written but not logged, as after a crash, is not current, and the next load replaces it.
-    spark.range(1).write.parquet(f"{tmp_path}/bronze/d/v2")
-    assert ingest.current_version(spark, f"{tmp_path}/bronze/d").version == 1
+    assert stored.current(spark, f"{tmp_path}/bronze/d").number == 1 and sorted((r.k, r.v) for r in ingest.read_bronze(spark, str(tmp_path), "d").collect()) == [(1, "a"), (2, "B"), (3, "c")]
 
 
 def test_impact_and_samples(spark):
