@@ -423,7 +423,8 @@ def test_relationship_names():
     assert relate.name_affinity("id", "customers", "id") == 0.45
     assert relate.name_affinity("billing_customer_key", "customers", "x") == 0.7
     assert relate.name_affinity("status", "customers", "id") == 0.0
-    assert [relate.singular(w) for w in ("cities", "boxes", "orders", "class")] == ["city", "box", "order", "class"]
+    assert relate.name_affinity("customer_ref_id", "customers", "x") == 0.85 and relate.name_affinity("paid", "ids", "x") == 0.0
+    assert all(relate.name_affinity(f"{noun}_id", table, "x") == 1.0 for noun, table in (("city", "cities"), ("box", "boxes"), ("order", "orders"), ("class", "class"), ("class", "classes")))
 
 
 def test_readers_and_conform(spark, tmp_path):
