@@ -4,9 +4,9 @@ Documents are paired through shared runs of lines: from each line on, and up to
 `least` words (MIN_WORDS by default) is hashed, and every document that has a run is paired with the first document that has it. That is one
 pair for a run and document however many documents share it, and every line of every common block of so many words
 lies in such a run: the rare runs lead to their few holders, the common ones to their first. Each pair is aligned by
-patience diff over the lines both have. Runs that both have and the alignment leaves, as it keeps to the order and takes
-a line once, are aligned by themselves. Common blocks of at least so many words are deleted from the later document,
-which is what a comparison with every earlier document finds.
+patience diff over the lines both have. What the alignment leaves, as it keeps to the order and takes a line once, is
+aligned again in rounds, run by run. Aligned common blocks of at least so many words are deleted from the later document,
+which is what a comparison with every earlier document finds; nothing is deleted that is not aligned.
 
 Documents are in order of their key, null last, then of their text's hash. Lines without words are not aligned: they are
 looked past, and stay. Every deleted line stands in an earlier document, so its first occurrence always stays.
@@ -147,30 +147,56 @@ def aligned_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[i
     return out
 
 
-def placed_runs(lines: dict[int, int], words: dict[int, int], least: int = MIN_WORDS) -> Iterator[tuple[list[int], tuple[int, ...]]]:
-    """The places and the line hashes of each run of a sequence, given as place → line hash. words: by line hash."""
-    stretch: list[int] = []
+def placed_runs(lines: dict[int, int], words: dict[int, int], least: int = MIN_WORDS) -> list[tuple[list[int], tuple[int, ...]]]:
+    """The places and the line hashes of each run of a sequence, given as place → line hash, in order. words: by line hash."""
+    out, stretch = [], []
     for p in [*sorted(lines), 1 << 60]:
         if stretch and p != stretch[-1] + 1:
-            for start, end in windows([words[lines[x]] for x in stretch], least):
+            for start, end in sorted(windows([words[lines[x]] for x in stretch], least)):
                 own = stretch[start:end]
-                yield own, tuple(lines[x] for x in own)
+                out.append((own, tuple(lines[x] for x in own)))
             stretch = []
         stretch.append(p)
+    return out
+
+
+def first_places(runs_: list[tuple[list[int], tuple[int, ...]]], known: dict[tuple[int, ...], int]) -> dict[int, int]:
+    """A sequence of runs, each distinct one where it comes first, as place → number of the run in known."""
+    out: dict[int, int] = {}
+    seen: set[int] = set()
+    for i, (_, run) in enumerate(runs_):
+        n = known.get(run)
+        if n is not None and n not in seen:
+            seen.add(n)
+            out[i] = n
+    return out
 
 
 def common_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int], least: int = MIN_WORDS) -> list[int]:
-    """Places of the later document in blocks of at least so many words that the earlier one has: those that are
-    aligned, then the runs that are left. words: by place of the later document."""
+    """Places of the later document in blocks of at least so many words that the earlier one has. words: by place of the
+    later document.
+
+    The lines are aligned first. What that leaves, as an alignment keeps to the order and takes a line once, is aligned
+    again, run by run instead of line by line, until no aligned run is left: a round aligns at least one of those that
+    both have, and a run that is aligned goes wherever the later document repeats it.
+    """
     out = aligned_blocks(later, earlier, words, least)
-    if len(out) < len(later):
-        by_line = {h: words[p] for p, h in later.items()}
-        left = [(own, run) for own, run in placed_runs(later, by_line, least) if not out.issuperset(own)]
-        if left:
-            there = {run for _, run in placed_runs({p: h for p, h in earlier.items() if h in by_line}, by_line, least)}
-            for own, run in left:
-                if run in there:
-                    out.update(own)
+    if len(out) == len(later):
+        return sorted(out)
+    by_line = {h: words[p] for p, h in later.items()}
+    mine = placed_runs(later, by_line, least)
+    theirs = placed_runs({p: h for p, h in earlier.items() if h in by_line}, by_line, least)
+    known = {run: i for i, run in enumerate(dict.fromkeys(run for _, run in theirs))}
+    there = first_places(theirs, known)
+    while left := [(own, run) for own, run in mine if run in known and not out.issuperset(own)]:
+        here = first_places(left, known)
+        wanted = set(here.values())
+        met = {left[i][1] for i, _ in patience(here, {j: n for j, n in there.items() if n in wanted})}
+        if not met:
+            break
+        for own, run in left:
+            if run in met:
+                out.update(own)
     return sorted(out)
 
 

@@ -72,6 +72,35 @@ def test_shuffled_passages_against_every_earlier_document(spark):
         assert got == brute(rows, least)
 
 
+def test_nothing_goes_that_is_not_aligned(monkeypatch):
+    tell = lambda s: {i: ord(c) for i, c in enumerate(s) if c != " "}
+    cases = [("abcd", "abcd"), ("cdab", "abcd"), ("dcba", "abcd"), ("ababab", "xab"), ("ab", "ayb ab"), ("abcabc", "bcabca")]
+    words = lambda a: dict.fromkeys(a, 10)
+    blocks = lambda a, b: line_align.common_blocks(tell(a), tell(b), words(tell(a)), 20)
+    assert [blocks(*c) for c in cases] == [[0, 1, 2, 3], [0, 1, 2, 3], [], [0, 1, 2, 3, 4, 5], [0, 1], [0, 1, 2, 3, 4, 5]]
+    monkeypatch.setattr(line_align, "patience", lambda a, b: [])
+    assert [blocks(*c) for c in cases] == [[]] * len(cases)
+
+
+def test_blocks_of_a_pair_against_all_diagonals():
+    draw = random.Random(3)
+    for _ in range(400):
+        a, b = ([draw.randrange(6) for _ in range(draw.randrange(1, 25))] for _ in range(2))
+        weight = [draw.choice((3, 8, 12, 20)) for _ in range(6)]
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if a[i] == b[j] and (not i or not j or a[i - 1] != b[j - 1]):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                        n += 1
+                    if sum(weight[x] for x in a[i : i + n]) >= 20:
+                        want |= set(range(i, i + n))
+        common = set(a) & set(b)
+        later, earlier = ({p: x for p, x in enumerate(s) if x in common} for s in (a, b))
+        assert set(line_align.common_blocks(later, earlier, {p: weight[x] for p, x in later.items()}, 20)) == want
+
+
 def test_patience_by_hand():
     seq = lambda s: dict(enumerate(map(ord, s)))
     assert line_align.patience(seq("abcde"), seq("abXde".replace("X", "c"))) == [(i, i) for i in range(5)]
