@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.functions.masks import STRATEGIES, mask_kind
+from galena.operators.selection import quantiles
 
 GRAINS = ("day", "week", "month", "quarter", "year")
 MOST_ROWS, DEFAULT_ROWS, MOST_VALUES = 50_000, 500, 1_000
@@ -270,8 +271,24 @@ def metric_groups(model: Model, query: MetricQuery, fold: Callable[[DataFrame, C
             df, own = fold(df, own)
         keys.append(own.alias(name))
         taken.add(name)
-    values = [aggregate(m, lambda c: qualified(base, c)).alias(m.name) for m in measures]
-    return (df.groupBy(*keys).agg(*values) if keys else df.agg(*values)), taken
+    of = lambda c: qualified(base, c)
+    plain = [m for m in measures if m.agg != "median" or m.column is None]
+    values = [aggregate(m, of).alias(m.name) for m in plain]
+    if len(plain) == len(measures):
+        return (df.groupBy(*keys).agg(*values) if keys else df.agg(*values)), taken
+    values = values or [F.count(F.lit(1)).alias("__n")]
+    out = df.groupBy(*keys).agg(*values) if keys else df.agg(*values)
+    return with_medians(out, df, keys, [m for m in measures if m not in plain], of).select(*out.columns[: len(keys)], *[m.name for m in measures]), taken
+
+
+def with_medians(out: DataFrame, rows: DataFrame, keys: list[Column], medians: list[Measure], of: Callable[[str], Column]) -> DataFrame:
+    """The groups with medians beside, which are found by distributed selection: jobs that run while the plan is made."""
+    names = out.columns[: len(keys)]
+    kept = lambda m: of(m.column) if m.constraint is None else F.when(predicate(of(m.constraint.field), m.constraint), of(m.column))
+    found = quantiles(rows, dict(zip([f"__k{i}" for i in range(len(keys))], keys, strict=True)), {m.name: kept(m) for m in medians}, (0.5,))
+    wide = found.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(*[F.max(F.when(F.col("of") == m.name, F.col("q0"))).alias(f"__m{i}") for i, m in enumerate(medians)])
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(names)], F.lit(True))
+    return out.join(wide, same, "left").withColumns({m.name: F.col(f"__m{i}") for i, m in enumerate(medians)})
 
 
 def metric_query(model: Model, query: MetricQuery, fold: Callable[[DataFrame, Column], tuple[DataFrame, Column]] | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """A page of tiles from one aggregate.
 
 The tiles of a page that stand on the same fact and filters share one job: the joined rows are aggregated at GROUPING SETS,
-one set for each combination of dimensions and time that a tile needs and none beside. So averages, distinct counts and
-medians come from the rows, as in a query of their own, and a set has as many groups as its tile, not the product of all
+one set for each combination of dimensions and time that a tile needs and none beside. So averages and distinct
+counts come from the rows, as in a query of their own, and a set has as many groups as its tile, not the product of all
 tiles' dimensions. A second job takes each tile's leading groups, a third, if any tile has more labels than it shows, merges
 the rest of them from states (sums and counts). What is collected is bounded by what the tiles show.
 """
@@ -245,9 +245,11 @@ def collect_page(model: Model, tiles, filters=(), at_once: int = 8) -> dict[str,
     """
     out: dict[str, list[Row] | str] = {}
     shares: dict[tuple, list[Tile]] = defaultdict(list)
-    for t in tiles:
+    for i, t in enumerate(tiles):
         try:
-            shares[checked(model, t), t.filters, any(model.measure(m).agg in WHOLE for m in t.measures)].append(t)
+            aggs = {model.measure(m).agg for m in t.measures}
+            # Distinct counts go together, as they are not wanted at the sets of others; a median is selected by itself.
+            shares[checked(model, t), t.filters, i if "median" in aggs else -1 if "count_distinct" in aggs else None].append(t)
         except Refused as why:
             out[t.name] = told(why)
 
@@ -258,6 +260,8 @@ def collect_page(model: Model, tiles, filters=(), at_once: int = 8) -> dict[str,
             return told(why)
 
     def together(some: list[Tile]) -> dict[str, list[Row] | str]:
+        if any(model.measure(m).agg == "median" for m in some[0].measures):
+            return {some[0].name: alone(some[0])}
         try:
             return answered(model, some, filters)
         except (Refused, *FAILURES) as why:

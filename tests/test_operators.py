@@ -11,7 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from galena.functions.names import has_words, is_audit, is_key_like, layer_of_name, safe_identifier
-from galena.operators import history, ingest, profile, quality, refine, relate
+from galena.operators import history, ingest, profile, quality, refine, relate, selection
 from galena.plans import derive, lineage, pages, runs, tiles
 from galena.plans.metrics import Attribute, Entity, Filter, Join, Measure, MetricQuery, Model, Refused, metric_query
 from galena.sources import readers, stored
@@ -382,6 +382,29 @@ def test_quartiles_and_counts_of_large_columns(spark):
     assert len(none) == 5 and all(r.rows == 0 and r.p50 is None for r in none)
 
 
+def test_selection_of_ranks(spark, monkeypatch):
+    # Values over all magnitudes, ties, both infinities, NaN, a group of one, a null group, a column without values.
+    wide = spark.range(3_000).selectExpr("if(id % 3 = 0, null, id % 3) g", "case when id = 7 then double('inf') when id = 8 then double('-inf') when id % 5 = 0 then 0 else (if(id % 2 = 0, -1, 1)) * pow(10, (id * 7919) % 600 - 300) end x", "id % 4 y", "cast(null as int) z")
+    wide = wide.unionByName(spark.sql("select 9 g, 2.5d x, 1 y, null z union all select 1, double('nan'), 3, null"))
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    want = {(r.g, c): r[c] for r in wide.groupBy("g").agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in "xy"]).collect() for c in "xy"}
+    for few in (10_000, 5):
+        monkeypatch.setattr(selection, "FEW", few)
+        for most in (20_000, 2):
+            monkeypatch.setattr(selection, "MOST_BROADCAST", most)
+            rows = selection.quantiles(wide, {"g": F.col("g")}, {c: F.col(c) for c in "xyz"}, shares).collect()
+            got = {(r.g, r.of): [r[f"q{j}"] for j in range(5)] for r in rows}
+            assert got.keys() == want.keys() and all(a == b or (a != a and b != b) for k in want for a, b in zip(got[k], want[k], strict=True))
+    assert selection.quantiles(wide.limit(0), {"g": F.col("g")}, {"x": F.col("x")}, shares).count() == 0
+    own = Model((Entity("t", wide, (Attribute("g"),)),), (Measure("mid", "t", "median", "y"), Measure("n", "t", "count"), Measure("late", "t", "median", "y", Filter("y", "gt", 1))))
+    got = {r.g: (r.mid, r.n, r.late) for r in metric_query(own, MetricQuery(("mid", "n", "late"), ("t.g",))).collect()}
+    plain = wide.groupBy("g").agg(F.median("y"), F.count("*"), F.median(F.when(F.col("y") > 1, F.col("y")))).collect()
+    assert got == {r[0]: tuple(r)[1:] for r in plain} and len(got) == 4
+    assert tuple(metric_query(own, MetricQuery(("mid",))).first()) == (wide.agg(F.median("y")).first()[0],)
+    page = pages.collect_page(own, [tiles.Tile("mid", "bar", ("mid",), "t.g"), tiles.Tile("n", "stat", ("n",))])
+    assert len(page["mid"]) == 4 and page["n"][0].n == 3_002
+
+
 def test_unique_rule_counts_nulls_as_a_key(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
     got = {r.v: r[quality.WARNS] for r in quality.evaluate(df, [quality.Rule("unique", ("k",), "warn"), quality.Rule("unique", ("k", "v"), "warn")]).collect()}
