@@ -40,21 +40,26 @@ def quantiles(df: DataFrame, keys: dict[str, Column], columns: dict[str, Column]
     cells = F.array(*[F.struct(F.lit(c).alias("of"), x.cast("double").alias("x")) for c, x in columns.items()])
     values = df.select(*[k.alias(n) for n, k in keys.items()], F.inline(cells)).where("x is not null")
     group = [*names, "of"]
-    folder = work_folder(df.sparkSession, "ranks")
+    spark, folder = df.sparkSession, None
 
     def kept(rows: DataFrame, step: str) -> DataFrame:
+        """The rows computed once: a local table if they are few, else written and read again."""
+        nonlocal folder
+        some = rows.limit(MOST_BROADCAST + 1).collect()
+        if len(some) <= MOST_BROADCAST:
+            return spark.createDataFrame(some, rows.schema)
+        folder = folder or work_folder(spark, "ranks")
         rows.write.parquet(f"{folder}/{step}")
-        return df.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{step}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{step}")
 
     finite = F.when(~F.isnan("x") & (F.abs("x") < INF), F.col("x"))
     sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("size"), F.min(finite).alias("low"), F.max(finite).alias("high"))
+    totals = kept(sizes, "sizes")
     places = F.array(*[F.struct(F.lit(j).alias("j"), f(F.lit(p) * (F.col("size") - 1)).cast("bigint").alias("rank")) for j, p in enumerate(shares) for f in (F.floor, F.ceil)])
-    ranks = sizes.select(*group, F.explode(F.array_distinct(F.transform(places, lambda p: p["rank"]))).alias("rank"), F.lit(0).cast("bigint").alias("below"), "size", "low", "high", F.lit(None).cast("double").alias("found"))
-    totals = kept(sizes.select(*group, F.col("size").alias("n")), "sizes")
-    ranks = kept(ranks, "ranks-0")
+    ranks = totals.where("size > 0").select(*group, F.explode(F.array_distinct(F.transform(places, lambda p: p["rank"]))).alias("rank"), F.lit(0).cast("bigint").alias("below"), "size", "low", "high", F.lit(None).cast("double").alias("found"))
 
     def met(open_: DataFrame) -> DataFrame:
-        few = open_.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        few = open_.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # no job for a local table
         side = open_.toDF(*[f"r_{c}" for c in open_.columns])
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in group])
         inside = F.when(F.isnan("x") | (F.abs("x") == INF), F.col("r_whole")).otherwise(F.col("x").between(F.col("r_low"), F.col("r_high")))
@@ -72,19 +77,23 @@ def quantiles(df: DataFrame, keys: dict[str, Column], columns: dict[str, Column]
             last = sorted_.select(*group, "rank", F.get("xs", (F.col("rank") - F.col("below")).cast("int")).alias("found"))
             done = last if done is None else done.unionByName(last)
             break
-        counted = met(open_).withColumn("part", _part(F.col("x"), F.col("low"), F.col("high"), step % 2 == 1))
-        counted = counted.groupBy(*group, "rank", "below", "part").agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("low"), F.max("x").alias("high"))
-        running = Window.partitionBy(*group, "rank").orderBy("part")  # BUCKETS rows and a few
+        ranges = open_.select(*group, "below", "low", "high", "whole").distinct()  # ranks of one range are counted once
+        counted = met(ranges).withColumn("part", _part(F.col("x"), F.col("low"), F.col("high"), step % 2 == 1))
+        counted = counted.groupBy(*group, "below", "part").agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("low"), F.max("x").alias("high"))
+        running = Window.partitionBy(*group, "below").orderBy("part")  # BUCKETS rows and a few
         upto = counted.withColumn("upto", F.col("below") + F.sum("size").over(running))
-        chosen = upto.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("size")))
+        asked = open_.select(*[F.col(c).alias(f"r_{c}") for c in group], F.col("below").alias("r_below"), "rank")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in group])
+        inside = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("size"))
+        chosen = upto.join(asked, same & (F.col("below") == F.col("r_below")) & inside)
         single = (F.col("low") == F.col("high")) | (F.col("part") > BUCKETS)
         step += 1
         ranks = kept(chosen.select(*group, "rank", (F.col("upto") - F.col("size")).alias("below"), "size", "low", "high", F.when(single, F.col("low")).alias("found")), f"ranks-{step}")
         told = ranks.where("found is not null").select(*group, "rank", "found")
         done = told if done is None else done.unionByName(told)
     if done is None:
-        return df.sparkSession.createDataFrame([], values.select(*group, *[F.col("x").alias(f"q{j}") for j in range(len(shares))]).schema)
-    wanted = totals.select(*group, "n", F.inline(F.transform(F.array(*[F.struct(F.lit(j).alias("j"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for j, p in enumerate(shares)]), lambda s: s)))
+        return spark.createDataFrame([], values.select(*group, *[F.col("x").alias(f"q{j}") for j in range(len(shares))]).schema)
+    wanted = totals.select(*group, F.inline(F.transform(F.array(*[F.struct(F.lit(j).alias("j"), (F.lit(p) * (F.col("size") - 1)).alias("at")) for j, p in enumerate(shares)]), lambda s: s)))
     side = done.toDF(*[f"r_{c}" for c in group], "rank", "found")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in group])
     both = wanted.join(side, same & ((F.col("rank") == F.floor("at")) | (F.col("rank") == F.ceil("at"))))
