@@ -353,19 +353,23 @@ def key_sql(dataset: str, rows: str, *keys: str) -> str:
 
 
 HALVES = "(select o_orderkey // 2 lower_half, (o_orderkey + 1) // 2 upper_half, o_orderstatus from orders) h"
+# Orders by their keys in fours, in other fours and in other twos: any two of these leave some orders together.
+STEPS = "(select o_orderkey // 4 fours, (o_orderkey + 2) // 4 later_fours, (o_orderkey + 1) // 2 later_twos from orders) d"
 KEYS = (
     ("nation", "nation", "n_nationkey", "n_regionkey", "n_name"), ("events", "events", "event_id", "user_id", "event_type"), ("part", "part", "p_partkey", "p_name", "p_brand"),
     ("lineitem", "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_orderkey+l_partkey"), ("halves", HALVES, "lower_half", "upper_half", "o_orderstatus", "lower_half+upper_half"),
+    ("steps", STEPS, "fours", "later_fours", "later_twos", "fours+later_fours", "fours+later_twos", "later_fours+later_twos", "fours+later_fours+later_twos"),
 )
 
 
 @registered("select * from (" + " union all ".join(key_sql(*k) for k in KEYS) + """) k where "key" is not null""")
 def key_candidates(spark, sf_dir):
-    """The first key of each table; halves of order keys name an order as a pair only."""
+    """The first key of each table; halves of order keys name an order as a pair only, steps of them only as three."""
     t = {n: table(spark, sf_dir, n) for n in ("nation", "events", "part", "lineitem")}
     key = F.col("o_orderkey")
     t["halves"] = table(spark, sf_dir, "orders").select(F.floor(key / 2).alias("lower_half"), F.floor((key + 1) / 2).alias("upper_half"), "o_orderstatus")
-    found = [(n, "+".join(sorted(k))) for n, df in t.items() for k in profile.key_candidates(df)[:1]]
+    t["steps"] = table(spark, sf_dir, "orders").select(F.floor(key / 4).alias("fours"), F.floor((key + 2) / 4).alias("later_fours"), F.floor((key + 1) / 2).alias("later_twos"))
+    found = [(n, "+".join(sorted(k))) for n, df in t.items() for k in profile.key_candidates(df, most=3)[:1]]
     return spark.createDataFrame(found, "dataset string, key string")
 
 

@@ -364,10 +364,23 @@ def test_shadows_pii_and_keys(spark):
     assert profile.key_candidates(df) [0] == ["code"]
     pair = spark.createDataFrame([(i // 10, i % 10) for i in range(100)], "left_no int, right_no int")
     assert profile.key_candidates(pair) == [["left_no", "right_no"]]
+    three = spark.range(400).selectExpr("id div 4 a_no", "(id + 2) div 4 b_no", "(id + 1) div 2 c_no", "id % 7 few")
+    assert [sorted(k) for k in profile.key_candidates(three, most=3)] == [["a_no", "b_no", "c_no"]] and profile.key_candidates(three) == []
+    assert profile.key_candidates(three.unionByName(three.where("few = 1")), most=3) == []
     empty = profile.profile(df.limit(0))
     assert empty.count() == 7
 
 
+def test_rows_are_told_apart_by_digests_and_as_a_whole(spark, monkeypatch):
+    rows = [(1, "a", [1]), (1, "a", [1]), (None, "a", None), (None, "a", None), (2, None, [1, 2]), (2, None, [2, 1]), (None, None, None)]
+    df = spark.createDataFrame(rows, "k int, v string, xs array<int>")
+    for most in (500_000, 0):
+        monkeypatch.setattr(profile, "MOST_REPEATED", most)
+        assert tuple(profile.duplicate_ratio(df).first()) == (7, 5, 0.2857)
+    swapped = spark.createDataFrame([(None, 1), (1, None), (1, 1)], "a int, b int")
+    assert tuple(profile.duplicate_ratio(swapped).first()) == (3, 3, 0.0) and tuple(profile.duplicate_ratio(swapped.limit(0)).first()) == (0, 0, 0.0)
+
+
 def test_quartiles_and_counts_of_large_columns(spark):
     df = spark.range(50_000).selectExpr("id * 37 % 50000 a", "cast(id % 7 as double) + 0.25 b", "if(id % 10 = 0, null, pow(id, 2)) c", "if(id = 3, double('nan'), id / 8) d", "cast(id as string) e")
     exact = df.agg(*[F.percentile(x, F.array(*map(F.lit, profile.SHARES))).alias(x) for x in "abcd"]).first()
