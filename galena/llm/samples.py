@@ -19,8 +19,8 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """Documents (key, text) with their labels: all labelled rows that are not held out, or `most` of them by key hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, also: tuple[str, ...] = ()) -> DataFrame:
+    """Documents (key, text and the columns in also) with their labels: all labelled rows that are not held out, or `most` of them by key hash.
 
     Labels with null keys are left out; of several rows for a key the first by value counts. The sample of keys is
     bounded by `most`, which is what makes it safe to broadcast. Of several documents of a key the one of the smallest
@@ -29,8 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -
     names = [c for c in labels.columns if c != "key"]
     one = labels.where(F.col("key").isNotNull() & ~held_out(F.col("key"))).groupBy("key").agg(F.min(F.struct(*names)).alias("l")).select("key", "l.*")
     chosen = one.orderBy(F.xxhash64("key"), "key").limit(most)
-    found = docs.select("key", "text").join(F.broadcast(chosen), "key")
-    row = F.struct("text", *names)
+    found = docs.select("key", "text", *also).join(F.broadcast(chosen), "key")
+    row = F.struct("text", *also, *names)
     return found.groupBy("key").agg(F.min_by(row, F.xxhash64("text")).alias("r")).select("key", "r.*")
 
 
