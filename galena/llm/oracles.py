@@ -46,8 +46,9 @@ f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed
 s as (select *, [coalesce(n_symbols / nullif(word_chars, 0), 0), coalesce(n_dup_lines / nullif(n_lines, 0), 0), coalesce(n_repeat_words / nullif(n_words, 0), 0), coalesce(n_shouts / nullif(n_words, 0), 0)] x from f),
 y as (select *, list_transform(x, lambda v: len(list_filter({list(CUTOFFS)}, lambda c: v > c))) e from s),
 k as (select lang, quality, e from y join labels using (doc_id) where quality = 1 or (quality = 0 and not base_failed)),
-g as (select lang, count(*) n from k where quality = 1 group by 1),
-o as (select lang, case when n < ceil(ln({DELTA} / (select count(*) from g)) / ln(1 - {RISK})) then '*' else coalesce('=' || lang, '-') end part from g),
+g as (select *, coalesce(sum(n) over (order by n, lang nulls first rows between unbounded preceding and 1 preceding), 0) u, ceil(ln({DELTA} / count(*) over ()) / ln(1 - {RISK})) m
+ from (select lang, count(*) n from k where quality = 1 group by 1)),
+o as (select lang, case when n < m or (u > 0 and u < m) then '*' else coalesce('=' || lang, '-') end part from g),
 kp as (select part, quality, e from k join o on k.lang is not distinct from o.lang),
 c as (select part, r, count(*) caught, min(e[r]) - 1 lim from kp, range(1, 5) t(r) where quality = 0 and e[r] > 0 group by 1, 2),
 q as (select *, row_number() over (partition by part order by caught desc, r) place from c),

@@ -10,12 +10,13 @@ by exact binomial tests of "the rules turn away more than the allowed share of g
    only strata do (Bonferroni). With probability 1 - delta all strata keep to the risk at once.
 
 Strata with too few good labels to get any cutoff (see `least_labels`) are tested together, as one pooled stratum, whose
-risk is controlled as a whole. If that has too few, too, or a stratum no labels at all, nothing of it is rejected by rules.
+risk is controlled as a whole; if they have too few together, the next smallest strata join them until there are enough.
+If all strata together have too few, or a stratum no labels at all, nothing of it is rejected by rules.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import ceil, log, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ from galena.llm.shared import written
 #: The rules' statistics, all shares of 0 to 1, and the cutoffs that are tried for each.
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "shout_share")
 CUTOFFS = (0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
-#: Terms of a binomial sum that are added up; beyond it a bound from above takes its place.
-MOST_TERMS = 10_000
+#: Terms of a binomial sum that are added from the first one up; longer sums go from the last one down.
+UP_TERMS = 1_000
 #: Strata up to this number are broadcast; beyond it the join is left to Spark.
 SMALL_STRATA = 10_000
 WINDOW = 8
@@ -86,7 +87,13 @@ def shares() -> list[Column]:
 
 
 def binomial_at_most(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X of Binomial(n, p): the sum of its terms, each from the one before, in logarithms."""
+    """P(X <= k) for X of Binomial(n, p), 0 <= k <= n, at any size.
+
+    Up to UP_TERMS terms are added, each from the one before, in logarithms. Longer sums are taken from term k down, for k
+    up to the mean, where terms fall at least as fast as exp(-j^2 / (2 n p)): after 10 standard deviations the rest is
+    less than 1e-20 of the sum. Term k itself comes from the saddle point, without the cancelling of large factorials.
+    Above the mean (k > n p) long sums are no concern of a test and give 1.
+    """
     step = F.log(F.lit(p / (1 - p)))
     first = n.cast("double") * F.log(F.lit(1 - p))
     zero = F.struct(first.alias("term"), first.alias("sum"))
@@ -96,15 +103,32 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
         top = F.greatest(a["sum"], term)
         return F.struct(term.alias("term"), (top + F.log(F.exp(a["sum"] - top) + F.exp(term - top))).alias("sum"))
 
-    terms = F.when(k >= 1, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.exp(F.aggregate(terms, zero, add, lambda a: a["sum"]))
+    none = F.array().cast("array<bigint>")
+    terms = F.when((k >= 1) & (k <= UP_TERMS), F.sequence(F.lit(1).cast("bigint"), k)).otherwise(none)
+    up = F.exp(F.aggregate(terms, zero, add, lambda a: a["sum"]))
+
+    mean = n.cast("double") * p
+    reach = F.least(k, F.ceil(10 * F.sqrt(mean)) + 50).cast("bigint")
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def below(a: Column, j: Column) -> Column:
+        term = a["term"] * ((k - j + 1).cast("double") / (n - k + j).cast("double")) * ((1 - p) / p)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    under = F.when((k > UP_TERMS) & (k <= mean), F.sequence(F.lit(1).cast("bigint"), reach)).otherwise(none)
+    down = F.exp(log_term(k, n, p) + F.log(F.aggregate(under, one, below, lambda a: a["sum"])))
+    return F.when(k <= UP_TERMS, up).when(k > mean, 1.0).otherwise(down)
 
 
-def chernoff_at_most(k: Column, n: Column, p: float) -> Column:
-    """A bound from above on P(X <= k) for X of Binomial(n, p) with k <= n p."""
-    q = k / n
-    part = F.when(k > 0, q * F.log(q / p)).otherwise(0.0)
-    return F.exp(-n * (part + (1 - q) * F.log((1 - q) / (1 - p))))
+def log_term(k: Column, n: Column, p: float) -> Column:
+    """The logarithm of P(X = k) for X of Binomial(n, p), for 0 < k < n both well above 1, by Stirling's series around the
+    saddle point: the deviance of k and n - k from their means, and what the series leaves of three factorials."""
+    left = n - k
+    rest = lambda x: F.pow(12.0 * x, F.lit(-1)) - F.pow(360.0 * F.pow(x, F.lit(3)), F.lit(-1))
+    away = lambda x, m: x * F.log1p((x - m) / m)
+    deviance = away(k, n * p) + away(left, n * (1 - p))
+    size = F.log(k / n) + F.log(left.cast("double")) + log(2 * pi)
+    return rest(n) - rest(k) - rest(left) - deviance - size / 2
 
 
 def least_labels(strata: int, risk: float = RISK, delta: float = DELTA) -> int:
@@ -127,11 +151,15 @@ def levels() -> list[Column]:
 def parts_of(good: DataFrame, stratum: str, risk: float, delta: float) -> DataFrame:
     """stratum, part, level: which part each stratum with good labels is tested in ('*': pooled), and its share of delta.
 
+    Strata of too few labels are pooled, with the next smallest ones (ties: by name) while the pool has too few itself.
     The windows are over a row for each stratum.
     """
     every = Window.partitionBy()
+    smaller = every.orderBy("n", F.col(stratum).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     n = good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).withColumn("strata", F.count(F.lit(1)).over(every))
-    own = F.col("n") >= F.ceil(F.log(delta / F.col("strata")) / F.log(F.lit(1 - risk)))
+    n = n.withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+    least = F.ceil(F.log(delta / F.col("strata")) / F.log(F.lit(1 - risk)))
+    own = (F.col("n") >= least) & ((F.col("before") == 0) | (F.col("before") >= least))
     name = F.when(~own, "*").when(F.col(stratum).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(stratum).cast("string")))
     parted = n.withColumn("part", name)
     return parted.select(stratum, "part", (F.lit(delta) / F.size(F.collect_set("part").over(every))).alias("level"))
@@ -174,7 +202,7 @@ def choose_cutoffs(labelled: DataFrame, stratum: str, risk: float = RISK, delta:
     tried = path.join(cells.where("good"), "part").groupBy("part", "step", "limits", "level")
     tried = tried.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(away[0] | away[1] | away[2] | away[3], F.col("n"))), F.lit(0)).alias("k"))
     # At the mean and above the tail is over a third, and the test of no use.
-    tail = F.when(F.col("k") > F.col("n") * risk, 1.0).when(F.col("k") <= MOST_TERMS, binomial_at_most(F.col("k"), F.col("n"), risk)).otherwise(chernoff_at_most(F.col("k"), F.col("n"), risk))
+    tail = F.when(F.col("k") > F.col("n") * risk, 1.0).otherwise(binomial_at_most(F.col("k"), F.col("n"), risk))
     failed = F.min(F.when(tail > F.col("level"), F.col("step")))
     first = Window.partitionBy("part")
     allowed = tried.withColumn("failed", failed.over(first)).where(F.col("failed").isNull() | (F.col("step") < F.col("failed")))

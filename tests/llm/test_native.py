@@ -107,7 +107,12 @@ def test_least_labels_and_the_pooled_stratum(spark):
     assert limits_of(shares(spark, [good("a", least - 1), bad("a")])) == {"a": none}
     assert limits_of(shares(spark, [good("a", 200), good("b", 200), bad("a")])) == {"a": found, "b": found}
     own = quality_rules.least_labels(3)
-    assert limits_of(shares(spark, [good("a", own), good("b", 9), good(None, 9), bad("a"), bad("b")])) == {"a": found, "b": none, None: none}
+    # Two small strata have too few labels together, so the third joins them; a fourth stratum stays by itself.
+    assert limits_of(shares(spark, [good("a", own), good("b", 9), good(None, 9), bad("b")])) == {"a": found, "b": found, None: found}
+    own = quality_rules.least_labels(4)
+    rows = [good("a", own), good("c", own + 1), good("b", 9), good(None, 9)]
+    assert limits_of(shares(spark, [*rows, bad("b")])) == {"a": found, "c": none, "b": found, None: found}
+    assert limits_of(shares(spark, [*rows, bad("c")])) == {"a": none, "c": found, "b": none, None: none}
     assert limits_of(shares(spark, [good("a", least)])) == {"a": none}
     assert limits_of(shares(spark, [bad("a")])) == {}
 
@@ -117,23 +122,37 @@ def test_rules_act_on_the_given_tables(spark):
     assert 0 < got.where("not kept and not base_failed").count() < 100
 
 
-def test_bound_of_long_sums_is_above_the_tail(spark):
-    row = spark.createDataFrame([(900, 100_000)], "k bigint, n bigint")
-    tail, bound = row.select(quality_rules.binomial_at_most(F.col("k"), F.col("n"), 0.01), quality_rules.chernoff_at_most(F.col("k"), F.col("n"), 0.01)).first()
-    assert tail <= bound < 20 * tail
+def test_long_binomial_sums_are_exact(spark):
+    """Sums from the last term down, against plain sums of logarithms in full precision."""
+    from math import exp, fsum, lgamma, log
+
+    def tail(k, n, p):
+        top = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(max(0, k - 60_000), k + 1)]
+        return fsum(map(exp, top))
+
+    rows = [(1001, 110_000), (1100, 110_000), (9_900, 1_000_000), (99_000, 10_000_000), (1_000, 100_000), (5_000, 400_000)]
+    got = spark.createDataFrame(rows, "k bigint, n bigint").withColumn("p", quality_rules.binomial_at_most(F.col("k"), F.col("n"), 0.01)).collect()
+    for r in got:
+        want = tail(r.k, r.n, 0.01) if r.k <= r.n * 0.01 else 1.0
+        assert abs(r.p - want) <= 1e-6 * want, (r, want)
+    # Beyond what plain sums can hold: the tail at the mean is about a half, and the central limit theorem holds three deviations below.
+    huge = [(10**10, 10**12), (10**10 - 298_496, 10**12)]
+    mid, low = [r.p for r in spark.createDataFrame(huge, "k bigint, n bigint").select(quality_rules.binomial_at_most(F.col("k"), F.col("n"), 0.01).alias("p")).collect()]
+    assert abs(mid - 0.5) < 1e-4 and abs(low / 0.0013499 - 1) < 1e-3
 
 
 def test_cutoffs_at_a_thousand_labels(spark):
     # 1,000 good labels in each of two strata, none with symbols, junk of about a half: told apart without error.
     good = [(2 * i + j, lang, "") for i in range(1000) for j, lang in enumerate(("a", "b"))]
     junk = [(10_000 + i, "a", " ".join(f"w{k}" for k in range(40)) + " " + "#" * 100) for i in range(50)]
-    few = [(20_000, "c", junk[0][2]), (20_001, "c", "one word")]
+    few = [(20_000, "c", junk[0][2]), (20_001, "c", "one word"), (20_002, "d", junk[0][2])]
     docs = [(k, lang, text or " ".join(f"{lang}{(k * 7 + m) % 99991}" for m in range(30))) for k, lang, text in good + junk + few]
     labels = [(k, 1) for k, _, _ in good] + [(k, 0) for k, _, _ in junk] + [(20_001, 1)]
     got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(docs, "doc_id bigint, lang string, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
     assert all(got[k].kept for k, _, _ in good)
     assert not any(got[k].kept or got[k].base_failed for k, _, _ in junk)
-    assert got[20_000].kept  # a stratum with too few labels has no cutoff
+    assert not got[20_000].kept  # one good label: judged with the smallest stratum that has enough
+    assert got[20_002].kept  # a stratum without labels has no cutoff
 
 
 def test_op10_against_brute_force(spark, small_docs):
