@@ -41,6 +41,20 @@ def read_json_events(spark, sf_dir):
     return readers.read_json(spark, path).select("event_id", "user_id", "event_type", "value")
 
 
+@registered("""select case when event_type <> 'purchase' then event_id end event_id, case when event_type = 'purchase' then null when value < 50 then cast(props->'k' as varchar) else 'k' || cast(props->'k' as varchar) end k,
+case when event_type <> 'purchase' and value >= 50 then user_id * 2 end twice, case when event_type = 'purchase' then 'not json' end reason from events""")
+def read_drifting_events(spark, sf_dir):
+    """Events as lines of JSON that drift: a number becomes a text and a field comes in with higher values; lines of
+    purchases are cut off and stay as rows with a reason."""
+    path = work_folder(spark, "drifting") + ".jsonl"
+    own = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    early = F.format_string('{"event_id": %d, "k": %s}', "event_id", "k")
+    later = F.format_string('{"event_id": %d, "k": "k%s", "twice": %d}', F.col("event_id"), F.col("k"), F.col("user_id") * 2)
+    line = F.when(F.col("value") < 50, early).otherwise(later)
+    own.select(F.when(F.col("event_type") == "purchase", F.substring(line, 1, 9)).otherwise(line)).write.text(path)
+    return readers.read_drifting_json(spark, path).select("event_id", "k", "twice", F.col("_reason").alias("reason"))
+
+
 @registered("select c_custkey, c_name, c_mktsegment from customer")
 def read_remote_customer(spark, sf_dir):
     return readers.read_remote(spark, f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")

@@ -11,6 +11,7 @@ from galena.functions.types import SPARK_TYPES, logical_type
 
 # Words that read as true and as false.
 TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
+PLAIN_TYPES = ("BIGINT", "DOUBLE", "DECIMAL", "BOOLEAN", "STRING", "DATE", "TIMESTAMP")
 TABBED = (".tsv", ".txt")
 
 
@@ -34,6 +35,33 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (own.schema(schema) if schema else own).json(path)
 
 
+def read_drifting_json(spark: SparkSession, path: str) -> DataFrame:
+    """One document a line, of fields that come, go and change their types: a row for each line, with a column for each
+    field that any line has (by name), `_line` and `_reason`.
+
+    A field has the type that holds all its values; where there is none, and for objects and lists, it is told as text. A
+    line that is no JSON, or no object, has nulls and its `_reason` (not json, not an object); blank lines have `blank`.
+    Names that are in use or differ in case only have underscores after them; fields with both kinds of quotes in the name
+    are left to `_line`. What is gathered by the driver is a row for each field.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("_line"))
+    doc = F.try_parse_json("_line")
+    broken = F.when(F.trim("_line") == "", "blank").when(doc.isNull(), "not json").when(~F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), "not an object")
+    told = lines.select("_line", doc.alias("_doc"), broken.alias("_reason"))
+    fields = told.where("_reason is null").lateralJoin(spark.tvf.variant_explode(F.col("_doc").outer())).groupBy("key").agg(F.schema_of_variant_agg("value").alias("type"))
+    columns, taken = [], {"_line", "_reason", "_doc"}
+    for name, kind in sorted(map(tuple, fields.where("key is not null").collect())):
+        if not {"'", '"'} <= set(name):
+            quote = '"' if "'" in name else "'"
+            own = name
+            while own.lower() in taken:
+                own += "_"
+            taken.add(own.lower())
+            plain = kind.split("(")[0] in PLAIN_TYPES
+            columns.append(F.try_variant_get("_doc", f"$[{quote}{name}{quote}]", kind if plain else "string").alias(own))
+    return told.select(*columns, "_line", "_reason")
+
+
 def read_remote(spark: SparkSession, path: str) -> DataFrame:
     """A file or folder of any store that Spark reaches (s3a://, abfss://, file:), by the ending of its path."""
     kind = _kind(path)

@@ -508,3 +508,17 @@ def test_streams(spark, tmp_path):
     once.processAllAvailable()
     once.stop()
     assert spark.sql("select count(*) n from once").first().n == 3
+
+
+def test_drifting_json_keeps_every_line(spark, tmp_path):
+    lines = ['{"a": 1, "b\'c": [1, 2], "_LINE": 3}', "", '{"a": 2.5, "A": true, "o": {"x": null}}', "[1]", '{"a"', "{}", "null", '{"t": "x"}', '{"t": 7}']
+    (tmp_path / "d.jsonl").write_text("\n".join(lines) + "\n")
+    got = readers.read_drifting_json(spark, f"{tmp_path}/d.jsonl")
+    assert sorted(got.columns) == sorted(["A", "a_", "b'c", "o", "t", "_LINE_", "_line", "_reason"])
+    rows = {r["_line"]: r for r in got.collect()}
+    assert len(rows) == len(lines) and {k: r["_reason"] for k, r in rows.items() if r["_reason"]} == {"": "blank", "[1]": "not an object", '{"a"': "not json", "null": "not an object"}
+    first, third = rows[lines[0]], rows[lines[2]]
+    assert (float(first["a_"]), first["b'c"], first["_LINE_"]) == (1.0, "[1,2]", 3) and (float(third["a_"]), third["A"], third["o"]) == (2.5, True, '{"x":null}')
+    assert [rows[x]["t"] for x in lines[-2:]] == ["x", "7"]
+    (tmp_path / "e.jsonl").write_text("")
+    assert readers.read_drifting_json(spark, f"{tmp_path}/e.jsonl").columns == ["_line", "_reason"]
