@@ -463,6 +463,33 @@ def test_relationship_names():
     assert all(relate.name_affinity(f"{noun}_id", table, "x") == 1.0 for noun, table in (("city", "cities"), ("box", "boxes"), ("order", "orders"), ("class", "class"), ("class", "classes")))
 
 
+def test_sketches_leave_only_pairs_that_may_hold(spark, monkeypatch):
+    """Ten tables that may refer to ten parents, of which three do: one wholly, one for exactly the least share, one that is
+    small beside its parent."""
+    key = lambda n, start=0: spark.range(start, start + n)
+    parents = {f"p{i}": key(60_000, 100_000 * i).select(F.col("id").alias("item_id")) for i in range(10)}
+    shares = {0: key(30_000), 1: key(40_000, 100_000 + 30_000), 2: key(8, 200_000)}
+    children = {f"c{i}": shares.get(i, key(20_000, 10_000_000)).select(F.col("id").alias("item_id"), F.lit("x").alias("note")) for i in range(10)}
+    compared = []
+    possible = relate.possible_pairs
+    monkeypatch.setattr(relate, "possible_pairs", lambda d, p: compared.append((len(p), possible(d, p))) or compared[-1][1])
+    found = relate.infer_relationships(parents | children, {p: ["item_id"] for p in parents}, {}).where("from_dataset like 'c%'").collect()
+    assert {(r.from_dataset, r.to_dataset, r.overlap) for r in found} == {("c0", "p0", 1.0), ("c1", "p1", 0.75), ("c2", "p2", 1.0)}
+    ((before, after),) = compared
+    left = {(child, parent) for child, _, parent, *_ in after}
+    assert before == 190 and {("c0", "p0"), ("c1", "p1"), ("c2", "p2")} <= left
+    # Eight values say nothing beside a parent of 60,000, so that child is compared with every parent; no other pair is.
+    assert left == {("c0", "p0"), ("c1", "p1")} | {("c2", f"p{i}") for i in range(10)}
+
+
+def test_sketched_pairs_of_empty_columns_and_ties(spark):
+    none = spark.createDataFrame([(None,)], "item_id string")
+    own = {"a": none, "b": spark.createDataFrame([("",), (" x",)], "item_id string"), "c": spark.createDataFrame([("x",), ("",), ("x",)], "item_id string"), "d": none.limit(0)}
+    found = relate.infer_relationships(own, {d: ["item_id"] for d in own}, {}).collect()
+    assert {(r.from_dataset, r.to_dataset, r.overlap) for r in found} == {("b", "c", 1.0), ("c", "b", 1.0)}
+    assert relate.infer_relationships({"a": none}, {"a": ["item_id"]}, {}).count() == 0
+
+
 def test_readers_and_conform(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name\n1,x\n2,y\n")
     (tmp_path / "a.tsv").write_text("id\tname\n1\tx,z\n")
