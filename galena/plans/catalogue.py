@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.functions import masks
+from galena.functions import masks, names
 from galena.operators import classify, history, ingest, profile, quality, refine, relate, summarise
 from galena.plans import lineage, pages, runs, tiles
 from galena.plans.metrics import Attribute, Entity, Filter, Join, Measure, MetricQuery, Model, Refused, dimension_values, metric_query
@@ -325,17 +325,24 @@ def profile_shadow(spark, sf_dir):
     return profile.shadow_types(own.select("amount_text", "order_date", "status", "batch_id"))
 
 
-def pii_sql(column: str) -> str:
-    """One row: the kind of personal data that a column of PEOPLE shows by its values and by its name."""
+def pii_sql(column: str, rows: str | None = None) -> str:
+    """One row: the kind of personal data that a text column of `rows` (PEOPLE) shows by its values and by its name."""
     by_name = profile.pii_of_name(column)
     told = f"'{by_name}'" if by_name else "cast(null as varchar)"
-    forms = " ".join(f"when avg(regexp_matches(v, '{form.replace('(?!' + chr(92) + 'd{4}-' + chr(92) + 'd{2}-' + chr(92) + 'd{2}$)', '')}')::int) >= {profile.VALUE_SHARE} then '{kind}'" for kind, form in profile.PII_FORMS)
-    return f"""select '{column}' as "column", case {forms} end by_value, {told} by_name from (select nullif(trim({column}), '') v from {PEOPLE}) x"""
+    not_a_date = r"(?!\d{4}-\d{2}-\d{2}$)"  # looking ahead is a condition of its own in SQL
+    meets = lambda form: f"(regexp_matches(v, '{form.replace(not_a_date, '')}'){r""" and not regexp_matches(v, '^\d{4}-\d{2}-\d{2}$')""" if not_a_date in form else ""})"
+    forms = " ".join(f"when avg({meets(form)}::int) >= {profile.VALUE_SHARE} then '{kind}'" for kind, form in profile.PII_FORMS)
+    return f"""select '{column}' as "column", case {forms} end by_value, {told} by_name from (select nullif(trim({column}), '') v from {rows or PEOPLE}) x"""
 
 
-@registered(f"""with k as ({" union all ".join(map(pii_sql, ("full_name", "email", "phone", "ip")))})
-select "column", coalesce(by_value, by_name) kind, cast(case when by_value = by_name then 0.97 when by_value is not null and by_name is not null then 0.8 when by_value is not null then 0.85 when by_name in {profile.NAME_ALONE} then 0.6 else 0.4 end as double) confidence,
-case when by_value = by_name then 'name+value' when by_value is not null then 'value' else 'name' end basis from k where coalesce(by_value, by_name) is not null""")
+def pii_told(names: str) -> str:
+    """Kind, confidence and basis as columns of these names, of rows (by_value, by_name)."""
+    kind, sure, basis = names.split()
+    return f"""coalesce(by_value, by_name) {kind}, cast(case when by_value = by_name then 0.97 when by_value is not null and by_name is not null then 0.8 when by_value is not null then 0.85 when by_name in {profile.NAME_ALONE} then 0.6 when by_name is not null then 0.4 end as double) {sure},
+case when by_value = by_name then 'name+value' when by_value is not null then 'value' when by_name is not null then 'name' end {basis}"""
+
+
+@registered(f"""with k as ({" union all ".join(map(pii_sql, ("full_name", "email", "phone", "ip")))}) select "column", {pii_told("kind confidence basis")} from k where coalesce(by_value, by_name) is not null""")
 def profile_pii(spark, sf_dir):
     return profile.detect_pii(people(spark, sf_dir).select("full_name", "email", "phone", "ip"))
 
@@ -373,10 +380,33 @@ def key_candidates(spark, sf_dir):
     return spark.createDataFrame(found, "dataset string, key string")
 
 
-@registered()
+#: What the extract is made of: safe names, and the logical type of each column.
+EXTRACT = f"""(select "Order ID" order_id, * exclude ("Order ID") from {MESSY}) x"""
+EXTRACT_KINDS = {"order_id": "integer", "customer_key": "integer", "status": "string", "amount_text": "string", "total_price": "float", "order_date": "string", "batch_id": "string"}
+
+
+def column_facts(rows: str, kinds: dict[str, str]) -> str:
+    """Counts, text statistics and shadow types of the columns of `rows`, a row each; shadow types of texts only."""
+    texts = [c for c, k in kinds.items() if k == "string"]
+    per = lambda template, columns: " union all ".join(template.format(c=c, t=rows) for c in columns)
+    none = """select null "column", null mean_length, null max_length, null blanks, null smallest, null largest"""
+    shadows = " union all ".join(shadow_sql(c, rows) for c in texts) or """select null "column", null shadow_type"""
+    return f"""(select * from ({per(COUNTS, kinds)}) c left join ({per(TEXTS, texts) or none}) t using ("column") left join ({shadows}) s using ("column")) f"""
+
+
+PROFILED = """mean stddev p25 p50 p75 mean_length""".split()
+
+
+@registered(f"""select case "column" when 'order_id' then 'Order ID' else "column" end "column", position, logical_type, true distinct_is_exact, f.* exclude ("column"),
+"min", "max", mean, stddev, p25, p50, p75, decimal_places, cast(null as varchar) "first", cast(null as varchar) "last", {pii_told("pii_kind pii_confidence pii_basis")}
+from {column_facts(EXTRACT, EXTRACT_KINDS)} join (values {", ".join(f"('{c}', {i}, '{k}')" for i, (c, k) in enumerate(EXTRACT_KINDS.items()))}) k("column", position, logical_type) using ("column")
+left join ({" union all ".join(NUMBERS.format(c=c, t=EXTRACT) for c, k in EXTRACT_KINDS.items() if k in ("integer", "float"))}) n using ("column")
+left join (select unnest(['order_id', 'customer_key', 'total_price']) "column", unnest([0, 0, (select max(length(rtrim(split_part(cast(o_totalprice as varchar), '.', 2), '0'))) from orders)]) decimal_places) d using ("column")
+left join ({" union all ".join(pii_sql(c, EXTRACT) for c, k in EXTRACT_KINDS.items() if k == "string")}) p using ("column")""")
 def profile_orders(spark, sf_dir):
     """The whole profile of the messy extract, top values left out."""
-    return profile.profile(messy_orders(spark, sf_dir)).drop("top_values")
+    out = profile.profile(messy_orders(spark, sf_dir)).drop("top_values")
+    return out.withColumns({c: F.round(c, 4 if c in ("mean", "stddev") else 6) for c in PROFILED})
 
 
 def renamed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -408,7 +438,38 @@ def relationships(spark, sf_dir):
     return relate.infer_relationships(renamed(spark, sf_dir), keys, {}, declared, rejected)
 
 
-@registered("""select * from (values ('orders_raw', 'bronze'), ('customer', 'silver'), ('sales_summary', 'gold'), ('unprofiled', 'bronze')) t(dataset, layer)""")
+MONTHLY = """(select date_trunc('month', o_orderdate) "month", o_orderstatus status, sum(o_totalprice) total_revenue, count(*) order_count, avg(o_totalprice) avg_order_value from orders group by 1, 2) g"""
+MONTHLY_KINDS = {"month": "timestamp", "status": "string", "total_revenue": "float", "order_count": "integer", "avg_order_value": "float"}
+CUSTOMER_KINDS = {"c_custkey": "integer", "c_name": "string", "c_nationkey": "integer", "c_acctbal": "float", "c_mktsegment": "string"}
+
+
+def layer_sql(dataset: str, rows: str, kinds: dict[str, str], *keys: str) -> str:
+    """dataset, layer: the weights of all evidence that holds, added up for each layer."""
+    of = lambda test: "(" + ", ".join(f"'{c}'" for c in ("", *kinds) if not c or test(c)) + ")"
+    number = lambda c: kinds[c] in ("integer", "float", "decimal")
+    measure = lambda c: number(c) and names.is_measure(c)
+    grain = lambda c: names.is_grain(c) or kinds[c] in ("date", "timestamp")
+    key_like = lambda c: kinds[c] in classify.KEY_TYPES and not names.is_measure(c)
+    given = {
+        "types_missing_many": ("bronze", "mistyped >= 0.4 * columns"), "types_missing": ("bronze", "mistyped >= 0.2 * columns and mistyped < 0.4 * columns"), "types_applied": ("silver", "mistyped = 0"),
+        "sparse": ("bronze", "is_sparse"), "full": ("silver", "not is_sparse and mean_null <= 0.05"), "duplicates_many": ("bronze", "copies >= 0.05"), "duplicates": ("bronze", "copies >= 0.01 and copies < 0.05"),
+        "no_duplicates": ("silver", "copies < 0.01 and n > 50"), "key_exact": ("silver", '"key" is not null'), "no_key": ("bronze", '"key" is null'), "blanks": ("bronze", "blank > 0"), "metadata": ("bronze", "audit > 0"),
+        "aggregated": ("gold", "is_summary"), "wide": ("gold", "not is_summary and measures >= 2 and columns >= 12"), "normalised": ("silver", "small >= 2 and n > 100 and measures = 0"),
+        "naming": (names.layer_of_name(dataset), "true"),
+    }
+    total = lambda layer: " + ".join(f"{classify.WEIGHTS[w]} * ({when})::int" for w, (own, when) in given.items() if own == layer)
+    return f"""select '{dataset}' dataset, case when {total("bronze")} > {total("silver")} then 'bronze' when {total("gold") or 0} > {classify.WEIGHTS["naming"]} then 'gold' else 'silver' end layer
+from (select *, mean_null >= 0.25 or sparse >= greatest(2, columns // 4) is_sparse, measures >= 2 and grains > 0 and identifiers = 0 is_summary from (select count(*) columns, max("rows") n,
+count(*) filter (where shadow_type is not null) mistyped, avg(null_pct) mean_null, count(*) filter (where null_pct > 0.6) sparse, count(*) filter (where blanks > 0) blank, count(*) filter (where "column" in {of(names.is_audit)}) audit,
+count(*) filter (where "column" in {of(measure)}) measures, count(*) filter (where "column" in {of(grain)}) grains, count(*) filter (where distinct_count between 2 and 12) small,
+count(*) filter (where is_unique and "column" in {of(key_like)} and coalesce(shadow_type, '') not in ('integer', 'float', 'decimal')) identifiers from {column_facts(rows, kinds)}),
+(select round(1 - (select count(*) from (select distinct * from {rows})) / count(*), 4) copies from {rows}), ({key_sql(dataset, rows, *keys)}))"""
+
+
+@registered(" union all ".join([
+    layer_sql("orders_raw", EXTRACT, EXTRACT_KINDS, "order_id", "order_id+batch_id"), layer_sql("customer", "customer", CUSTOMER_KINDS, "c_custkey"),
+    layer_sql("sales_summary", MONTHLY, MONTHLY_KINDS, "month+status"), "select 'unprofiled', 'bronze'",
+]))
 def classify_layers(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     monthly = orders.groupBy(F.date_trunc("month", "o_orderdate").alias("month"), F.col("o_orderstatus").alias("status"))

@@ -24,11 +24,7 @@ def plain(columns, rows):
     return [columns[i] for i in order], sorted(([own(r[i]) for i in order] for r in rows), key=str)
 
 
-#: Twins that are written for the larger tables: what they state does not hold at this size.
-LARGER = {"classify_layers"}
-
-
-@pytest.mark.parametrize("name", [n for n in catalogue.ORACLE_SQL if n not in LARGER])
+@pytest.mark.parametrize("name", list(catalogue.ORACLE_SQL))
 def test_query(spark, oracle, name):
     got = catalogue.QUERIES[name](spark, SF)
     want = oracle.sql(catalogue.ORACLE_SQL[name])
