@@ -767,6 +767,14 @@ def freshness(spark, sf_dir):
     return runs.freshness(finished, plans, "2024-01-30 12:00:00").select("connection", "state")
 
 
+@registered(f"""with recursive w as (select * from {EDGES} where st = 'nation' and sc = 3 union select e.* from {EDGES} join w on e.st = w.tt and e.sc = w.tc)
+select distinct 'table' kind, tt "name" from w union all select distinct 'unknown effect', event_type from events where event_type <> 'key'""")
+def lineage_impact(spark, sf_dir):
+    """The tables that a change of nation 3 reaches, and the steps (kinds of events) that declare no edges."""
+    steps = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).union(spark.createDataFrame([("key",)], "name string"))
+    return lineage.impact(record_edges(spark, sf_dir), steps, "nation", "3")
+
+
 # --- sources ------------------------------------------------------------------------------------------------------------
 
 @registered(f"""select "Order ID" order_id, cast({AMOUNT} as double) amount, cast(order_date as date) order_date from {MESSY}""")
