@@ -116,13 +116,13 @@ def freshness(runs: DataFrame, schedules: DataFrame, as_of) -> DataFrame:
     """connection, finished_at, age_seconds, state (fresh, late, stale, unknown), reason.
 
     runs: connection, status, finished_at. schedules: connection, interval_seconds, enabled. Late beyond 1.5 intervals,
-    stale beyond 2; a time in the future is no evidence.
+    stale beyond 2; a time in the future is no evidence. Ages are whole seconds that have passed.
     """
     at = F.lit(as_of).cast("timestamp")
     good = runs.where((F.col("status") == "succeeded") & F.col("finished_at").isNotNull())
     last = good.groupBy("connection").agg(F.max("finished_at").alias("finished_at"))
     own = schedules.select("connection", "interval_seconds", "enabled").join(last, "connection", "full")
-    age = F.unix_seconds(at) - F.unix_seconds("finished_at")
+    age = F.floor((F.unix_micros(at) - F.unix_micros("finished_at")) / 1_000_000)
     none = F.col("finished_at").isNull()
     planned = F.coalesce("enabled", F.lit(False)) & (F.col("interval_seconds") > 0)
     state = F.when(none | (age < 0) | ~F.coalesce(planned, F.lit(False)), "unknown").when(age > 2 * F.col("interval_seconds"), "stale").when(age > 1.5 * F.col("interval_seconds"), "late").otherwise("fresh")

@@ -344,6 +344,15 @@ def test_freshness_thresholds_are_strict(spark):
     assert {r.connection: r.state for r in got.collect()} == {"fresh": "fresh", "late": "late", "late2": "late", "stale": "stale", "future": "unknown", "failed": "unknown", "never": "unknown", "off": "unknown"}
 
 
+def test_freshness_counts_whole_seconds_that_have_passed(spark):
+    at = datetime.datetime(2026, 1, 2)
+    ages = {"fresh": 150.9, "late": 151.0, "late2": 200.5, "stale": 201.0, "future": -0.5}
+    done = [(c, "succeeded", at - datetime.timedelta(seconds=s)) for c, s in ages.items()]
+    plans = [(c, 100, True) for c in ages]
+    got = runs.freshness(spark.createDataFrame(done, "connection string, status string, finished_at timestamp"), spark.createDataFrame(plans, "connection string, interval_seconds int, enabled boolean"), at)
+    assert {r.connection: (r.state, r.age_seconds) for r in got.collect()} == {"fresh": ("fresh", 150), "late": ("late", 151), "late2": ("late", 200), "stale": ("stale", 201), "future": ("unknown", -1)}
+
+
 def test_medallion_run(spark, tmp_path):
     rows = [(i % 500, f"  {i % 3} ", "N/A" if i == 7 else f"${i % 50}.25", datetime.datetime(2024, 1 + i % 3, 1), "b1") for i in range(540)]
     df = spark.createDataFrame(rows, "`Order ID` int, status string, amount_usd string, order_date timestamp, batch_id string")
