@@ -404,6 +404,14 @@ def test_quartiles_and_counts_of_large_columns(spark):
     assert len(none) == 5 and all(r.rows == 0 and r.p50 is None for r in none)
 
 
+def test_columns_of_many_values_are_counted_exactly(spark):
+    df = spark.range(30_000).selectExpr("id % 20000 a", "if(id % 3 = 0, null, cast(id % 9001 as string)) b", "id % 7 few", "id key")
+    for details in (True, False):
+        got = {r.column: r for r in profile.profile(df, 1_000, details).collect()}
+        assert {c: (r.distinct_count, r.is_unique) for c, r in got.items()} == {"a": (20_000, False), "b": (9_001, False), "few": (7, False), "key": (30_000, True)}
+        assert all(r.distinct_is_exact for r in got.values())
+
+
 def test_selection_of_ranks(spark, monkeypatch):
     # Values over all magnitudes, ties, both infinities, NaN, a group of one, a null group, a column without values.
     wide = spark.range(3_000).selectExpr("if(id % 3 = 0, null, id % 3) g", "case when id = 7 then double('inf') when id = 8 then double('-inf') when id % 5 = 0 then 0 else (if(id % 2 = 0, -1, 1)) * pow(10, (id * 7919) % 600 - 300) end x", "id % 4 y", "cast(null as int) z")
