@@ -499,6 +499,19 @@ def test_sketches_leave_only_pairs_that_may_hold(spark, monkeypatch):
     assert left == {("c0", "p0"), ("c1", "p1")} | {("c2", f"p{i}") for i in range(10)}
 
 
+def test_values_are_compared_in_tasks_of_bounded_size(spark, monkeypatch):
+    """The same shares, whatever the number of tasks and words of flags; a task gets its part of the values."""
+    own = {"orders": spark.range(9_000).selectExpr("id order_id", "cast(id % 400 as string) customer_id"), "customers": spark.range(100, 3_100).selectExpr("id customer_id"), "lines": spark.range(20_000).selectExpr("id div 2 order_id")}
+    keys = {"orders": ["order_id"], "customers": ["customer_id"]}
+    columns = [("customers", "customer_id"), ("lines", "order_id"), ("orders", "customer_id"), ("orders", "order_id")]
+    for values, flags in ((250_000, 62), (500, 1)):
+        monkeypatch.setattr(relate, "VALUES", values), monkeypatch.setattr(relate, "FLAGS", flags)
+        found = relate.infer_relationships(own, keys, {}).collect()
+        assert [(r.from_dataset, r.from_column, r.to_dataset, r.overlap) for r in found] == [("lines", "order_id", "orders", 0.9), ("orders", "customer_id", "customers", 0.75)]
+        plan = relate.shared_values(own, columns, set(), 22_400)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and ("45)" in plan or values > 500)
+
+
 def test_sketched_pairs_of_empty_columns_and_ties(spark):
     none = spark.createDataFrame([(None,)], "item_id string")
     own = {"a": none, "b": spark.createDataFrame([("",), (" x",)], "item_id string"), "c": spark.createDataFrame([("x",), ("",), ("x",)], "item_id string"), "d": none.limit(0)}
