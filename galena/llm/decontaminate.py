@@ -2,8 +2,8 @@
 
 Words are hashed, k-grams of words are hashed, and of each window of neighbouring k-grams the smallest hash is kept: a
 fingerprint. A span of `span` words has span - k + 1 k-grams, one window, so two texts that share the span share its
-fingerprint; runs of windows with one minimum give it once. Documents' and items' fingerprints are joined, and each hit
-is extended to the whole span by the spans' own hashes. Items shorter than a span are one window of their own length,
+fingerprint; runs of windows with one minimum give it once. Documents' and items' fingerprints are joined, and only what
+meets is extended to the whole span by the spans' own hashes. Items shorter than a span are one window of their own length,
 for which every k-gram (k: that length) is a fingerprint.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.exprs import MARKS, covered, grams, let, low, upto, words
+from galena.llm.exprs import LOWER, MARKS, UPPER, covered, grams, least_of, let, upto, words
 from galena.llm.shared import written
 
 SPAN, K = 13, 5
@@ -21,37 +21,36 @@ SMALL_WINDOWS = 200_000
 
 
 def hashed_words(text: Column) -> Column:
-    return F.transform(words(text, MARKS), lambda w: F.xxhash64(low(w)))
+    return F.transform(words(F.translate(text, UPPER, LOWER), MARKS), lambda w: F.xxhash64(w))
 
 
 def fingerprints(h: Column, span: int, k: int) -> Column:
-    """Structs (print, start, spans): each minimum k-gram hash with the run of windows that it is the minimum of.
+    """Structs (print, start, h): each minimum k-gram hash with the run of windows that it is the minimum of.
 
-    start is the 1-based place of the run's first window, spans the hashes of the windows' whole spans.
+    start is the 1-based place of the run's first window, h the word hashes that the run's spans are made of.
     """
     window = span - k + 1
 
-    def runs(least: Column, whole: Column) -> Column:
+    def runs(least: Column) -> Column:
         starts = F.filter(upto(F.size(least)), lambda i: (i == 1) | (F.get(least, i - 1) != F.get(least, F.greatest(i - 2, F.lit(0)))))
         run = lambda s: F.transform(
             s,
             lambda i, j: F.struct(
                 F.get(least, i - 1).alias("print"),
                 i.alias("start"),
-                F.slice(whole, i, F.coalesce(F.get(s, j + 1), F.size(least) + 1) - i).alias("spans"),
+                F.slice(h, i, F.coalesce(F.get(s, j + 1), F.size(least) + 1) - i + (span - 1)).alias("h"),
             ),
         )
         return let(starts, run)
 
-    least = lambda g: F.transform(upto(F.size(g) - (window - 1)), lambda i: F.array_min(F.slice(g, i, window)))
-    return let(grams(h, span), lambda whole: let(grams(h, k), lambda g: let(least(g), lambda m: runs(m, whole))))
+    return let(grams(h, k), lambda g: let(least_of(g, window), runs))
 
 
 def windows_of(items: DataFrame, span: int, k: int) -> DataFrame:
     """The items' windows: item, len, print and whole (hash of the window's words). Items without words have none."""
     h = items.select("item", hashed_words(F.col("text")).alias("h")).where(F.size("h") > 0)
     long = h.where(F.size("h") >= span).select("item", F.lit(span).alias("len"), F.explode(fingerprints(F.col("h"), span, k)).alias("f"))
-    long = long.select("item", "len", "f.print", F.explode("f.spans").alias("whole"))
+    long = long.select("item", "len", "f.print", F.explode(grams(F.col("f.h"), span)).alias("whole"))
     short = h.where(F.size("h") < span)
     short = short.select("item", F.size("h").alias("len"), *[F.xxhash64(F.size("h"), "h").alias(c) for c in ("print", "whole")])
     return long.unionByName(short).distinct()
@@ -60,15 +59,17 @@ def windows_of(items: DataFrame, span: int, k: int) -> DataFrame:
 def find_hits(docs: DataFrame, windows: DataFrame, lengths: list[int], span: int, k: int, small: bool) -> DataFrame:
     """For each document a row with n_words, and one for each benchmark window found: len, whole, starts."""
 
-    def hit(print_: Column, start: Column, spans: Column, n: int) -> Column:
-        return F.struct(print_.alias("print"), start.alias("start"), spans.alias("spans"), F.lit(n).alias("len"), F.lit(None).cast("int").alias("n_words"))
+    none = F.array().cast("array<bigint>")
+
+    def hit(print_: Column, start: Column, h: Column, n: int) -> Column:
+        return F.struct(print_.alias("print"), start.alias("start"), h.alias("h"), F.lit(n).alias("len"), F.lit(None).cast("int").alias("n_words"))
 
     def rows(h: Column) -> Column:
-        own = F.array(F.struct(F.xxhash64("key", "digest").alias("print"), F.lit(0).alias("start"), F.array().cast("array<bigint>").alias("spans"), F.lit(0).alias("len"), F.size(h).alias("n_words")))
+        own = F.array(F.struct(F.xxhash64("key", "digest").alias("print"), F.lit(0).alias("start"), none.alias("h"), F.lit(0).alias("len"), F.size(h).alias("n_words")))
         found = lambda n: (
-            F.transform(fingerprints(h, span, k), lambda f: hit(f["print"], f["start"], f["spans"], span))
+            F.transform(fingerprints(h, span, k), lambda f: hit(f["print"], f["start"], f["h"], span))
             if n == span
-            else F.transform(grams(h, n), lambda g, i: hit(g, i + 1, F.array(g), n))
+            else F.transform(grams(h, n), lambda g, i: hit(g, i + 1, none, n))
         )
         parts = [own, *map(found, lengths)]
         return F.concat(*parts)
@@ -76,9 +77,11 @@ def find_hits(docs: DataFrame, windows: DataFrame, lengths: list[int], span: int
     prints = docs.select("key", "digest", F.explode(let(hashed_words(F.col("text")), rows)).alias("f")).select("key", "digest", "f.*")
     known = windows.select(F.col("print").alias("known"), F.col("len").alias("known_len"), "whole").distinct()
     both = prints.join(F.broadcast(known) if small else known, (F.col("print") == F.col("known")) & (F.col("len") == F.col("known_len")), "left")
-    found = F.array_contains("spans", F.coalesce("whole", F.lit(0)))
+    # Whole spans are hashed where the join has met; a short item's window is its print.
+    spans = F.when(F.col("len") == span, grams(F.col("h"), span)).otherwise(F.array("print"))
+    found = F.array_contains(spans, F.coalesce("whole", F.lit(0)))
     both = both.where(F.col("n_words").isNotNull() | (F.col("whole").isNotNull() & found))
-    starts = F.transform(F.filter(upto(F.size("spans")), lambda i: F.get("spans", i - 1) == F.col("whole")), lambda i: F.col("start") + i - 1)
+    starts = let(spans, lambda s: F.transform(F.filter(upto(F.size(s)), lambda i: F.get(s, i - 1) == F.col("whole")), lambda i: F.col("start") + i - 1))
     return both.select("key", "digest", "n_words", "len", F.when(F.col("n_words").isNull(), F.col("whole")).alias("whole"), F.when(F.col("n_words").isNull(), starts).alias("starts"))
 
 

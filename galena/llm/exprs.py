@@ -34,8 +34,24 @@ def upto(last: Column) -> Column:
 
 
 def grams(hashes: Column, size: int) -> Column:
-    """A hash for each run of `size` neighbours, in order."""
-    return F.transform(upto(F.size(hashes) - (size - 1)), lambda i: F.xxhash64(F.lit(size), F.slice(hashes, i, size)))
+    """A hash for each run of `size` neighbours, in order. That of an array is that of its values, one after the other; few
+    are taken without an array."""
+    own = lambda i: [F.get(hashes, i + (j - 1)) for j in range(size)] if size <= 8 else [F.slice(hashes, i, size)]
+    return F.transform(upto(F.size(hashes) - (size - 1)), lambda i: F.xxhash64(F.lit(size), *own(i)))
+
+
+def least_of(values: Column, size: int) -> Column:
+    """The least of each run of `size` neighbours, in order, by runs of doubling length; empty if there is no such run."""
+
+    def shorter(a: Column, by: int) -> Column:
+        many = F.greatest(F.size(a) - by, F.lit(0))
+        return F.zip_with(F.slice(a, 1, many), F.slice(a, by + 1, many), lambda x, y: F.least(x, y))
+
+    def step(a: Column, held: int) -> Column:
+        by = min(held, size - held)
+        return let(shorter(a, by), lambda b: step(b, held + by)) if by else a
+
+    return step(values, 1)
 
 
 def covered(spans: Column) -> Column:

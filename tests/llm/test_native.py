@@ -175,3 +175,22 @@ def test_op10_messy_rows_short_and_periodic_items(spark, messy):
     decontaminate.SMALL_WINDOWS = 200_000
     assert decontaminate.decontaminate(messy.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.decontaminate(messy, bench.limit(0)).collect())
+
+
+def test_fingerprints_carry_words_and_hash_no_whole_spans(spark):
+    """Runs of windows by their least gram, with the words that their spans are made of; spans are hashed after the join."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from galena.llm.exprs import least_of
+
+    rand = random.Random(3)
+    lists = [[rand.randrange(50) for _ in range(n)] for n in (0, 1, 8, 9, 10, 40)]
+    rows = spark.createDataFrame([(x,) for x in lists], "h array<bigint>")
+    for size in (1, 5, 9):
+        assert [r.m for r in rows.select(least_of(F.col("h"), size).alias("m")).collect()] == [[min(x[i : i + size]) for i in range(len(x) - size + 1)] for x in lists]
+    for x, r in zip(lists, rows.select(decontaminate.fingerprints(F.col("h"), 9, 3).alias("f")).collect(), strict=True):
+        starts = [f.start for f in r.f] + [len(x) - 9 + 2]
+        assert [f.h for f in r.f] == [x[a - 1 : b - 1 + 8] for a, b in zip(starts, starts[1:], strict=False)]
+        assert (starts[0] == 1) == (len(x) >= 9) or not r.f
