@@ -26,22 +26,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.llm.shared import batches, give_back, shared_path, small_batches
-from galena.llm.units import UnitMemo
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQQII8s")
 ENTRY, PLACE = struct.Struct("<HHI"), struct.Struct("<QII")
 BLOCK_BYTES, BITS_A_KEY, HASHES = 64 * 1024, 10, 7
-#: Units that a task remembers (some 200 bytes each): it is the only memo on its worker.
-MEMO_UNITS = 900_000
 #: Bytes of text for one shard, and for one of a small table.
 SHARD_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
+#: Bytes of text that a task encodes at a time.
+TOGETHER = 20 << 20
 MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
 
 
@@ -163,11 +163,32 @@ def file_at(path: str):
     return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
+#: A blank or line break with letters behind it and then punctuation up to the end, of characters that every version of
+#: Unicode has as such; quotation marks may begin a match of letters.
+LETTERS_MARKS = r"^(?P<letters>[ \n][A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!#$%&()*+,./:;<=>?@|~\-]+)$"
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The ids of the numbered strings, one after the other. ids, sizes: of all strings, in the order of their numbers."""
+    n = sizes[codes]
+    return ids[np.repeat((np.cumsum(sizes) - sizes)[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def no_blank_ends(strings: pa.Array) -> np.ndarray:
+    """Which strings have visible characters at either end."""
+    own = pc.and_(pc.equal(pc.utf8_trim_whitespace(strings), strings), pc.greater(pc.binary_length(strings), 0))
+    return own.to_numpy(zero_copy_only=False)
+
+
 class Encoder:
     """A tokenizer of the tokenizers library. encode gives the packed ids of texts, without added special tokens.
 
-    Where the tokenizer works on bytes and keeps them all, units are encoded many at once, one after the other, and
-    told apart by the bytes their tokens stand for. Other tokenizers get each text whole.
+    Where the tokenizer works on bytes and keeps them all, texts are cut where its split pattern always parts them, and
+    each distinct piece is encoded once for all texts that are given together. Pieces are encoded many at once, one after
+    the other, and told apart by the bytes their tokens stand for. Other tokenizers get each text whole.
+
+    Cuts: a blank between two visible characters begins a match; a single line break between two is one by itself;
+    punctuation behind letters up to the next cut is one. A text with another neighbourhood of blanks is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -186,27 +207,83 @@ class Encoder:
         for token, i in self.own.get_vocab().items():
             self.sizes[i] = len(token.encode()) if i in added else len(token)
 
-    def many(self, texts: list[str]) -> Iterator[bytes]:
+    def many(self, texts: list[str]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), 64):
-            yield from (np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts[i : i + 64], add_special_tokens=False))
-
-    def units(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            some = texts[i : i + 64]
-            ids = np.array(self.own.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(list(map(len, map(str.encode, some))))
-            at = np.searchsorted(places := np.cumsum(self.sizes[ids]), ends)
-            if at[-1] == len(ids) - 1 and (places[at] == ends).all():
-                packed, to = ids.tobytes(), (4 * (at + 1)).tolist()
-                out += [packed[x:y] for x, y in zip([0, *to[:-1]], to, strict=True)]
+            yield from (np.array(e.ids, "<u4") for e in self.own.encode_batch_fast(texts[i : i + 64], add_special_tokens=False))
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and how many each has."""
+        found = list(self.many(texts))
+        return np.concatenate([*found, np.empty(0, "<u4")]), np.array(list(map(len, found)), np.int64)
+
+    def pieces(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces that begin with a blank or line break."""
+        texts, ends, ids, sizes = strings.to_numpy(zero_copy_only=False).tolist(), np.cumsum(pc.binary_length(strings).to_numpy()), [], []
+        for i in range(0, len(texts), 256):
+            own = np.array(self.own.encode_batch_fast(["".join(texts[i : i + 256])], add_special_tokens=False)[0].ids, "<u4")
+            to = ends[i : i + 256] - (ends[i - 1] if i else 0)
+            at = np.searchsorted(places := np.cumsum(self.sizes[own]), to)
+            if at[-1] == len(own) - 1 and (places[at] == to).all():
+                ids.append(own)
+                sizes.append(np.diff(at, prepend=-1))
             else:
-                out += self.many(some)
+                for kept, x in zip((ids, sizes), self.each(texts[i : i + 256]), strict=True):
+                    kept.append(x)
+        return np.concatenate([*ids, np.empty(0, "<u4")]), np.concatenate([*sizes, np.empty(0, np.int64)])
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words behind a blank, with visible characters at either end."""
+        cut = pc.split_pattern(words, "\n")
+        offsets, lines = cut.offsets.to_numpy(), cut.flatten()
+        first = np.zeros(len(lines), bool)
+        first[offsets[:-1]] = True
+        fit = np.logical_and.reduceat(no_blank_ends(lines), offsets[:-1]) if len(words) else np.empty(0, bool)
+        odd_ids, odd_sizes = self.each([f" {w}" for w in words.filter(pa.array(~fit)).to_pylist()])
+        # A line of an odd word is nothing, but for the first, which stands for the word.
+        of_fit = np.repeat(fit, np.diff(offsets))
+        led = pc.binary_join_element_wise(pc.if_else(pa.array(first), " ", "\n").cast(lines.type), lines, pa.scalar("", lines.type)).filter(pa.array(of_fit))
+        told = pc.extract_regex(led, LETTERS_MARKS)
+        stems = pc.coalesce(pc.struct_field(told, "letters"), led).dictionary_encode()
+        marks = pc.struct_field(told, "marks").dictionary_encode()
+        stem_ids, stem_sizes = self.pieces(stems.dictionary)
+        mark_ids, mark_sizes = self.each(marks.dictionary.to_pylist())
+        ids, sizes = np.concatenate((stem_ids, mark_ids, odd_ids)), np.concatenate((stem_sizes, mark_sizes, odd_sizes, [0]))
+        codes = np.full((len(lines), 2), len(sizes) - 1)  # the last number is of nothing
+        codes[of_fit, 0] = stems.indices.to_numpy()
+        codes[of_fit, 1] = len(stem_sizes) + pc.fill_null(marks.indices.cast(pa.int64()), len(sizes) - 1 - len(stem_sizes)).to_numpy()
+        codes[offsets[:-1][~fit], 0] = len(stem_sizes) + len(mark_sizes) + np.arange(len(odd_sizes))
+        return gathered(ids, sizes, codes.ravel()), np.add.reduceat(sizes[codes].sum(axis=1), offsets[:-1]) if len(words) else np.empty(0, np.int64)
+
+    def by_words(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets, numbered = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        codes, words, first = numbered.indices.to_numpy(), numbered.dictionary, offsets[:-1]
+        fit, later = no_blank_ends(words), np.ones(len(codes), bool)
+        later[first] = False
+        asked = np.zeros(len(words), bool)
+        asked[codes[later]] = True
+        asked &= fit
+        ids, own = self.words(words.filter(pa.array(asked)))
+        sizes = np.zeros(len(words), np.int64)
+        sizes[asked] = own
+        heads = words.take(pa.array(codes[first])).to_pylist()
+        whole = ~np.logical_and.reduceat(fit[codes] | ~later, first) | np.array([not h or h[-1].isspace() for h in heads])
+        ahead = self.many([h for h, w in zip(heads, whole.tolist(), strict=True) if not w])
+        out = []
+        for i in range(0, len(texts), 512):  # some at a time, as places take more bytes than ids
+            x, y = offsets[i], offsets[min(i + 512, len(texts))]
+            some, behind = codes[x:y], later[x:y]
+            ends = np.concatenate(([0], np.cumsum(sizes[some] * behind)))[offsets[i : i + 513] - x]
+            found = gathered(ids, sizes, some[behind])
+            for text, w, a, z in zip(texts[i : i + 512], whole[i : i + 512].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                out.append((next(self.many([text])) if w else np.concatenate((next(ahead), found[a:z]))).tobytes())
         return out
 
     def memo(self) -> Callable[[list[str]], list[bytes]]:
-        """What encodes texts in one task."""
-        return UnitMemo(self.many, self.units, MEMO_UNITS).packed if self.by_bytes else lambda texts: list(self.many(texts))
+        """What encodes texts, better many at once."""
+        return self.by_words if self.by_bytes else lambda texts: [x.tobytes() for x in self.many(texts)]
 
 
 @lru_cache(maxsize=2)
@@ -214,6 +291,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def together(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of batches, so many at a time that they have TOGETHER bytes: words that they share are looked up once."""
+    keys, texts, size = [], [], 0
+    for b in frames:
+        keys += b.column("key").to_pylist()
+        texts += b.column("text").to_pylist()
+        size += b.column("text").nbytes
+        if size >= TOGETHER:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def shards_for(texts: DataFrame) -> int:
     """Shards of SHARD_BYTES of text; for small tables more of them, so that all cores take part, down to LEAST_BYTES."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -240,13 +331,12 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, path: str, shards:
         fs, base = file_at(path)
         name, writer, out, encode = f"{base}/shard-{shard:06d}.sst", None, None, encoder(tokenizer).memo()
         draft = f"{name}.{uuid.uuid4().hex}"
-        for b in batches(frames):
+        for keys, texts in together(batches(frames)):
             if writer is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(draft)
                 writer = ShardWriter(out, width)
-            texts = b.column("text").to_pylist()
-            for k, packed in zip(b.column("key").to_pylist(), encode(texts), strict=True):
+            for k, packed in zip(keys, encode(texts), strict=True):
                 writer.add(to_key(k), np.append(np.frombuffer(packed, "<u4"), np.uint32(end_id)))
         del encode
         give_back()

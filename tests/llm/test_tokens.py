@@ -112,6 +112,28 @@ def test_shard_encoder_equals_library_on_odd_texts(name):
         assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_shard_encoder_encodes_a_word_once_beside_marks_and_line_breaks():
+    path, sent = P.path("byte_bpe_50k.json"), []
+
+    class Counting:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return self.own.encode_batch_fast(texts, **kw)
+
+    own = sstable.Encoder(path)
+    library, own.own = own.own, Counting(own.own)
+    draw, words = random.Random(3), ["ondeé", "erreth", "x's", "d'", "<|endoftext|>", "7a", "漢字", "\x1c", "a\tb", "ÿ", "\r"]
+    texts = ["".join(draw.choice(words) + draw.choice(["", "", "!", "...", ",'", "$$$", "\u201d", "-x"]) + draw.choice([" ", " ", "\n", "\n\n", " \n", "\r\n"]) for _ in range(8)) + "end" for _ in range(1500)]
+    for text, packed in zip(texts, own.memo()(texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    sent.clear()
+    own.memo()(["first erreth erreth, erreth. erreth\nerreth!\nerreth erreth\nerreth... end"] * 3)
+    assert "".join(sent).count("erreth") == 2  # behind a blank and behind a line break
+
+
 def test_shards_of_messy_rows_and_lookup(spark, messy, tmp_path):
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     manifest = sstable.write_shards(messy, P.path("byte_bpe_50k.json"), 2, f"file://{tmp_path}/s", shards=3)
