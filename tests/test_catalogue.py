@@ -45,3 +45,10 @@ def test_rows_only(spark, name):
 def test_summaries_ask_a_profile_for_counts_alone(spark, monkeypatch, name):
     monkeypatch.setattr(catalogue.profile, "_numeric", lambda *_: pytest.fail("no statistics are used"))
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_keys_are_not_profiled_for_measures(spark, monkeypatch):
+    seen, own = [], catalogue.profile.profile
+    monkeypatch.setattr(catalogue.profile, "profile", lambda df, **how: seen.append(df.columns) or own(df, **how))
+    assert catalogue.QUERIES["measure_all_lineitem"](spark, SF).count() == 3
+    assert [sorted(x) for x in seen] == [["l_discount", "l_extendedprice", "l_quantity", "l_returnflag", "l_tax"]]
