@@ -15,8 +15,8 @@ Steps, each a Spark job whose result is written:
 known to be connected are skipped: in a few rounds each group is paired with a few hubs of other components (a number of
 pairs in proportion to the groups; hubs change with the round), then all pairs that lie in different components so far are
 compared. Before that, groups are dropped that cannot link beyond their component, as they share too few prefix shingles
-with all groups of a class of sizes taken together: a table of postings by size class tells it, without pairs. So a family
-of near copies takes a number of pairs in proportion to its size, and no link between components is lost.
+with all groups of a class of sizes taken together: a table of postings by size class tells it, without pairs. Shingles that
+the same groups are left with are one posting then, so that a pair meets once for all of them. So a family of near copies takes a number of pairs in proportion to its size, and no link between components is lost.
 
 Shingles are 64-bit hashes of hashes of words, and nodes are 64-bit hashes of sets.
 """
@@ -336,6 +336,21 @@ def open_postings(side: DataFrame) -> DataFrame:
     return written(met, "open-postings")
 
 
+def merged_tokens(side: DataFrame) -> DataFrame:
+    """The postings with one token for all tokens that the same groups have, and how many these are (times).
+
+    Within two size classes, near copies share most of their shingles; these stand in one posting then, so that a pair of
+    groups meets once for all of them. Alike lists of groups are told by two hashes of 64 bits and their length.
+    """
+    at = ["token", "cls_", "other_"]
+    own = side.withColumns({"cls_": F.least("cls", "other"), "other_": F.greatest("cls", "other")})
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "g", "cls", "other")).alias(f"mark{i}") for i in range(2)]
+    lists = own.groupBy(*at).agg(*marks, F.count(F.lit(1)).alias("many"))
+    each = own.join(lists.where("many > 1"), at)  # a list of one group pairs with nothing
+    merged = each.groupBy("mark0", "mark1", "many", "g", "n", "low", "high", "cls", "other").agg(F.count(F.lit(1)).alias("times"))
+    return written(merged.select(F.struct("mark0", "mark1", "many").alias("token"), "g", "n", "low", "high", "cls", "other", "times"), "merged-postings")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b: nodes) that link by their whole sets. nodes: node, key of a document that has the set."""
     pairs = written(pairs.distinct(), "pairs")
@@ -468,13 +483,13 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     open_ = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     spans = per_group.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     side = open_postings(tokens.select("token", F.col("grp"), "n").join(open_, "token").join(spans, "grp").withColumnRenamed("grp", "g"))
-    side = side.join(group_parities(nodes, "g"), "g")
-    left = side.select("token", "cls", "other", "g", F.col("n").alias("gn"), F.col("low").alias("gl"), F.col("high").alias("gh"), *PARITIES)
+    side = merged_tokens(side).join(group_parities(nodes, "g"), "g")
+    left = side.select("token", "cls", "other", "times", "g", F.col("n").alias("gn"), F.col("low").alias("gl"), F.col("high").alias("gh"), *PARITIES)
     own = [F.col(c).alias(c + "_") for c in PARITIES]
     right = side.select("token", F.col("other").alias("cls"), F.col("cls").alias("other"), F.col("g").alias("k"), F.col("n").alias("kn"), F.col("low").alias("kl"), F.col("high").alias("kh"), *own)
     apart = (F.col("gl") != F.col("kl")) | (F.col("gl") != F.col("gh")) | (F.col("kl") != F.col("kh"))
     crossed = left.join(right, ["token", "cls", "other"]).where((F.col("g") < F.col("k")) & apart & may_link(F.col("gn"), F.col("kn")) & near_enough(F.col("gn"), F.col("kn"), "_"))
-    crossed = crossed.groupBy("g", "gn", "k", "kn").agg(F.count(F.lit(1)).alias("same")).where(enough_shared(F.col("same"), F.col("gn"), F.col("kn")))
+    crossed = crossed.groupBy("g", "gn", "k", "kn").agg(F.sum("times").alias("same")).where(enough_shared(F.col("same"), F.col("gn"), F.col("kn")))
     within = per_group.groupBy("grp").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col("grp").alias("g"), F.col("grp").alias("k"))
     pairs = written(crossed.select("g", "k").unionByName(within), "group-pairs")
     member = lambda g, node, c: known.select(F.col("grp").alias(g), F.col("node").alias(node), F.col("component").alias(c))

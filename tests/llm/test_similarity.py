@@ -104,3 +104,21 @@ def test_every_link_of_a_family_is_counted(spark, salted, messy):
     assert sum(n for _, _, n in want) > 60 * 59
     assert plain((r.doc_id, r.n_shingles, r.n_links) for r in got) == plain(want)
     assert all((r["class"] is None) == (r.n_shingles == 0) for r in got)
+
+
+def test_shingles_of_the_same_groups_are_one_posting(spark):
+    """Pairs of groups meet once for all shingles that the same groups have, and the counts of shared ones stay."""
+    holders = {1: "abc", 2: "abc", 3: "abc", 4: "ab", 5: "ab", 6: "ac", 7: "a"}
+    rows = [(t, ord(g), 100, 1, 2, cls, other) for t, own in holders.items() for g in own for cls, other in ((156, 156), (156, 157))]
+    rows += [(t, ord("d"), 103, 1, 2, 157, 156) for t in (1, 2, 4)]
+    side = spark.createDataFrame(rows, "token bigint, g bigint, n bigint, low bigint, high bigint, cls int, other int")
+    merged = ngram_join.merged_tokens(side)
+
+    def met(postings, same):
+        left, right = (postings.select("token", *[postings[x].alias(y) for x, y in names.items()], *more) for names, more in (({"cls": "p", "other": "q", "g": "a"}, same), ({"other": "p", "cls": "q", "g": "b"}, [])))
+        return left.join(right, ["token", "p", "q"]).where("a < b")
+
+    plain, own = met(side, []).collect(), met(merged, ["times"]).collect()
+    count = lambda rows, n: sorted((k, sum(n(r) for r in rows if (r.a, r.b) == k)) for k in {(r.a, r.b) for r in rows})
+    assert count(plain, lambda r: 1) == count(own, lambda r: r.times)
+    assert max(r.times for r in own) == 3 and len(own) < len(plain) / 1.5
