@@ -16,7 +16,9 @@ known to be connected are skipped: in a few rounds each group is paired with a f
 pairs in proportion to the groups; hubs change with the round), then all pairs that lie in different components so far are
 compared. Before that, groups are dropped that cannot link beyond their component, as they share too few prefix shingles
 with all groups of a class of sizes taken together: a table of postings by size class tells it, without pairs. Shingles that
-the same groups are left with are one posting then, so that a pair meets once for all of them. So a family of near copies takes a number of pairs in proportion to its size, and no link between components is lost.
+the same groups are left with are one posting then, so that a pair meets once for all of them. Of what a group is left with,
+the first shingles meet, rarest first, as many as leave too few for a link behind them. So a family of near copies takes a
+number of pairs in proportion to its size, and no link between components is lost.
 
 Shingles are 64-bit hashes of hashes of words, and nodes are 64-bit hashes of sets.
 """
@@ -29,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.llm.components import components
@@ -351,6 +353,19 @@ def merged_tokens(side: DataFrame) -> DataFrame:
     return written(merged.select(F.struct("mark0", "mark1", "many").alias("token"), "g", "n", "low", "high", "cls", "other", "times"), "merged-postings")
 
 
+def first_postings(merged: DataFrame) -> DataFrame:
+    """The merged postings in which groups that can link meet first, and how many shingles of its own a group has from each
+    on (rest).
+
+    A group's postings towards a size class are put in one order for all groups, those of fewest groups first. What two
+    groups share lies at their first common posting or behind it, so that one has as many shingles behind it as a link takes;
+    postings with fewer are left out, which keeps a pair's first one.
+    """
+    own = Window.partitionBy("g", "other").orderBy(F.desc("token.many"), F.desc("token"))
+    known = merged.withColumn("rest", F.sum("times").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return known.where(F.col("rest") >= least_shared(F.col("n"), F.col("other")))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b: nodes) that link by their whole sets. nodes: node, key of a document that has the set."""
     pairs = written(pairs.distinct(), "pairs")
@@ -483,15 +498,15 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     open_ = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     spans = per_group.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     side = open_postings(tokens.select("token", F.col("grp"), "n").join(open_, "token").join(spans, "grp").withColumnRenamed("grp", "g"))
-    side = merged_tokens(side).join(group_parities(nodes, "g"), "g")
-    left = side.select("token", "cls", "other", "times", "g", F.col("n").alias("gn"), F.col("low").alias("gl"), F.col("high").alias("gh"), *PARITIES)
+    side = first_postings(merged_tokens(side)).join(group_parities(nodes, "g"), "g")
+    left = side.select("token", "cls", "other", "g", F.col("rest").alias("gr"), F.col("n").alias("gn"), F.col("low").alias("gl"), F.col("high").alias("gh"), *PARITIES)
     own = [F.col(c).alias(c + "_") for c in PARITIES]
-    right = side.select("token", F.col("other").alias("cls"), F.col("cls").alias("other"), F.col("g").alias("k"), F.col("n").alias("kn"), F.col("low").alias("kl"), F.col("high").alias("kh"), *own)
+    right = side.select("token", F.col("other").alias("cls"), F.col("cls").alias("other"), F.col("g").alias("k"), F.col("rest").alias("kr"), F.col("n").alias("kn"), F.col("low").alias("kl"), F.col("high").alias("kh"), *own)
     apart = (F.col("gl") != F.col("kl")) | (F.col("gl") != F.col("gh")) | (F.col("kl") != F.col("kh"))
-    crossed = left.join(right, ["token", "cls", "other"]).where((F.col("g") < F.col("k")) & apart & may_link(F.col("gn"), F.col("kn")) & near_enough(F.col("gn"), F.col("kn"), "_"))
-    crossed = crossed.groupBy("g", "gn", "k", "kn").agg(F.sum("times").alias("same")).where(enough_shared(F.col("same"), F.col("gn"), F.col("kn")))
+    room = may_link(F.col("gn"), F.col("kn")) & enough_shared(F.least("gr", "kr"), F.col("gn"), F.col("kn")) & near_enough(F.col("gn"), F.col("kn"), "_")
+    crossed = left.join(right, ["token", "cls", "other"]).where((F.col("g") < F.col("k")) & apart & room)
     within = per_group.groupBy("grp").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col("grp").alias("g"), F.col("grp").alias("k"))
-    pairs = written(crossed.select("g", "k").unionByName(within), "group-pairs")
+    pairs = written(crossed.select("g", "k").distinct().unionByName(within), "group-pairs")
     member = lambda g, node, c: known.select(F.col("grp").alias(g), F.col("node").alias(node), F.col("component").alias(c))
     expanded = pairs.join(member("g", "a", "ca"), "g").join(member("k", "b", "cb"), "k").where("ca <> cb and a <> b")
     second = verified(expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, nodes)

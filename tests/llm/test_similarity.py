@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from galena.llm import components, ngram_join, queries
 from tests.llm.conftest import SF
@@ -122,3 +123,42 @@ def test_shingles_of_the_same_groups_are_one_posting(spark):
     count = lambda rows, n: sorted((k, sum(n(r) for r in rows if (r.a, r.b) == k)) for k in {(r.a, r.b) for r in rows})
     assert count(plain, lambda r: 1) == count(own, lambda r: r.times)
     assert max(r.times for r in own) == 3 and len(own) < len(plain) / 1.5
+
+
+def test_a_family_meets_its_outsiders_a_few_times(spark):
+    """Of groups that share many shingles the first ones meet: pairs that can link at least once, all pairs less than a tenth
+    as often as before."""
+    import random
+    from itertools import combinations
+
+    draw, n = random.Random(8), 396
+    cls = ngram_join.size_class(F.lit(n))
+    least = spark.range(1).select(ngram_join.least_shared(F.lit(n), cls)).first()[0]
+    sets = {g: set(draw.sample(range(60), 50)) for g in range(150)}  # a family, whose members each lack some shingles
+    sets |= {150 + i: set(draw.sample(range(60), 34)) | {100 + i} for i in range(20)}  # outsiders, of which some come close
+    rows = [(t, g, n, g // 150 * g, g // 150 * g) for g, own in sets.items() for t in own]
+    side = spark.createDataFrame(rows, "token bigint, g bigint, n bigint, low bigint, high bigint").withColumns({"cls": cls, "other": cls})
+    merged = ngram_join.merged_tokens(side)
+
+    def met(postings):
+        a, b = (postings.select("token", F.col("g").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab")
+        return [(r.a, r.b) for r in a.join(b, "token").where("a < b and low_a <> low_b").collect()]
+
+    plain, own = met(merged), met(ngram_join.first_postings(merged))
+    can = {(a, b) for a, b in combinations(sorted(sets), 2) if b >= 150 and len(sets[a] & sets[b]) >= least + 1}
+    assert can <= set(own) <= set(plain)
+    assert len(own) < len(plain) / 10
+
+
+def test_outsiders_that_link_with_one_of_a_family(spark):
+    import random
+
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    changed = lambda words, own, times: [own if i in at else w for at in [set(draw.sample(range(len(words)), times))] for i, w in enumerate(words)]
+    family = [changed(base, f"own{i}", 2) for i in range(40)]
+    far = [changed(base, f"far{i}", draw.randrange(3, 9)) for i in range(40)]
+    rows = [(i, " ".join(words)) for i, words in enumerate([*family, *far])]
+    want = brute(rows)
+    assert len({c for _, _, c in want}) > 5
+    assert plain(ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == plain(want)
