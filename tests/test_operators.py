@@ -579,3 +579,14 @@ def test_drifting_json_keeps_every_line(spark, tmp_path):
     assert [rows[x]["t"] for x in lines[-2:]] == ["x", "7"]
     (tmp_path / "e.jsonl").write_text("")
     assert readers.read_drifting_json(spark, f"{tmp_path}/e.jsonl").columns == ["_line", "_reason"]
+
+
+def test_counts_alone_are_those_of_the_whole_profile_and_take_one_pass_a_column(spark, monkeypatch):
+    rows = [(1, "a", 1.5, None, '{"a": 1}'), (2, "a", float("nan"), None, None), (3, None, -0.0, None, "{}"), (4, "b", 0.0, None, "[]"), (5, "b", float("nan"), None, "{}")]
+    df = spark.createDataFrame(rows, "k bigint, t string, x double, none int, j string").withColumns({"d": F.col("x").cast("decimal(38,2)"), "b": F.col("t").cast("binary"), "m": F.map_from_arrays(F.array("k"), F.array("k"))})
+    counts = ["column", "position", "logical_type", "distinct_is_exact", "rows", "nulls", "distinct_count", "null_pct", "distinct_pct", "is_unique", "is_constant"]
+    told = lambda frame, details: [tuple(r) for r in profile.profile(frame, details=details).select(*counts).orderBy("position").collect()]
+    frames = [df, df.limit(0), df.select("b")]
+    want = [told(frame, True) for frame in frames]
+    monkeypatch.setattr(profile, "_wide", lambda *_: pytest.fail("a pass for estimates"))
+    assert [told(frame, False) for frame in frames] == want
