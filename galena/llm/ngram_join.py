@@ -17,8 +17,9 @@ pairs in proportion to the groups; hubs change with the round), then all pairs t
 compared. Before that, groups are dropped that cannot link beyond their component, as they share too few prefix shingles
 with all groups of a class of sizes taken together: a table of postings by size class tells it, without pairs. Shingles that
 the same groups are left with are one posting then, so that a pair meets once for all of them. Of what a group is left with,
-the first shingles meet, rarest first, as many as leave too few for a link behind them. So a family of near copies takes a
-number of pairs in proportion to its size, and no link between components is lost.
+the first shingles meet, rarest first, as those behind them are too few for a link. So within a family of near copies the
+pairs are in proportion to its size, and no link between components is lost; its pairs with texts just outside it, as far as
+all these bounds leave them possible, are not.
 
 Shingles are 64-bit hashes of hashes of words, and nodes are 64-bit hashes of sets.
 """
