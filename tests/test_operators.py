@@ -11,7 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from galena.functions.names import has_words, is_audit, is_key_like, layer_of_name, safe_identifier
-from galena.operators import history, ingest, profile, quality, refine, relate, selection
+from galena.operators import history, ingest, profile, quality, refine, relate, selection, summarise
 from galena.plans import derive, lineage, pages, runs, tiles
 from galena.plans.metrics import Attribute, Entity, Filter, Join, Measure, MetricQuery, Model, Refused, metric_query
 from galena.sources import readers, stored
@@ -590,3 +590,28 @@ def test_counts_alone_are_those_of_the_whole_profile_and_take_one_pass_a_column(
     want = [told(frame, True) for frame in frames]
     monkeypatch.setattr(profile, "_wide", lambda *_: pytest.fail("a pass for estimates"))
     assert [told(frame, False) for frame in frames] == want
+
+
+def test_values_are_converted_once_each_and_measured_as_rows_are(spark, monkeypatch):
+    rows = [(i, "xyz"[i % 3] if i % 7 else None, None if i % 11 == 0 else (i % 5) / 8 - 0.25, f"{i % 4}.{i % 4}", "12"[i % 2], float(i % 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k bigint, flag string, amount double, price string, zone string, total_cost double")
+    types = {"amount": "decimal(38,2)", "price": "decimal(12,1)", "flag": "string", "zone": "int"}
+    typed = profile.conformed(df, types)
+    told = lambda frame, **how: [tuple(r) for r in profile.profile(frame, details=False, **how).orderBy("position").collect()]
+    odd = spark.createDataFrame([(1.001, -0.0), (1.002, 0.0), (None, 1.5), (1.001, 2.0)], "a double, b double")
+    as_text = {"a": "decimal(38,2)", "b": "string"}
+    assert told(df, types=types) == told(typed) and told(odd, types=as_text) == told(profile.conformed(odd, as_text))
+    assert [r[6] for r in told(odd, types=as_text)] == [1, 4]
+    facts = profile.profile(df, details=False, types=types).collect()
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    by_row = lambda frame: [x for x in plan(frame) if "Project [" in x and ("cast(amount" in x or "cast(price" in x)]
+    for by in ("flag", "zone", None):
+        ways = []
+        for least in (1, 10**9):
+            monkeypatch.setattr(summarise, "WEIGHED", least)
+            ways.append(summarise.measure_all(df, facts, by=by, types=types))
+        few, all_rows = ways
+        assert not by_row(few) and by_row(all_rows)
+        assert [(f.name, f.dataType) for f in few.schema] == [(f.name, f.dataType) for f in all_rows.schema]
+        own = lambda frame: sorted(([round(v, 9) if isinstance(v, float) else v for v in r] for r in frame.collect()), key=str)
+        assert own(few) == own(all_rows) and len(own(few)) == {"flag": 4, "zone": 2, None: 1}[by]
